@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from parlance.llm.common import gram_hashes, mix, pieces, span_hashes, text_bytes, word_spans
 from parlance.llm.samples import fold, labelled
@@ -218,7 +219,7 @@ def score(docs: DataFrame, model: tuple[Vectors, Network], threshold: float = TH
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = [c for c in docs.columns if c not in ("score", "predicted")]
     kept = docs.select(*names)
-    schema = kept.schema.add("score", "double").add("predicted", "int")
+    schema = kept.schema.add("score", T.DoubleType()).add("predicted", T.IntegerType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vectors, net = shared.value
