@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from parlance.llm.common import materialize, pieces
 
@@ -145,7 +146,7 @@ def pack(placed: DataFrame, capacity: int = CAPACITY, shard: int = SHARD) -> Dat
     """Adds sequence_id and offset to rows that have doc_id, piece and length. The rows are counted once."""
     n = max(1, math.ceil(placed.count() / shard))
     at = placed.schema.names.index("length")
-    schema = placed.schema.add("sequence_id", "long").add("offset", "long")
+    schema = T.StructType([*placed.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext

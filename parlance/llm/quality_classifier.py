@@ -219,7 +219,7 @@ def score(docs: DataFrame, model: tuple[Vectors, Network], threshold: float = TH
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = [c for c in docs.columns if c not in ("score", "predicted")]
     kept = docs.select(*names)
-    schema = kept.schema.add("score", T.DoubleType()).add("predicted", T.IntegerType())
+    schema = T.StructType([*kept.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vectors, net = shared.value
