@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from parlance.llm import language_id, minhash, mixing, packing, quality_classifier, quality_rules, warc
+from parlance.llm import embeddings, language_id, minhash, mixing, packing, quality_classifier, quality_rules, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +32,10 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), *tokenizer_files())
 
 
+def op6_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_embeddings(_table(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(_table(spark, sf_dir, "pages"), min_bytes=0).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
@@ -52,6 +56,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mixing": op2_mixing,
     "op3_language_id": op3_language_id,
     "op5_packing": op5_packing,
+    "op6_embeddings": op6_embeddings,
     "op7_warc": op7_warc,
     "op8_quality_classifier": op8_quality_classifier,
     "op9_quality_rules": op9_quality_rules,
@@ -90,4 +95,23 @@ SELECT doc_id, size, source_size, target,
 FROM placed d JOIN plan p ON d.source IS NOT DISTINCT FROM p.source
 """
 
-ORACLES: dict[str, str] = {"op2_mixing": MIXING_SQL}
+# Cosines in double precision, components by repeated smallest neighbours.
+EMBEDDINGS_SQL = """
+WITH RECURSIVE vectors AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+fine AS (
+  SELECT * FROM vectors
+  WHERE label IS NOT NULL AND vec_id IS NOT NULL AND v IS NOT NULL AND len(v) > 0 AND len(list_filter(v, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+    AND len(list_filter(v, lambda x: x <> 0)) > 0),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM fine a JOIN fine b
+    ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v) AND list_cosine_similarity(a.v, b.v) >= 0.93),
+reach AS (
+  SELECT vec_id AS id, vec_id AS low FROM vectors
+  UNION
+  SELECT l.b, r.low FROM reach r JOIN links l ON l.a = r.id AND r.low < l.b)
+SELECT v.vec_id, (SELECT count(*) FROM links l WHERE l.a = v.vec_id) AS n_links, r.low AS component_id, v.vec_id = r.low AS kept
+FROM vectors v JOIN (SELECT id, min(low) AS low FROM reach GROUP BY id) r ON r.id = v.vec_id
+"""
+
+ORACLES: dict[str, str] = {"op2_mixing": MIXING_SQL, "op6_embeddings": EMBEDDINGS_SQL}
