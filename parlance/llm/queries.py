@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from parlance.llm import embeddings, language_id, minhash, mixing, packing, quality_classifier, quality_rules, warc
+from parlance.llm import embeddings, language_id, minhash, mixing, packing, quality_classifier, quality_rules, substrings, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,10 @@ def tokenizer_files() -> tuple[str, str, str]:
     return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
 
+def op1_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.substring_digest(_table(spark, sf_dir, "documents"), window=13)
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(_table(spark, sf_dir, "documents"), weights=(5, 2, 1), epochs=3, seed=0)
 
@@ -53,6 +57,7 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_substrings": op1_substrings,
     "op2_mixing": op2_mixing,
     "op3_language_id": op3_language_id,
     "op5_packing": op5_packing,
