@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -82,7 +83,7 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str, most: int = 4_000_000
     """The batches' rows in slices of about `most` bytes of text, one row at least: bounds a worker's memory."""
     for batch in batches:
         text = batch.column(column)
-        size = np.frombuffer(pa.compute.fill_null(pa.compute.binary_length(text), 0).cast(pa.int64()).to_numpy(zero_copy_only=False).tobytes(), dtype=np.int64)
+        size = pc.fill_null(pc.binary_length(text), 0).to_numpy(zero_copy_only=False).astype(np.int64)
         upto, start = np.cumsum(size), 0
         while start < batch.num_rows:
             base = upto[start - 1] if start else 0
@@ -93,7 +94,7 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str, most: int = 4_000_000
 
 def text_bytes(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All texts' UTF-8 bytes in one array, and the offsets of each (null: empty)."""
-    array = pa.compute.fill_null(array, "")
+    array = pc.fill_null(array, "")
     if isinstance(array, pa.ChunkedArray):
         array = array.combine_chunks()
     array = array.cast(pa.large_string())
