@@ -254,8 +254,8 @@ def merge_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("user_id", F.col("turn_idx").cast("long").alias("turn_idx"), "event_type", "n_parts", "text")
 
 
-@query(f"""WITH {_SPANS.format(h='1.0')}, f AS (SELECT user_id, event_type, min(idx) AS at FROM s GROUP BY ALL)
-SELECT user_id, event_type, 'Speaker ' || row_number() OVER (PARTITION BY user_id ORDER BY at) AS speaker FROM f""")
+@query(f"""WITH {_SPANS.format(h='1.0')}, f AS (SELECT user_id, event_type, min(idx) AS first_idx FROM s GROUP BY ALL)
+SELECT user_id, event_type, 'Speaker ' || row_number() OVER (PARTITION BY user_id ORDER BY first_idx) AS speaker FROM f""")
 def first_appearance_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = segmentation.first_appearance(event_spans(table(spark, sf_dir, "events")), ["user_id"], "event_type", "idx")
     return rows.select("user_id", "event_type", "speaker").distinct()

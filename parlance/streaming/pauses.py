@@ -15,9 +15,9 @@ CHUNK = "meeting_id string, chunk_idx int, start double, end double, n_words int
 STATE = "chunk_idx int, start double, end double, n_words int, text string"
 
 
-def pause_stream(words: DataFrame, gap: float = C.PAUSE_S, idle_ms: int = 60_000) -> DataFrame:
-    """Chunks of a stream of (meeting_id, word, start, end): a chunk is sent when a pause above `gap` follows it, and when its
-    meeting is idle. Words of a meeting must come in order of time between batches; within a batch they are sorted. A meeting's
+def pause_stream(words: DataFrame, gap: float = C.PAUSE_S, idle_ms: int | None = None) -> DataFrame:
+    """Chunks of a stream of (meeting_id, word, start, end): a chunk is sent when a pause above `gap` follows it, and, with
+    `idle_ms`, when its meeting is idle for so long. Words of a meeting must come in order of time between batches; within a batch they are sorted. A meeting's
     state is its open chunk."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -37,9 +37,10 @@ def pause_stream(words: DataFrame, gap: float = C.PAUSE_S, idle_ms: int = 60_000
             else:
                 held = [held[0], held[1], end, held[3] + 1, f"{held[4]} {word}"]
         state.update(tuple(held))
-        state.setTimeoutDuration(idle_ms)
+        if idle_ms is not None:
+            state.setTimeoutDuration(idle_ms)
 
-    return words.groupBy("meeting_id").applyInPandasWithState(step, CHUNK, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return words.groupBy("meeting_id").applyInPandasWithState(step, CHUNK, STATE, "append", GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
