@@ -131,4 +131,56 @@ SELECT v.vec_id, (SELECT count(*) FROM links l WHERE l.a = v.vec_id) AS n_links,
 FROM vectors v JOIN (SELECT id, min(low) AS low FROM reach GROUP BY id) r ON r.id = v.vec_id
 """
 
-ORACLES: dict[str, str] = {"op2_mixing": MIXING_SQL, "op6_embeddings": EMBEDDINGS_SQL}
+SUBSTRINGS_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+windows AS (
+  SELECT doc_id, i, array_to_string(w[i + 1 : i + 13], ' ') AS key FROM d, unnest(range(0, greatest(len(w) - 12, 0))) AS r(i)),
+firsts AS (SELECT key, min(doc_id) AS first FROM windows GROUP BY key),
+gone AS (
+  SELECT DISTINCT doc_id, i + j AS pos FROM windows JOIN firsts USING (key), unnest(range(0, 13)) AS t(j) WHERE first < doc_id),
+words AS (SELECT doc_id, w[i + 1] AS word, i AS pos FROM d, unnest(range(0, len(w))) AS r(i)),
+kept AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY pos) AS kept FROM words w
+  WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.doc_id = w.doc_id AND g.pos = w.pos) GROUP BY doc_id),
+counts AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id) LEFT JOIN counts USING (doc_id)
+"""
+
+WARC_SQL = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS h FROM pages),
+l AS (SELECT *, max(page_id) OVER (PARTITION BY h, n) AS last FROM p)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
+       array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         CAST((CAST('0x' || substr(h, CAST(1 + 5 * (i // 4) AS BIGINT), 5) AS BIGINT) >> CAST(15 - 5 * (i % 4) AS BIGINT)) & 31 AS BIGINT) + 1, 1)), '') AS payload_digest,
+       CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> last THEN last END AS refers_to
+FROM l
+"""
+
+NEAR_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN CAST([] AS VARCHAR[]) WHEN len(w) = 1 THEN w
+    ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END AS s FROM d),
+sizes AS (SELECT doc_id, len(s) AS n FROM sets),
+items AS (SELECT doc_id, unnest(s) AS item FROM sets),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS hits FROM items a JOIN items b ON a.item = b.item AND a.doc_id < b.doc_id GROUP BY ALL),
+pairs AS (SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * hits >= 80 * (x.n + y.n - hits)),
+links AS (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs),
+reach AS (
+  SELECT doc_id AS id, doc_id AS low FROM sizes
+  UNION
+  SELECT l.b, r.low FROM reach r JOIN links l ON l.a = r.id AND r.low < l.b)
+SELECT s.doc_id, CAST(s.n AS BIGINT) AS n_shingles, r.low AS component_id, s.doc_id = r.low AS kept
+FROM sizes s JOIN (SELECT id, min(low) AS low FROM reach GROUP BY id) r ON r.id = s.doc_id
+"""
+
+ORACLES: dict[str, str] = {
+    "op1_substrings": SUBSTRINGS_SQL,
+    "op2_mixing": MIXING_SQL,
+    "op6_embeddings": EMBEDDINGS_SQL,
+    "op7_warc": WARC_SQL,
+    "op10_minhash": NEAR_SQL,
+}
