@@ -18,6 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 WORD = r"[^\x20\x09-\x0D]+"
 
 _own: dict[str, str] = {}
@@ -46,10 +47,18 @@ def new_path(spark: SparkSession, label: str) -> str:
 
 
 def materialize(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
-    """`df` as a table written in the shared folder: cuts the lineage, survives lost executors, gives Catalyst its size."""
+    """`df` as a table written in the shared folder: cuts the lineage, survives lost executors, gives Catalyst its size.
+
+    The shuffle files of the job that wrote it are of no further use, and Spark is asked to delete them when the job ends.
+    """
     spark = df.sparkSession
     path = new_path(spark, label)
-    df.write.option("compression", codec).parquet(path)
+    before = spark.conf.get(CLEAN_UP, None)
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        df.write.option("compression", codec).parquet(path)
+    finally:
+        spark.conf.unset(CLEAN_UP) if before is None else spark.conf.set(CLEAN_UP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -64,8 +73,9 @@ def discard(df: DataFrame) -> None:
 
 
 def bytes_of(df: DataFrame) -> int:
-    """Catalyst's estimate of the input's size, from file sizes; no job runs."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """Catalyst's estimate of the input's size, from file sizes; no job runs. 0 where it knows none (its default is huge)."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 58 else 0
 
 
 def partitions(df: DataFrame, mb: float = 16) -> int:

@@ -9,10 +9,11 @@
    in the classes whatever the groups' sizes. Nodes still larger at the last level hold classes that agree in all of
    DEPTHS[-1] tokens: every class is then paired with the node's smallest, and compared within seeded parts of LIMIT.
    Of a class's partners in a node the PARTNERS most similar become candidates; other trees give it other nodes.
-   A pair of similarity s meets in a tree at depth d with s^d: over 20 trees at depth 2 one pair in 10^8 of similarity 0.8
-   is missed, at depth 4 three in 10^5; pairs in large groups have other ways to be connected as well.
+   A pair of similarity s meets in a tree at depth d with s^d: over 20 trees at depth 3 six pairs in 10^7 of similarity 0.8
+   are missed, at depth 6 two in 10^3; only pairs in groups of over LIMIT come so deep, which have other ways to be connected.
 4. Candidates are confirmed on full sets, made again from the texts: first the most similar candidate of every class; after
-   the components of what was confirmed, all candidates between different components. So links are exact.
+   the components of what was confirmed, all candidates between different components. So links are exact. Which texts are
+   read for this is told by a bitmap of ids (bounded; a false hit costs a set too many), so texts cross no exchange.
 
 The sketch threshold lies over five standard deviations below the similarity. Nothing but counts reaches the driver.
 
@@ -33,7 +34,8 @@ from pyspark.sql import functions as F
 from parlance.llm.common import discard, gram_hashes, materialize, mix, partitions, pieces, span_hashes, text_bytes, word_spans
 from parlance.llm.components import connected_components
 
-COORDINATES, TREES, DEPTHS, LIMIT, PARTNERS = 128, 20, (2, 3, 4, 6, 9, 12), 32, 3
+COORDINATES, TREES, DEPTHS, LIMIT, PARTNERS = 128, 20, (3, 6, 12), 64, 3
+MAX_BITS = (1 << 26) - 5  # a prime: the bitmap of documents in candidates has at most 8 MB
 SETS = "doc_id long, n_shingles long, key1 long, key2 long, sketch binary, nodes array<long>"
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -77,7 +79,7 @@ def describe(docs: DataFrame, n: int, seed: int) -> DataFrame:
     paths = np.stack([np.random.default_rng([seed, t]).permutation(COORDINATES)[: DEPTHS[-1]] for t in range(TREES)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "text"):
+        for batch in pieces(batches, "text", 1_500_000):
             sets = shingle_sets(batch.column("text"), n)
             low = np.stack([minwise(s, functions) for s in sets])
             tokens = low.astype(np.uint64)[:, paths]  # (texts, trees, depth)
@@ -169,28 +171,40 @@ def candidates(classes: DataFrame, similarity: float, seed: int) -> DataFrame:
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Adds `linked` to pairs (a, b): 100 * intersection >= percent * union of their full sets."""
+    rows = pairs.select("a", "b").join(sets.select(F.col("id").alias("a"), F.col("members").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("members").alias("y")), "b")
+    both = F.size(F.array_intersect("x", "y"))
+    return rows.select("a", "b", (100 * both >= percent * (F.size("x") + F.size("y") - both)).alias("linked"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            linked = []
-            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                linked.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_())], ["a", "b", "linked"])
 
-    rows = pairs.select("a", "b").join(sets.select(F.col("id").alias("a"), F.col("members").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("members").alias("y")), "b")
-    return rows.mapInArrow(run, "a long, b long, linked boolean")
+def id_bitmap(ids: DataFrame) -> np.ndarray:
+    """Bits at id mod a prime, for the distinct ids: as many bits as are useful, MAX_BITS at most. 4 KB come back for each
+    32,768 bits, already merged."""
+    wanted = 16 * max(1, ids.count())
+    size = next((p for p in (65_521, 1_048_573, 16_777_213) if p >= wanted), MAX_BITS)
+    place = F.pmod(F.col("id"), F.lit(size))
+    rows = ids.groupBy((F.floor(place / 32_768)).alias("part")).agg(F.bitmap_construct_agg(place % 32_768).alias("bits")).collect()
+    out = np.zeros(((size >> 15) + 1, 4_096), np.uint8)
+    for r in rows:
+        out[r.part] = np.frombuffer(r.bits, np.uint8)
+    return np.unpackbits(out.ravel(), bitorder="little")[:size].view(bool)
 
 
 def members(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
-    """(id, members): the full sets of the documents named by `ids`, as bytes of sorted hashes."""
+    """(id, members): the full sets, as distinct hashes, of the documents in `ids`, and of few others."""
+    bits = id_bitmap(ids)
+    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(bits))
+    size = len(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "text"):
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array([s.tobytes() for s in shingle_sets(batch.column("text"), n)], pa.binary())], ["id", "members"])
+        packed = shared.value
+        for batch in batches:
+            batch = batch.filter(batch.column("doc_id").is_valid())
+            place = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64) % size
+            batch = batch.filter(pa.array((packed[place >> 3] >> (7 - (place & 7)).astype(np.uint8)) & 1 == 1))
+            for part in pieces([batch], "text", 1_500_000):
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array([s.view(np.int64) for s in shingle_sets(part.column("text"), n)], pa.list_(pa.int64()))], ["id", "members"])
 
-    return docs.select("doc_id", "text").join(ids.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").mapInArrow(run, "id long, members binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "id long, members array<long>")
 
 
 def _best(pairs: DataFrame) -> DataFrame:
