@@ -8,16 +8,17 @@ what can match, and documents are sent to the shard that can match them:
    fragment, of at most RUN windows.
 2. Names are counted in one exchange of packed arrays. A name that only one document has cannot matter. A name of at least
    HOT documents is hot; a task that finds HOT of its own documents under a name sends one entry for all of them.
-3. Documents with names that repeat are read again, and their fragments go to the name's shard, copies in a task merged. A hot
-   name's fragments are cut into single windows, named by the window's own hash: so a shard holds fewer than HOT documents'
-   fragments under one name, and passages that very many documents share arrive as one merged row from each task.
+3. Documents with names that repeat are read again, and their fragments go to the name's shard with their places, copies in
+   a task merged, so a shard holds fewer than HOT documents' fragments under one name. A hot name's fragments do not go there:
+   the distinct ones are cut into windows, whose first documents are a partial aggregate over 128-bit hashes, and only that
+   result meets the places.
 4. A shard's automaton takes its distinct fragments in the order of doc_id. Before a fragment is added it is streamed through
    for matching statistics, each state knowing the first document that made it: a match of `window` words gives the first
    document with that window. Names whose fragments are all equal need no automaton.
 5. Each window whose first document is smaller than the one it stands in is removed, all its words. Windows are judged on the
    input, not on what is left.
 
-Decisions compare words, not hashes; a hash collision costs work at most. The text crosses two exchanges by doc_id.
+Windows are compared by their words; fragments are told apart by 128-bit hashes. The text crosses two exchanges by doc_id.
 
 Defined results: null or empty texts have no words, and the hash of the empty text; texts shorter than a window, and rows
 with a null doc_id, are kept whole; rows that repeat a doc_id are one document as far as removal goes (nothing is removed
@@ -38,7 +39,7 @@ from pyspark.sql import types as T
 
 from parlance.llm.common import gram_hashes, materialize, mix, partitions, pieces, span_hashes, text_bytes, word_spans
 
-GRAM, RUN, HOT, FLUSH, SHARD_WORDS = 6, 64, 64, 2_000_000, 200_000
+GRAM, RUN, HOT, FLUSH, SHARD_WORDS, TASK_BYTES = 6, 64, 1_024, 1_000_000, 50_000, 16_000_000
 
 
 def _window_minima(values: np.ndarray, width: int) -> np.ndarray:
@@ -89,20 +90,11 @@ def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         return np.cumsum(np.frombuffer(raw, np.uint64, n)), np.frombuffer(raw, np.int64, n, 8 * n), np.frombuffer(raw, np.uint8, n, 16 * n)
 
 
-NAMED = "part int, doc_id long, names binary"
-FLAGGED = "doc_id long, names binary, hot binary"
+NAMED = "part int, known boolean, names binary"
+FLAGGED = "doc_id long, name long, hot boolean"
 
 
-def _by_doc(docs: np.ndarray, names: np.ndarray, hot: np.ndarray) -> tuple[list, list, list]:
-    order = np.argsort(docs, kind="stable")
-    docs, names, hot = docs[order], names[order], hot[order]
-    cut = np.flatnonzero(np.diff(docs)) + 1
-    bounds = np.concatenate([[0], cut, [len(docs)]]) if len(docs) else [0]
-    spans = list(zip(bounds[:-1], bounds[1:], strict=True))
-    return [int(docs[a]) for a, _ in spans], [names[a:b].tobytes() for a, b in spans], [hot[a:b].tobytes() for a, b in spans]
-
-
-def name_counts(docs: DataFrame, window: int, n_parts: int) -> DataFrame:
+def name_counts(docs: DataFrame, window: int, n_parts: int, hot_from: int = HOT) -> DataFrame:
     """FLAGGED: for each document the names that other documents have too, and which of them are hot."""
     parts = 8 * n_parts
 
@@ -115,24 +107,24 @@ def name_counts(docs: DataFrame, window: int, n_parts: int) -> DataFrame:
         name, doc = name[new], doc[new]
         head = np.flatnonzero(np.append(True, name[1:] != name[:-1])) if len(name) else np.zeros(0, np.int64)
         size = np.repeat(np.diff(np.append(head, len(name))), np.diff(np.append(head, len(name))))
-        hot = size >= HOT
+        hot = size >= hot_from
         first = np.zeros(len(name), bool)
         first[head] = True
-        d, n, _ = _by_doc(doc[hot], name[hot], hot[hot].astype(np.uint8))
+        known = _pack(name[hot], doc[hot], hot[hot].astype(np.uint8)) if hot.any() else None
         sent = ~hot | first
         name, doc, hot = name[sent], doc[sent], hot[sent].astype(np.uint8)
         part = (name % np.uint64(parts)).astype(np.int64)
         order = np.lexsort((name, part))
         bounds = np.searchsorted(part[order], np.arange(parts + 1))
-        rows = [(p, None, _pack(name[o], doc[o], hot[o])) for p in range(parts) if len(o := order[bounds[p] : bounds[p + 1]])]
-        rows += [(i % parts, i, x) for i, x in zip(d, n, strict=True)]
-        for k in range(0, len(rows), 5_000):
-            a, b, c = zip(*rows[k : k + 5_000], strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int32()), pa.array(b, pa.int64()), pa.array(c, pa.binary())], ["part", "doc_id", "names"])
+        rows = [(p, False, _pack(name[o], doc[o], hot[o])) for p in range(parts) if len(o := order[bounds[p] : bounds[p + 1]])]
+        rows += [(int(doc[0]) % parts, True, known)] if known else []
+        for k in range(0, len(rows), 1_000):
+            a, b, c = zip(*rows[k : k + 1_000], strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int32()), pa.array(b, pa.bool_()), pa.array(c, pa.binary())], ["part", "known", "names"])
 
     def name_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, ids, n = [], [], 0
-        for batch in pieces(batches, "text"):
+        for batch in pieces(batches, "text", 2_000_000):
             words = Words(batch.column("text"), window)
             names.append(words.run_name)
             ids.append(batch.column("doc_id").to_numpy()[words.run_doc])
@@ -143,14 +135,20 @@ def name_counts(docs: DataFrame, window: int, n_parts: int) -> DataFrame:
         if n:
             yield from emit(names, ids)
 
+    def flagged(doc: np.ndarray, name: np.ndarray, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for k in range(0, len(doc), 50_000):
+            part = slice(k, k + 50_000)
+            yield pa.RecordBatch.from_arrays([pa.array(doc[part]), pa.array(name[part].view(np.int64)), pa.array(hot[part])], ["doc_id", "name", "hot"])
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = []
         for batch in batches:
-            for doc_id, blob in zip(batch.column("doc_id").to_pylist(), batch.column("names").to_pylist(), strict=True):
-                if doc_id is None:
-                    held.append(_unpack(blob))
+            for known, blob in zip(batch.column("known").to_pylist(), batch.column("names").to_pylist(), strict=True):
+                name, doc, hot = _unpack(blob)
+                if known:
+                    yield from flagged(doc, name, hot > 0)
                 else:
-                    yield pa.RecordBatch.from_pydict({"doc_id": [doc_id], "names": [blob], "hot": [b"\1" * (len(blob) // 8)]})
+                    held.append((name, doc, hot))
         if not held:
             return
         name, doc, hot = (np.concatenate(x) for x in zip(*held, strict=True))
@@ -158,54 +156,77 @@ def name_counts(docs: DataFrame, window: int, n_parts: int) -> DataFrame:
         name, doc, hot = name[order], doc[order], hot[order]
         head = np.flatnonzero(np.append(True, name[1:] != name[:-1]))
         size = np.diff(np.append(head, len(name)))
-        weight = np.add.reduceat(np.where(hot > 0, HOT, 1), head)
+        weight = np.add.reduceat(np.where(hot > 0, hot_from, 1), head)
         back = np.repeat(weight >= 2, size) & (hot == 0)
-        d, n, h = _by_doc(doc[back], name[back], np.repeat(weight >= HOT, size)[back].astype(np.uint8))
-        for k in range(0, len(d), 5_000):
-            yield pa.RecordBatch.from_arrays([pa.array(d[k : k + 5_000], pa.int64()), pa.array(n[k : k + 5_000], pa.binary()), pa.array(h[k : k + 5_000], pa.binary())], ["doc_id", "names", "hot"])
+        yield from flagged(doc[back], name[back], np.repeat(weight >= hot_from, size)[back])
 
     rows = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text").mapInArrow(name_runs, NAMED)
     return rows.repartition(n_parts, "part").mapInArrow(count, FLAGGED)
 
 
-FRAGMENTS = "name long, key1 long, key2 long, doc_id long, start int, n int, words binary"
+FRAGMENTS = "name long, key1 long, key2 long, hot boolean, doc_id long, words binary, docs binary, starts binary"
 
 
 def fragments(docs: DataFrame, flagged: DataFrame, window: int) -> DataFrame:
-    """Rows with `words` are a slice's distinct fragments, with their smallest doc_id; rows without are their places."""
-    lists = flagged.groupBy("doc_id").agg(F.collect_list("names").alias("names"), F.collect_list("hot").alias("hot"))
+    """A row for each fragment and task: its words, its smallest document, and the documents (8 bytes each) and places (4 bytes)
+    where it stands."""
+    lists = flagged.groupBy("doc_id").agg(F.collect_list("name").alias("names"), F.collect_list("hot").alias("hot"))
     rows = docs.select("doc_id", "text").join(lists, "doc_id")
+    names_of = [x.split()[0] for x in FRAGMENTS.split(", ")]
+
+    def places(batch: pa.RecordBatch) -> tuple[Words, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+        """Of the batch's fragments: hot, doc_id, first word, windows, place in the text, name and keys."""
+        words, ids = Words(batch.column("text"), window), batch.column("doc_id").to_numpy()
+        bounds = np.searchsorted(words.run_doc, np.arange(len(ids) + 1))
+        keep, hot = np.zeros(len(words.run_name), bool), np.zeros(len(words.run_name), bool)
+        names, hots = batch.column("names"), batch.column("hot")
+        for k in range(len(ids)):
+            have = names[k].values.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+            is_hot = hots[k].values.to_numpy(zero_copy_only=False).astype(bool)
+            own = slice(bounds[k], bounds[k + 1])
+            keep[own] = np.isin(words.run_name[own], have)
+            hot[own] = np.isin(words.run_name[own], have[is_hot])
+        at = np.flatnonzero(keep)
+        start, n = words.run_start[at], words.run_n[at]
+        with np.errstate(over="ignore"):
+            keys = [_sequence_hash(words.hashes, start, n + window - 1, seed) for seed in (1, 2)]
+        return words, hot[at], ids[words.run_doc[at]], start, n, start - words.first[words.run_doc[at]], [words.run_name[at], *keys]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "text"):
-            words, ids = Words(batch.column("text"), window), batch.column("doc_id").to_numpy()
-            bounds = np.searchsorted(words.run_doc, np.arange(len(ids) + 1))
-            keep, hot = np.zeros(len(words.run_name), bool), np.zeros(len(words.run_name), bool)
-            for k, (names, hots) in enumerate(zip(batch.column("names").to_pylist(), batch.column("hot").to_pylist(), strict=True)):
-                have, is_hot = np.frombuffer(b"".join(names), np.uint64), np.frombuffer(b"".join(hots), np.uint8)
-                own = slice(bounds[k], bounds[k + 1])
-                keep[own] = np.isin(words.run_name[own], have)
-                hot[own] = np.isin(words.run_name[own], have[is_hot > 0])
-            # A hot run becomes its single windows.
-            at = np.flatnonzero(keep)
-            times = np.where(hot[at], words.run_n[at], 1)
-            at = np.repeat(at, times)
-            step = np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times)
-            start, n = words.run_start[at] + step, np.where(hot[at], 1, words.run_n[at])
-            size = n + window - 1
-            with np.errstate(over="ignore"):
-                keys = [_sequence_hash(words.hashes, start, size, seed) for seed in (1, 2)]
-            name = np.where(hot[at], keys[0], words.run_name[at])
-            doc = ids[words.run_doc[at]]
-            order = np.lexsort((doc, keys[1], keys[0]))
+        held: dict[tuple[int, int, int, bool], list] = {}
+        size = 0
+
+        def merged() -> Iterator[pa.RecordBatch]:
+            rows = list(held.items())
+            for k in range(0, len(rows), 20_000):
+                part = rows[k : k + 20_000]
+                docs = [np.concatenate(v[1]) for _, v in part]
+                columns = [pa.array(np.array([key[j] for key, _ in part], np.uint64).view(np.int64)) for j in range(3)]
+                columns += [pa.array([key[3] for key, _ in part], pa.bool_()), pa.array([int(d.min()) for d in docs], pa.int64()), pa.array([v[0] for _, v in part], pa.binary())]
+                columns += [pa.array([d.tobytes() for d in docs], pa.binary()), pa.array([np.concatenate(v[2]).astype(np.int32).tobytes() for _, v in part], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names_of)
+
+        for batch in pieces(batches, "text", 2_000_000):
+            words, hot, doc, start, n, where, keys = places(batch)
+            order = np.lexsort((doc, keys[2], keys[1]))
             new = np.ones(len(order), bool)
-            new[1:] = (keys[0][order[1:]] != keys[0][order[:-1]]) | (keys[1][order[1:]] != keys[1][order[:-1]])
-            own = order[new]
-            texts = [words.text(int(s), int(k)) for s, k in zip(start[own], size[own], strict=True)]
-            where = start - words.first[words.run_doc[at]]
-            pick = np.concatenate([own, np.arange(len(at))])
-            columns = [pa.array(x.view(np.int64)[pick]) for x in (name, *keys)] + [pa.array(doc[pick]), pa.array(where[pick].astype(np.int32)), pa.array(n[pick].astype(np.int32))]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(texts + [None] * len(at), pa.binary())], [x.split()[0] for x in FRAGMENTS.split(", ")])
+            new[1:] = (keys[1][order[1:]] != keys[1][order[:-1]]) | (keys[2][order[1:]] != keys[2][order[:-1]])
+            head = np.flatnonzero(new)
+            for i, j in zip(head.tolist(), [*head[1:].tolist(), len(order)], strict=True):
+                k = order[i]
+                at = held.get(key := (int(keys[0][k]), int(keys[1][k]), int(keys[2][k]), bool(hot[k])))
+                if at is None:
+                    at = held[key] = [words.text(int(start[k]), int(n[k]) + window - 1), [], []]
+                    size += len(at[0]) + 200
+                own = order[i:j]
+                at[1].append(doc[own])
+                at[2].append(where[own])
+                size += 12 * len(own) + 200
+            if size >= TASK_BYTES:
+                yield from merged()
+                held.clear()
+                size = 0
+        yield from merged()
 
     return rows.mapInArrow(run, FRAGMENTS)
 
@@ -287,47 +308,61 @@ class Automaton:
         return copy
 
 
-def first_documents(rows: list[tuple[int, int, int, int, bytes]], window: int) -> Iterator[tuple[int, int, list[int]]]:
-    """(key1, key2, first document of each window; one number where all are alike) of a shard's fragments, given as
-    (name, key1, key2, doc_id, words), whole names together."""
-    least: dict[tuple[int, int, int], tuple[int, bytes]] = {}
-    for name, key1, key2, doc, words in rows:
-        at = (name, key1, key2)
-        if at not in least or doc < least[at][0]:
-            least[at] = doc, words
+def first_documents(rows: list[tuple], window: int) -> Iterator[tuple[tuple[int, int], list[int], list[tuple]]]:
+    """Keys, first document of each window (one number where all are alike) and rows of each distinct fragment of a shard.
+    rows: (name, key1, key2, doc_id, words, ...), whole names together."""
+    same: dict[tuple[int, int, int], list[tuple]] = {}
+    for row in rows:
+        same.setdefault(row[:3], []).append(row)
     names: dict[int, int] = {}
-    for name, _, _ in least:
+    for name, _, _ in same:
         names[name] = names.get(name, 0) + 1
     shard = []
-    for (name, key1, key2), (doc, words) in least.items():
+    for (name, *keys), own in same.items():
+        least = min(own, key=lambda r: r[3])
         if names[name] == 1:
-            yield key1, key2, [doc]
+            yield tuple(keys), [least[3]], own
         else:
-            shard.append((doc, key1, key2, words))
+            shard.append((least[3], *keys, least[4], own))
     automaton = Automaton(window)
-    for doc, key1, key2, words in sorted(shard):
+    for doc, key1, key2, words, own in sorted(shard, key=lambda x: x[:3]):
         split = words.split()
         found = automaton.matches(split, doc)
         automaton.add(split, doc)
-        yield key1, key2, found if len(set(found)) > 1 else found[:1]
+        yield (key1, key2), found if len(set(found)) > 1 else found[:1], own
 
 
-FIRST = "key1 long, key2 long, firsts array<long>"
+REMOVED = "doc_id long, start int, n int"
+
+
+def removals(firsts: list[int], n: int, docs: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Document, first window and number of windows of each stretch that goes."""
+    if len(firsts) == 1:
+        gone = docs > firsts[0]
+        return docs[gone], starts[gone], np.full(int(gone.sum()), n, np.int32)
+    gone = docs[:, None] > np.array(firsts)
+    edge = np.diff(np.pad(gone, ((0, 0), (1, 1))).astype(np.int8), axis=1)
+    row, begin = np.nonzero(edge == 1)
+    _, end = np.nonzero(edge == -1)
+    return docs[row], (starts[row] + begin).astype(np.int32), (end - begin).astype(np.int32)
+
+
+def _removed(rows: list[tuple[list[int], int, bytes, bytes]]) -> pa.RecordBatch:
+    """REMOVED of (first documents, windows, docs, starts)."""
+    gone = [removals(f, n, np.frombuffer(d, np.int64), np.frombuffer(s, np.int32)) for f, n, d, s in rows]
+    columns = [np.concatenate([g[i] for g in gone]) if gone else np.zeros(0) for i in range(3)]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int32()), strict=True)], ["doc_id", "start", "n"])
 
 
 def judge(found: DataFrame, window: int, n_parts: int) -> DataFrame:
-    """FIRST of every distinct fragment."""
+    """REMOVED of the fragments of names that are not hot."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         size = 0
-
-        def out() -> pa.RecordBatch:
-            a, b, c = zip(*first_documents(held, window), strict=True)
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.list_(pa.int64()))], ["key1", "key2", "firsts"])
-
+        out = lambda: _removed([(firsts, own[0][4].count(b" ") + 2 - window, b"".join(r[5] for r in own), b"".join(r[6] for r in own)) for _, firsts, own in first_documents(held, window)])
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("name", "key1", "key2", "doc_id", "words")), strict=True):
+            for row in zip(*(batch.column(c).to_pylist() for c in ("name", "key1", "key2", "doc_id", "words", "docs", "starts")), strict=True):
                 if size >= SHARD_WORDS and row[0] != held[-1][0]:
                     yield out()
                     held, size = [], 0
@@ -336,20 +371,49 @@ def judge(found: DataFrame, window: int, n_parts: int) -> DataFrame:
         if held:
             yield out()
 
-    rows = found.where("words is not null").select("name", "key1", "key2", "doc_id", "words")
-    return rows.repartition(n_parts, "name").sortWithinPartitions("name").mapInArrow(run, FIRST)
+    rows = found.where("not hot").select("name", "key1", "key2", "doc_id", "words", "docs", "starts")
+    return rows.repartition(n_parts, "name").sortWithinPartitions("name").mapInArrow(run, REMOVED)
+
+
+WINDOWS = "key1 long, key2 long, idx int, w1 long, w2 long, doc_id long"
+
+
+def judge_hot(found: DataFrame, window: int) -> DataFrame:
+    """REMOVED of the fragments of hot names, which are few distinct ones in very many places: each distinct one is cut into
+    its windows once, a window's first document is a partial aggregate, and only the result meets the places."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[tuple] = []
+            for key1, key2, doc, words in zip(*(batch.column(c).to_pylist() for c in ("key1", "key2", "doc_id", "words")), strict=True):
+                split = words.split()
+                for i in range(len(split) - window + 1):
+                    digest = hashlib.blake2b(b" ".join(split[i : i + window]), digest_size=16).digest()
+                    rows.append((key1, key2, i, int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True), doc))
+            if rows:
+                types = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], [x.split()[0] for x in WINDOWS.split(", ")])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            firsts = [[x["first"] for x in f] for f in batch.column("firsts").to_pylist()]
+            short = [f if len(set(f)) > 1 else f[:1] for f in firsts]
+            yield _removed([(s, len(f), d, p) for s, f, d, p in zip(short, firsts, batch.column("docs").to_pylist(), batch.column("starts").to_pylist(), strict=True)])
+
+    hot = found.where("hot")
+    distinct = hot.groupBy("key1", "key2").agg(F.min("doc_id").alias("doc_id"), F.first("words").alias("words"))
+    windows = materialize(distinct.mapInArrow(cut, WINDOWS), "windows")
+    first = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("first"))
+    firsts = windows.join(first, ["w1", "w2"]).groupBy("key1", "key2").agg(F.array_sort(F.collect_list(F.struct("idx", "first"))).alias("firsts"))
+    return hot.select("key1", "key2", "docs", "starts").join(firsts, ["key1", "key2"]).select("firsts", "docs", "starts").mapInArrow(meet, REMOVED)
 
 
-def removed_windows(docs: DataFrame, window: int) -> DataFrame:
+def removed_windows(docs: DataFrame, window: int, hot_from: int = HOT) -> DataFrame:
     """(doc_id, windows): start and number of the windows of each document that go, for documents that have any."""
     n_parts = partitions(docs)
-    found = materialize(fragments(docs, name_counts(docs, window, n_parts), window), "fragments")
-    firsts = judge(found, window, n_parts)
-    places = found.where("words is null").select("key1", "key2", "doc_id", "start", "n")
-    rows = places.join(firsts, ["key1", "key2"]).where(F.array_min("firsts") < F.col("doc_id"))
-    each = F.filter(F.transform("firsts", lambda x, i: F.when(x < F.col("doc_id"), F.struct((F.col("start") + i).alias("start"), F.lit(1).alias("n")))), lambda x: x.isNotNull())
-    spans = F.when(F.size("firsts") == 1, F.array(F.struct("start", "n"))).otherwise(each)
-    return rows.groupBy("doc_id").agg(F.flatten(F.collect_list(spans)).alias("windows"))
+    found = materialize(fragments(docs, name_counts(docs, window, n_parts, hot_from), window), "fragments")
+    rows = materialize(judge(found, window, n_parts).union(judge_hot(found, window)), "removed")
+    return rows.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("windows"))
 
 
 def _kept(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, windows: list[dict] | None, window: int) -> tuple[int, int, bytes]:
@@ -365,13 +429,13 @@ def _kept(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, windows: list[
     return len(starts), int((~keep).sum()), b" ".join([w for w, k in zip(words, keep.tolist(), strict=True) if k])
 
 
-def _apply(docs: DataFrame, window: int, schema: T.StructType, result) -> DataFrame:
+def _apply(docs: DataFrame, window: int, schema: T.StructType, result, hot_from: int = HOT) -> DataFrame:
     names = docs.columns
-    marks = removed_windows(docs, window).select(F.col("doc_id").alias("sd__id"), F.col("windows").alias("sd__windows"))
+    marks = removed_windows(docs, window, hot_from).select(F.col("doc_id").alias("sd__id"), F.col("windows").alias("sd__windows"))
     rows = docs.join(marks, F.col("doc_id") == F.col("sd__id"), "left").select(*names, "sd__windows")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "text"):
+        for batch in pieces(batches, "text", 2_000_000):
             data, offsets = text_bytes(batch.column("text"))
             starts, ends, first = word_spans(data, offsets)
             marks = batch.column("sd__windows").to_pylist()
@@ -381,14 +445,14 @@ def _apply(docs: DataFrame, window: int, schema: T.StructType, result) -> DataFr
     return rows.mapInArrow(run, schema)
 
 
-def substring_digest(docs: DataFrame, window: int = 13) -> DataFrame:
+def substring_digest(docs: DataFrame, window: int = 13, hot_from: int = HOT) -> DataFrame:
     """One row for each document: doc_id, n_words, n_removed, kept_sha256."""
 
     def result(batch: pa.RecordBatch, done: list) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array([d[0] for d in done], pa.int64()), pa.array([d[1] for d in done], pa.int64()), pa.array([hashlib.sha256(d[2]).hexdigest() for d in done])], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType())])
-    return _apply(docs.select("doc_id", "text"), window, schema, result)
+    return _apply(docs.select("doc_id", "text"), window, schema, result, hot_from)
 
 
 def deduplicated(docs: DataFrame, window: int = 13) -> DataFrame:
