@@ -158,7 +158,7 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, level: int
                         raise ValueError("a page without page_id can't be archived")
                     if out is None:
                         done.append([f"{base}/{uuid.uuid4().hex}.warc.zst", 0, 0])
-                        out = where.open_output_stream(done[-1][0])
+                        out = where.open_output_stream(done[-1][0], compression=None)
                         out.write(header_frame(dictionary))
                     payload = (r["html"] or "").encode()
                     digest = base64.b32encode(bytes.fromhex(r["_digest"])).decode()
@@ -189,7 +189,7 @@ def read_archives(manifest: DataFrame, payloads: bool = True) -> DataFrame:
             for path in batch.column("path").to_pylist():
                 where, name = fs.FileSystem.from_uri(path)
                 rows, size = [], 0
-                with where.open_input_stream(name) as stream:
+                with where.open_input_stream(name, compression=None) as stream:
                     for record in read_archive(stream):
                         rows.append(parse(record))
                         if not payloads:
