@@ -8,12 +8,12 @@ came last) finds the cheapest repair; ties prefer, in this order, keep, merge, i
 The cost of a stretch of turns is a matrix (state before, state after), and stretches compose by (min, +). So a conversation
 of any length is repaired in parts: the turns are range-partitioned by conversation and turn; conversations that lie within a
 part are solved there; of one that crosses parts, each part sends its matrix (16 numbers, at most two for each part, to the
-driver), the states at the crossings are chosen, and every part then finds its own turns' repair between them. No task
-holds a whole hot conversation.
+driver), then, given the costs in front of it, which state each last state came from; so the states at the crossings are
+those of an undivided run, and every part finds its own turns' repair between them. No task holds a whole hot conversation.
 
 Result: a row for each given turn and each inserted one: conv_id, turn, slot (0: inserted before the turn, 1: the turn, 2:
-inserted at the end), role, action, rendered. Joined in the order of (turn, given role, text, slot), `rendered` is the
-conversation in ChatML; `render` does that for conversations that fit in a row.
+inserted at the end), role, action, rendered, seq. Joined in the order of seq (whose order alone means anything), `rendered`
+is the conversation in ChatML; `render` does that for conversations that fit in a row.
 
 Defined results: role names are trimmed and lower-cased, with a few other names known; null and unknown roles take any role
 at a lower cost; null text is an empty turn; rows of a null conv_id are one conversation, first in order; null turns come
@@ -101,6 +101,19 @@ def matrix(roles: list[int]) -> list[list[int]]:
     return out
 
 
+def origins(roles: list[int], before: list[int]) -> list[int]:
+    """For each state after the turns, the state in front of them from which the repair comes, given the costs there."""
+    cost, origin = list(before), list(range(4))
+    for r in roles:
+        new, of = [FAR] * 4, [0] * 4
+        for state in range(4):
+            for to in range(4):
+                if cost[state] + STEP[r][state][to] < new[to]:
+                    new[to], of[to] = cost[state] + STEP[r][state][to], origin[state]
+        cost, origin = new, of
+    return origin
+
+
 def end_cost(state: int) -> int:
     return INSERT * len(ENDING[state])
 
@@ -150,7 +163,7 @@ def rows_of(turns: list[tuple], roles: list[int], entry: int, leave: int | None)
     yield from map(tuple, out)
 
 
-RESULT = "conv_id long, turn long, slot int, role string, action string, rendered string"
+RESULT = "conv_id long, turn long, slot int, role string, action string, rendered string, seq long"
 MATRICES = "part int, conv_id long, edge string, costs array<long>"
 
 
@@ -195,14 +208,26 @@ def format_chats(conversations: DataFrame) -> DataFrame:
                 costs = [c for row in matrix([role_of(t[2]) for t in turns]) for c in row]
                 yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "conv_id": pa.array([turns[0][0]], pa.int64()), "edge": ["both" if first and last else "first" if first else "last"], "costs": pa.array([costs], pa.list_(pa.int64()))})
 
-    crossing = crossings(parts.select("part", "conv_id", "turn", "role", F.lit("").alias("text"), "_place").mapInArrow(edges, MATRICES).orderBy("part", "edge").collect())
+    bare = parts.select("part", "conv_id", "turn", "role", F.lit("").alias("text"), "_place")
+    chains = chains_of(bare.mapInArrow(edges, MATRICES).collect())
+    costs = costs_before(chains)
+
+    def traces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, turns in _segments(batches):
+            if (before := costs.get((part, turns[0][0]))) is not None:
+                found = origins([role_of(t[2]) for t in turns], before)
+                yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "conv_id": pa.array([turns[0][0]], pa.int64()), "edge": ["trace"], "costs": pa.array([found], pa.list_(pa.int64()))})
+
+    crossing = crossings(chains, {(r.part, r.conv_id): r.costs for r in bare.mapInArrow(traces, MATRICES).collect()} if costs else {})
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, size = [], 0
+        out, size, at, n = [], 0, None, 0
         for part, turns in _segments(batches):
+            at, n = part, n if part == at else 0
             entry, leave = crossing.get((part, turns[0][0]), (START, None))
             made = list(rows_of([(c, t, x) for c, t, _, x in turns], [role_of(r) for _, _, r, _ in turns], entry, leave))
-            out += made
+            out += [(*r, (part << 40) + n + k) for k, r in enumerate(made)]
+            n += len(made)
             size += sum(len(r[-1]) for r in made)
             if size > 4_000_000:
                 yield _batch(out)
@@ -214,35 +239,47 @@ def format_chats(conversations: DataFrame) -> DataFrame:
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    types = (pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.string(), pa.string())
+    types = (pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.int64())
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], [x.split()[0] for x in RESULT.split(", ")])
 
 
-def crossings(edges: list) -> dict[tuple[int, int | None], tuple[int, int | None]]:
-    """States before and after each part's share of every conversation that crosses parts."""
+def chains_of(edges: list) -> list[list]:
+    """The shares of each conversation that crosses parts, in order."""
     chains: list[list] = []
-    edges = sorted(edges, key=lambda e: (e.part, e.edge == "last"))
-    for e in edges:
+    for e in sorted(edges, key=lambda e: (e.part, e.edge == "last")):
         if chains and chains[-1][-1].conv_id == e.conv_id and chains[-1][-1].part != e.part and e.edge != "last":
             chains[-1].append(e)
         else:
             chains.append([e])
+    return [c for c in chains if len(c) > 1]
+
+
+def costs_before(chains: list[list]) -> dict[tuple[int, int | None], list[int]]:
+    """Cheapest cost of each state in front of every share."""
     out = {}
-    for chain in (c for c in chains if len(c) > 1):
-        cost, back = [0, FAR, FAR, FAR], []
+    for chain in chains:
+        cost = [0, FAR, FAR, FAR]
         for e in chain:
-            m = [e.costs[4 * s : 4 * s + 4] for s in range(4)]
-            back.append([min(range(4), key=lambda s, t=t, m=m: (cost[s] + m[s][t], s)) for t in range(4)])
-            cost = [min(cost[s] + m[s][t] for s in range(4)) for t in range(4)]
+            out[e.part, e.conv_id] = cost
+            cost = [min(FAR, *(cost[s] + e.costs[4 * s + t] for s in range(4))) for t in range(4)]
+        out[None, chain[0].conv_id, chain[0].part] = cost
+    return out
+
+
+def crossings(chains: list[list], came_from: dict) -> dict[tuple[int, int | None], tuple[int, int | None]]:
+    """States before and after each part's share of every conversation that crosses parts."""
+    ends, out = costs_before(chains), {}
+    for chain in chains:
+        cost = ends[None, chain[0].conv_id, chain[0].part]
         state = min(range(4), key=lambda s: (cost[s] + end_cost(s), s))
         for k in range(len(chain) - 1, -1, -1):
-            before = back[k][state]
-            out[chain[k].part, chain[k].conv_id] = before, None if k == len(chain) - 1 else state
-            state = before
+            at = chain[k].part, chain[k].conv_id
+            out[at] = came_from[at][state], None if k == len(chain) - 1 else state
+            state = came_from[at][state]
     return out
 
 
 def render(formatted: DataFrame) -> DataFrame:
     """(conv_id, text): whole conversations, for those that fit in a row."""
-    parts = F.array_sort(F.collect_list(F.struct(F.col("turn"), F.col("slot"), F.col("rendered"))))
+    parts = F.array_sort(F.collect_list(F.struct("seq", "rendered")))
     return formatted.groupBy("conv_id").agg(parts.alias("p")).select("conv_id", F.array_join(F.transform("p", lambda x: x["rendered"]), "").alias("text"))

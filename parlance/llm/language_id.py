@@ -98,14 +98,16 @@ def learn_model(samples: dict[str, list[str]]) -> Model:
     tables, offsets = [], []
     for n in names:
         goto = suffix_automaton([number[c] for c in joined[n]])
-        root = np.ones(width, np.int32)  # a phrase of one unknown symbol, and back to the root
+        lone = len(goto)  # the state after a symbol that no phrase holds: every symbol begins a phrase there
+        root = np.full(width, 2 * lone + 1, np.int32)
         for c, state in goto[0].items():
             root[c] = 2 * state + 1
-        table = np.tile(root, (len(goto), 1))
+        table = np.tile(root, (lone + 1, 1))
         for state, row in enumerate(goto):
             for c, to in row.items():
                 table[state, c] = 2 * to
-        table[:, -1] = 2 * np.arange(len(goto))
+        table[0] -= table[0] & 1  # the root is where a parse begins: its first phrase is counted already
+        table[:, -1] = 2 * np.arange(lone + 1)
         offsets.append(sum(len(t) for t in tables))
         tables.append(table)
     bits = np.array([np.log2(max(2, len(joined[n]))) for n in names])
