@@ -91,6 +91,15 @@ def decode_wav(data: bytes) -> np.ndarray:
         return x
 
 
+def empty_files(spark: SparkSession, path: str) -> list[str]:
+    """Files of no bytes at a path, pattern or folder: Spark's reader leaves them out, so they are listed here."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    where = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = [x for s in (where.globStatus(at) or []) for x in (where.listStatus(s.getPath()) if s.isDirectory() else [s])]
+    return [x.getPath().toString() for x in found if x.isFile() and x.getLen() == 0]
+
+
 AUDIO = "path string, length long, samples int, duration double, rms double, method string, error string, warnings array<string>"
 SHORT_S, QUIET_RMS = 1.0, 1e-4  # fixed values
 
@@ -125,7 +134,9 @@ def read_audio(spark: SparkSession, path: str, decoders: tuple[tuple[str, Decode
             yield pd.DataFrame(out, columns=names).astype({"samples": "Int32"})
 
     schema = AUDIO + (", pcm binary" if payload else "")
-    return spark.read.format("binaryFile").load(path).select("path", "length", "content").mapInPandas(run, schema)
+    rows = spark.read.format("binaryFile").load(path).select("path", "length", "content").mapInPandas(run, schema)
+    empty = [(p, 0, "the file is empty") for p in empty_files(spark, path)]
+    return rows.unionByName(spark.createDataFrame(empty, "path string, length long, error string"), allowMissingColumns=True) if empty else rows
 
 
 def read_cached(spark: SparkSession, cache: str, files: DataFrame, compute: Callable[[DataFrame], DataFrame]) -> DataFrame:
