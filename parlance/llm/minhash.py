@@ -8,13 +8,16 @@
    sketches; a larger one branches by further tokens. A class is in one node of each tree and level, so the work is linear
    in the classes whatever the groups' sizes. Nodes still larger at the last level hold classes that agree in all of
    DEPTHS[-1] tokens: every class is then paired with the node's smallest, and compared within seeded parts of LIMIT.
-   Of a class's partners in a node the PARTNERS most similar become candidates; other trees give it other nodes.
+   Of a class's partners in a node the PARTNERS most similar become candidates: a first choice, completed in step 5.
    A pair of similarity s meets in a tree at depth d with s^d: over 20 trees at depth 3 six pairs in 10^7 of similarity 0.8
    are missed, at depth 6 two in 10^3; only pairs in groups of over LIMIT come so deep, which have other ways to be connected.
 4. Candidates are confirmed on full sets, made again from the texts: first the most similar candidate of every class; after
    the components of what was confirmed, all candidates between different components. So links are exact. Which texts are
    read for this is told by a bitmap of ids (bounded; a false hit costs a set too many), so texts cross no exchange.
 
+5. Every pair of classes of different components that shares a node of the first level with at most LIMIT classes is then
+   compared by sketches, and all that pass are confirmed as in step 4. Only pairs that confirmed links connect are left out.
+
 The sketch threshold lies over five standard deviations below the similarity. Nothing but counts reaches the driver.
 
 Defined results: null texts and texts without words have an empty set, size 0, and are linked with nothing; a text with
@@ -99,8 +102,12 @@ def describe(docs: DataFrame, n: int, seed: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, SETS)
 
 
-def compare_nodes(rows: DataFrame, threshold: float, n_parts: int) -> DataFrame:
-    """Candidates (a, b, alike) from rows of (node, id, sketch): exhaustive within each node, of at most LIMIT rows."""
+def compare_nodes(rows: DataFrame, threshold: float, n_parts: int, percent: int | None = None) -> DataFrame:
+    """Candidates (a, b, alike) from rows of (node, id, sketch): the most similar PARTNERS of each row within its node.
+
+    With `percent`, rows have component and size too, and all pairs of different components come whose sizes allow a link.
+    """
+    apart = percent is not None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
@@ -108,11 +115,15 @@ def compare_nodes(rows: DataFrame, threshold: float, n_parts: int) -> DataFrame:
         def compared(table: pa.Table) -> pa.RecordBatch | None:
             node, ids = table.column("node").to_numpy(), table.column("id").to_numpy()
             sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(-1, COORDINATES)
+            component, size = (table.column(c).to_numpy() for c in ("component", "size")) if apart else (None, None)
             left, right, alike = [], [], []
             for d in range(1, len(node)):
                 at = np.flatnonzero(node[d:] == node[:-d])
                 if not len(at):
                     break
+                if apart:
+                    x, y = size[at], size[at + d]
+                    at = at[(component[at] != component[at + d]) & (100 * np.minimum(x, y) >= percent * np.maximum(x, y))]
                 same = (sketch[at] == sketch[at + d]).sum(axis=1)
                 at, same = at[same >= threshold * COORDINATES], same[same >= threshold * COORDINATES]
                 left.append(at)
@@ -122,8 +133,9 @@ def compare_nodes(rows: DataFrame, threshold: float, n_parts: int) -> DataFrame:
                 return None
             left, right, alike = np.concatenate(left), np.concatenate(right), np.concatenate(alike)
             order = np.lexsort((left, -alike, right))
-            place = np.arange(len(order)) - np.searchsorted(right[order], right[order])
-            order = order[place < PARTNERS]
+            if not apart:
+                place = np.arange(len(order)) - np.searchsorted(right[order], right[order])
+                order = order[place < PARTNERS]
             a, b = ids[left[order]], ids[right[order]]
             some = a != b
             return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)[some]), pa.array(np.maximum(a, b)[some]), pa.array(alike[order][some].astype(np.int32))], ["a", "b", "alike"])
@@ -140,17 +152,25 @@ def compare_nodes(rows: DataFrame, threshold: float, n_parts: int) -> DataFrame:
         if held is not None and len(held) and (out := compared(held)) is not None:
             yield out
 
-    return rows.select("node", "id", "sketch").repartition(n_parts, "node").sortWithinPartitions("node").mapInArrow(run, "a long, b long, alike int")
+    columns = ["node", "id", "sketch", *(["component", "size"] if apart else [])]
+    return rows.select(*columns).repartition(n_parts, "node").sortWithinPartitions("node").mapInArrow(run, "a long, b long, alike int")
+
 
+def sketch_threshold(percent: int) -> float:
+    similarity = percent / 100
+    return similarity - 5 * (similarity * (1 - similarity) / COORDINATES) ** 0.5
 
-def candidates(classes: DataFrame, similarity: float, seed: int) -> DataFrame:
-    """Pairs of classes (id, sketch, nodes) that may be similar enough, as (a, b, alike)."""
-    threshold = similarity - 5 * (similarity * (1 - similarity) / COORDINATES) ** 0.5
+
+def candidates(classes: DataFrame, percent: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """Likely links of classes (id, sketch, nodes), as (a, b, alike), and the rows (node, id, n) of all shared nodes of the
+    first level."""
+    threshold = sketch_threshold(percent)
     n_parts = partitions(classes)
-    found, live = [], classes.select("id", F.slice("nodes", 1, TREES).alias("own")).select("id", F.posexplode("own").alias("tree", "node"))
+    shared, found, live = None, [], classes.select("id", F.slice("nodes", 1, TREES).alias("own")).select("id", F.posexplode("own").alias("tree", "node"))
     for level in range(len(DEPTHS)):
         sizes = live.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("low")).where("n > 1")
         rows = materialize(live.join(sizes, "node"), "nodes")
+        shared = shared if level else rows
         fit = rows.where(F.col("n") <= LIMIT)
         if level == len(DEPTHS) - 1:
             parts = F.pmod(F.xxhash64("id", "tree", F.lit(seed)), F.ceil(2 * F.col("n") / LIMIT))
@@ -166,7 +186,16 @@ def candidates(classes: DataFrame, similarity: float, seed: int) -> DataFrame:
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
-    return out.distinct()
+    return out.distinct(), shared.select("node", "id", "n")
+
+
+def between_components(shared: DataFrame, classes: DataFrame, component: DataFrame, percent: int) -> DataFrame:
+    """All pairs of classes of different components that share a node and may be similar enough, as (a, b, alike)."""
+    rows = shared.where(F.col("n") <= LIMIT).join(component, "id", "left").select("node", "id", "n", F.coalesce("component", "id").alias("component"))
+    several = rows.groupBy("node").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("node")
+    rows = materialize(rows.join(several, "node", "left_semi"), "apart")
+    rows = rows.join(classes.select("id", "sketch", "size"), "id")
+    return compare_nodes(rows, sketch_threshold(percent), partitions(classes), percent).distinct()
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -214,28 +243,37 @@ def _best(pairs: DataFrame) -> DataFrame:
     return top.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, seed: int = 0) -> DataFrame:
-    """One row for each document: doc_id, n_shingles, component_id (smallest doc_id reachable by links), kept."""
-    described = materialize(describe(docs, shingle, seed), "sets")
-    keys = ["key1", "key2", "n_shingles"]
-    first = materialize(described.where("n_shingles > 0").groupBy(*keys).agg(F.min("doc_id").alias("id")), "classes")
-    classes = described.join(first.select("id"), F.col("doc_id") == F.col("id"), "left_semi").where("n_shingles > 0").select(F.col("doc_id").alias("id"), "sketch", "nodes")
-    pairs = materialize(candidates(classes, percent / 100, seed), "pairs")
+def settle(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int, links: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Confirms pairs until all that are left lie within components: (components, links with those given, judged pairs)."""
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
     sets = materialize(members(docs, ids, shingle), "members").dropDuplicates(["id"])
-
     judged = materialize(confirm(_best(pairs), sets, percent), "links")
-    links = judged.where("linked").select("a", "b")
+    new = judged.where("linked").select("a", "b")
+    links = new if links is None else links.union(new)
     while True:
         component = connected_components(links)
         of = lambda side: component.select(F.col("id").alias(side), F.col("component").alias(f"of_{side}"))  # noqa: E731, B023
         rest = pairs.join(judged.select("a", "b"), ["a", "b"], "left_anti").join(of("a"), "a", "left").join(of("b"), "b", "left")
         rest = materialize(rest.where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b"), "rest")
         if rest.isEmpty():
-            break
+            return component, links, judged
         more = materialize(confirm(rest, sets, percent), "links")
         judged = judged.unionByName(more)
         links = links.union(more.where("linked").select("a", "b"))
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, seed: int = 0) -> DataFrame:
+    """One row for each document: doc_id, n_shingles, component_id (smallest doc_id reachable by links), kept."""
+    described = materialize(describe(docs, shingle, seed), "sets")
+    keys = ["key1", "key2", "n_shingles"]
+    first = materialize(described.where("n_shingles > 0").groupBy(*keys).agg(F.min("doc_id").alias("id")), "classes")
+    classes = described.join(first.select("id"), F.col("doc_id") == F.col("id"), "left_semi").where("n_shingles > 0").select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("size"), "sketch", "nodes")
+    pairs, shared = candidates(classes, percent, seed)
+    component, links, judged = settle(materialize(pairs, "pairs"), docs, shingle, percent)
+    others = between_components(shared, classes, component, percent).join(judged.select("a", "b"), ["a", "b"], "left_anti")
+    others = materialize(others, "pairs")
+    if not others.isEmpty():
+        component = settle(others, docs, shingle, percent, links)[0]
     label = first.join(component, "id", "left").select(*keys, F.coalesce("component", "id").alias("component"))
     out = described.select("doc_id", *keys).join(label, keys, "left").withColumn("component_id", F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))

@@ -95,6 +95,30 @@ def test_minhash_equals_brute_force(make, n):
     assert got == brute_classes(texts, n, 80)
 
 
+def families(sizes, seed):
+    """Of each size: an original, light copies (0.95 to it), and one heavier copy whose only link is to the original."""
+    rng, texts = random.Random(seed), []
+
+    def changed(words, places):
+        return " ".join(f"x{rng.random()}" if k in places else w for k, w in enumerate(words))
+
+    for f, n in enumerate(sizes):
+        words = [f"f{f}w{k}" for k in range(404)]
+        heavy = set(range(10, 400, 50))
+        free = [k for k in range(5, 400) if all(abs(k - h) > 5 for h in heavy)]
+        light = [sorted(rng.sample(free, 2)) for _ in range(n)]
+        light = [(a, b) if b - a >= 5 else (20, 30) for a, b in light]
+        texts += [" ".join(words), *(changed(words, p) for p in light), changed(words, heavy)]
+    return texts
+
+
+@pytest.mark.parametrize("sizes", [[12, 25, 40, 50, 60]])
+def test_minhash_finds_the_only_link_of_a_heavier_copy(make, sizes):
+    texts = families(sizes, 2)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(make(texts).repartition(4), 5, 80).collect()}
+    assert got == brute_classes(texts, 5, 80)
+
+
 def test_minhash_of_nothing(make, spark):
     assert minhash.near_duplicates(make([]).limit(0), 2, 80).count() == 0
     rows = spark.createDataFrame([(None, "a b c"), (7, "a b c"), (7, "a b c")], "doc_id long, text string")
