@@ -10,13 +10,14 @@
    DEPTHS[-1] tokens: every class is then paired with the node's smallest, and compared within seeded parts of LIMIT.
    Of a class's partners in a node the PARTNERS most similar become candidates: a first choice, completed in step 5.
    A pair of similarity s meets in a tree at depth d with s^d: over 20 trees at depth 3 six pairs in 10^7 of similarity 0.8
-   are missed, at depth 6 two in 10^3; only pairs in groups of over LIMIT come so deep, which have other ways to be connected.
+   are missed. Deeper levels miss more; they only find first links of groups of over LIMIT, which step 5 completes.
 4. Candidates are confirmed on full sets, made again from the texts: first the most similar candidate of every class; after
    the components of what was confirmed, all candidates between different components. So links are exact. Which texts are
    read for this is told by a bitmap of ids (bounded; a false hit costs a set too many), so texts cross no exchange.
 
-5. Every pair of classes of different components that shares a node of the first level with at most LIMIT classes is then
-   compared by sketches, and all that pass are confirmed as in step 4. Only pairs that confirmed links connect are left out.
+5. Every pair of classes of different components that shares a node of the first level, however large, is then compared by
+   sketches, and all that pass are confirmed as in step 4. Only pairs that confirmed links connect are left out. Nodes of
+   more than TILE classes are compared by tiles; a component of n classes and r others there cost n * r comparisons.
 
 The sketch threshold lies over five standard deviations below the similarity. Nothing but counts reaches the driver.
 
@@ -38,6 +39,7 @@ from parlance.llm.common import discard, gram_hashes, materialize, mix, partitio
 from parlance.llm.components import connected_components
 
 COORDINATES, TREES, DEPTHS, LIMIT, PARTNERS = 128, 20, (3, 6, 12), 64, 3
+TILE = 512  # classes of a block: a node of more is compared block by block
 MAX_BITS = (1 << 26) - 5  # a prime: the bitmap of documents in candidates has at most 8 MB
 SETS = "doc_id long, n_shingles long, key1 long, key2 long, sketch binary, nodes array<long>"
 
@@ -105,7 +107,8 @@ def describe(docs: DataFrame, n: int, seed: int) -> DataFrame:
 def compare_nodes(rows: DataFrame, threshold: float, n_parts: int, percent: int | None = None) -> DataFrame:
     """Candidates (a, b, alike) from rows of (node, id, sketch): the most similar PARTNERS of each row within its node.
 
-    With `percent`, rows have component and size too, and all pairs of different components come whose sizes allow a link.
+    With `percent`, rows have component, size and side too, and all pairs of different components come whose sizes allow a
+    link; rows of sides 0 and 1 are compared with the other side only, rows of side 2 with all.
     """
     apart = percent is not None
 
@@ -115,7 +118,7 @@ def compare_nodes(rows: DataFrame, threshold: float, n_parts: int, percent: int
         def compared(table: pa.Table) -> pa.RecordBatch | None:
             node, ids = table.column("node").to_numpy(), table.column("id").to_numpy()
             sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(-1, COORDINATES)
-            component, size = (table.column(c).to_numpy() for c in ("component", "size")) if apart else (None, None)
+            component, size, side = (table.column(c).to_numpy() for c in ("component", "size", "side")) if apart else (None, None, None)
             left, right, alike = [], [], []
             for d in range(1, len(node)):
                 at = np.flatnonzero(node[d:] == node[:-d])
@@ -123,7 +126,8 @@ def compare_nodes(rows: DataFrame, threshold: float, n_parts: int, percent: int
                     break
                 if apart:
                     x, y = size[at], size[at + d]
-                    at = at[(component[at] != component[at + d]) & (100 * np.minimum(x, y) >= percent * np.maximum(x, y))]
+                    meet = (component[at] != component[at + d]) & ((side[at] != side[at + d]) | (side[at] == 2))
+                    at = at[meet & (100 * np.minimum(x, y) >= percent * np.maximum(x, y))]
                 same = (sketch[at] == sketch[at + d]).sum(axis=1)
                 at, same = at[same >= threshold * COORDINATES], same[same >= threshold * COORDINATES]
                 left.append(at)
@@ -152,7 +156,7 @@ def compare_nodes(rows: DataFrame, threshold: float, n_parts: int, percent: int
         if held is not None and len(held) and (out := compared(held)) is not None:
             yield out
 
-    columns = ["node", "id", "sketch", *(["component", "size"] if apart else [])]
+    columns = ["node", "id", "sketch", *(["component", "size", "side"] if apart else [])]
     return rows.select(*columns).repartition(n_parts, "node").sortWithinPartitions("node").mapInArrow(run, "a long, b long, alike int")
 
 
@@ -189,13 +193,41 @@ def candidates(classes: DataFrame, percent: int, seed: int) -> tuple[DataFrame,
     return out.distinct(), shared.select("node", "id", "n")
 
 
-def between_components(shared: DataFrame, classes: DataFrame, component: DataFrame, percent: int) -> DataFrame:
+def tiles(wide: DataFrame, seed: int) -> DataFrame:
+    """Rows (node, id, component, n) of nodes of more than TILE classes, dealt to tiles of two blocks: (node, id, component, side).
+
+    A component of more than TILE classes has blocks of its own, the node's other classes share blocks. Two blocks of one
+    component have nothing to compare, so a large component costs as many tiles as it has blocks for each block of others.
+    """
+    counts = materialize(wide.groupBy("node", "component").agg(F.count(F.lit(1)).alias("own")), "counts")
+    large = counts.where(F.col("own") > TILE)
+    others = counts.where(F.col("own") <= TILE).groupBy("node").agg(F.sum("own").alias("others"))
+    rows = wide.join(large, ["node", "component"], "left").join(others, "node", "left")
+    owner = F.when(F.col("own").isNotNull(), F.col("component"))
+    part = F.pmod(F.xxhash64("id", F.lit(seed)), F.ceil(F.coalesce("own", "others") / TILE))
+    rows = rows.select("node", "id", "component", owner.alias("owner"), F.xxhash64(owner.isNotNull(), owner, part).alias("block"))
+    rows = materialize(rows, "blocks")
+    blocks = materialize(rows.select("node", "owner", "block").distinct(), "blocks")
+    a, b = blocks.alias("a"), blocks.alias("b")
+    meet = "a.node = b.node and a.block <= b.block and (a.owner is null or b.owner is null or a.owner <> b.owner)"
+    pairs = a.join(b, F.expr(meet)).select("a.node", F.col("a.block").alias("x"), F.col("b.block").alias("y")).withColumn("tile", F.xxhash64("node", "x", "y"))
+    one, two = F.col("x") == F.col("y"), F.col("x") != F.col("y")
+    sides = pairs.select("node", F.col("x").alias("block"), "tile", F.when(one, 2).otherwise(0).alias("side"))
+    sides = sides.union(pairs.where(two).select("node", F.col("y").alias("block"), "tile", F.lit(1).alias("side")))
+    return rows.join(sides, ["node", "block"]).select(F.col("tile").alias("node"), "id", "component", "side")
+
+
+def between_components(shared: DataFrame, classes: DataFrame, component: DataFrame, percent: int, seed: int) -> DataFrame:
     """All pairs of classes of different components that share a node and may be similar enough, as (a, b, alike)."""
-    rows = shared.where(F.col("n") <= LIMIT).join(component, "id", "left").select("node", "id", "n", F.coalesce("component", "id").alias("component"))
+    rows = shared.join(component, "id", "left").select("node", "id", "n", F.coalesce("component", "id").alias("component"))
     several = rows.groupBy("node").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("node")
     rows = materialize(rows.join(several, "node", "left_semi"), "apart")
-    rows = rows.join(classes.select("id", "sketch", "size"), "id")
-    return compare_nodes(rows, sketch_threshold(percent), partitions(classes), percent).distinct()
+    fit = rows.where(F.col("n") <= TILE).select("node", "id", "component", F.lit(2).alias("side"))
+    wide = rows.where(F.col("n") > TILE)
+    if not wide.isEmpty():
+        fit = fit.unionByName(tiles(wide, seed))
+    fit = fit.join(classes.select("id", "sketch", "size"), "id")
+    return compare_nodes(fit, sketch_threshold(percent), partitions(classes), percent).distinct()
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -270,7 +302,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, seed:
     classes = described.join(first.select("id"), F.col("doc_id") == F.col("id"), "left_semi").where("n_shingles > 0").select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("size"), "sketch", "nodes")
     pairs, shared = candidates(classes, percent, seed)
     component, links, judged = settle(materialize(pairs, "pairs"), docs, shingle, percent)
-    others = between_components(shared, classes, component, percent).join(judged.select("a", "b"), ["a", "b"], "left_anti")
+    others = between_components(shared, classes, component, percent, seed).join(judged.select("a", "b"), ["a", "b"], "left_anti")
     others = materialize(others, "pairs")
     if not others.isEmpty():
         component = settle(others, docs, shingle, percent, links)[0]

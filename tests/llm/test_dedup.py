@@ -108,17 +108,31 @@ def families(sizes, seed):
         free = [k for k in range(5, 400) if all(abs(k - h) > 5 for h in heavy)]
         light = [sorted(rng.sample(free, 2)) for _ in range(n)]
         light = [(a, b) if b - a >= 5 else (20, 30) for a, b in light]
-        texts += [" ".join(words), *(changed(words, p) for p in light), changed(words, heavy)]
+        copies = [changed(words, p) for p in light]
+        texts += [*copies[: n // 2], " ".join(words), *copies[n // 2 :], changed(words, heavy)]
     return texts
 
 
-@pytest.mark.parametrize("sizes", [[12, 25, 40, 50, 60]])
+@pytest.mark.parametrize("sizes", [[12, 25, 40, 50, 60], [150, 200]])
 def test_minhash_finds_the_only_link_of_a_heavier_copy(make, sizes):
     texts = families(sizes, 2)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(make(texts).repartition(4), 5, 80).collect()}
     assert got == brute_classes(texts, 5, 80)
 
 
+def test_minhash_tiles_compare_all_pairs_of_components_once(make, spark, monkeypatch):
+    monkeypatch.setattr(minhash, "TILE", 4)
+    component = [1] * 9 + [2] * 6 + list(range(30, 41))
+    rows = spark.createDataFrame([(7, i, c, len(component)) for i, c in enumerate(component)], "node long, id long, component long, n long")
+    met = []
+    groups = {}
+    for r in minhash.tiles(rows, 0).collect():
+        groups.setdefault(r.node, []).append(r)
+    for g in groups.values():
+        met += [(min(a.id, b.id), max(a.id, b.id)) for k, a in enumerate(g) for b in g[:k] if a.component != b.component and (a.side != b.side or a.side == 2)]
+    assert sorted(met) == [(i, j) for i in range(len(component)) for j in range(i + 1, len(component)) if component[i] != component[j]]
+
+
 def test_minhash_of_nothing(make, spark):
     assert minhash.near_duplicates(make([]).limit(0), 2, 80).count() == 0
     rows = spark.createDataFrame([(None, "a b c"), (7, "a b c"), (7, "a b c")], "doc_id long, text string")
