@@ -53,7 +53,13 @@ def _order(seed: int) -> Column:
 
 def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), epochs: int = 3, seed: int = 0) -> DataFrame:
     """One row for each document: doc_id, size, source_size, target (its source's), taken (words, repeats counted)."""
-    sized = materialize(docs.select("doc_id", "source", words_count(F.col("text")).alias("size"), _order(seed).alias("_at")), "mix-sizes")
+    return _planned(docs, weights, epochs, seed, [])
+
+
+def _planned(docs: DataFrame, weights: tuple[int, ...], epochs: int, seed: int, carried: list[Column]) -> DataFrame:
+    """`mix_sources` with further columns of each row."""
+    sized = materialize(docs.select("doc_id", "source", words_count(F.col("text")).alias("size"), _order(seed).alias("_at"), *carried), "mix-sizes")
+    own = sized.columns[4:]
     by_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     sources = materialize(source_weights(by_source, weights).coalesce(1), "mix-sources")
     sources = water_fill(sources, epochs).withColumn("_words", F.floor("target").cast("long"))
@@ -66,7 +72,7 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), epochs: i
     edge = by_slice.where("_before <= _rest and _rest < _before + _size").select("x.source", "_slice", "_before")
     plan = materialize(sources.alias("s").join(edge.alias("e"), F.expr("s.source <=> e.source"), "left").select("s.*", "_slice", "_before"), "mix-plan")
 
-    rows = sized.alias("d").join(plan.alias("p"), F.expr("d.source <=> p.source")).select("doc_id", "size", "source_size", "target", "p.source", "_whole", "_rest", "_slice", "_before", "_at")
+    rows = sized.alias("d").join(plan.alias("p"), F.expr("d.source <=> p.source")).select("doc_id", "size", "source_size", "target", "p.source", "_whole", "_rest", "_slice", "_before", "_at", *own)
     mine = F.substring("_at", 1, SLICE)
     clear = rows.where(F.col("_slice").isNull() | (mine != F.col("_slice")))
     clear = clear.withColumn("_once", F.when((F.col("_rest") > 0) & (mine < F.col("_slice")), F.col("size")).otherwise(F.lit(0)))
@@ -74,16 +80,17 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), epochs: i
     edge_rows = rows.where(mine == F.col("_slice")).withColumn("_before", F.col("_before") + F.coalesce(F.sum("size").over(within), F.lit(0)))
     edge_rows = edge_rows.withColumn("_once", F.least("size", F.greatest(F.lit(0), F.col("_rest") - F.col("_before"))))
     out = clear.unionByName(edge_rows)
-    return out.select("doc_id", "size", "source_size", "target", (F.col("_whole") * F.col("size") + F.col("_once")).cast("long").alias("taken"))
+    return out.select("doc_id", "size", "source_size", "target", (F.col("_whole") * F.col("size") + F.col("_once")).cast("long").alias("taken"), *own)
 
 
 def mixed(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), epochs: int = 3, seed: int = 0) -> DataFrame:
     """The mix itself, with the columns of `docs`: a row for each whole repetition, and one with the first words of the
-    text where a document is taken in part. Rows of one doc_id must be one document."""
-    plan = mix_sources(docs, weights, epochs, seed).select(F.col("doc_id").alias("mx__id"), F.col("size").alias("mx__size"), F.col("taken").alias("mx__taken"))
+    text where a document is taken in part. Every row has its own plan, whether its doc_id is null, repeated or neither."""
+    plan = _planned(docs, weights, epochs, seed, [F.struct(*docs.columns).alias("mx__row")]).where("taken > 0")
+    plan = plan.select("mx__row.*", F.col("size").alias("mx__size"), F.col("taken").alias("mx__taken"))
     part = F.when(F.col("mx__size") > 0, F.col("mx__taken") % F.greatest(F.col("mx__size"), F.lit(1))).otherwise(F.lit(0))
     whole = F.when(F.col("mx__size") > 0, F.expr("mx__taken div greatest(mx__size, 1)")).otherwise(F.lit(0))
-    rows = docs.join(plan.where("mx__taken > 0"), F.col("doc_id") == F.col("mx__id")).withColumn("mx__part", part).withColumn("mx__whole", whole)
+    rows = plan.withColumn("mx__part", part).withColumn("mx__whole", whole)
     lengths = F.concat(F.array_repeat(F.col("mx__size"), F.col("mx__whole").cast("int")), F.when(F.col("mx__part") > 0, F.array(F.col("mx__part"))).otherwise(F.array().cast("array<bigint>")))
     rows = rows.withColumn("mx__take", F.explode(lengths))
     cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), F.col("mx__take").cast("int")), " ")

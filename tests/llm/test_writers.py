@@ -99,6 +99,12 @@ def test_mixing_hits_its_targets(make):
     assert {r.taken for r in mixing.mix_sources(docs.where("text is null")).collect()} == {0}
 
 
+def test_mixed_keeps_null_and_repeated_ids(spark):
+    rows = [(None, "a b", "s"), (None, "c d e", "s"), (7, "f g", "s"), (7, "f g", "s"), (7, "f g", "s"), (1, "h", "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert sorted(map(str, mixing.mixed(docs).collect())) == sorted(map(str, docs.collect()))  # one source: each row once
+
+
 def test_water_filling(spark):
     frame = spark.createDataFrame([("a", 10, 5), ("b", 100, 2), ("c", 100, 1)], "source string, source_size long, weight long")
     got = {r.source: r.target for r in mixing.water_fill(frame, 3).collect()}
