@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -62,6 +62,13 @@ def materialize(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def counted(df: DataFrame, label: str, *measures: Column) -> tuple[DataFrame, tuple]:
+    """`materialize`, and aggregates of the rows that the same job takes on its way (null: 0)."""
+    seen = Observation()
+    table = materialize(df.observe(seen, *(m.alias(f"m{i}") for i, m in enumerate(measures))), label)
+    return table, tuple(seen.get.get(f"m{i}") or 0 for i in range(len(measures)))
+
+
 def discard(df: DataFrame) -> None:
     """Delete the files of a table that `materialize` wrote, once nothing reads it any more."""
     spark = df.sparkSession

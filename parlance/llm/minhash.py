@@ -1,33 +1,36 @@
 """MinHash near-duplicates by a chosen-path set similarity join.
 
 1. One Arrow pass gives each document's set of distinct word shingles (64-bit hashes), its size, a 128-bit key of the set
-   and a sketch: the minwise hash values of COORDINATES random functions, one byte of each for comparison.
+   and its tokens: one byte of the minwise value of each of COORDINATES random functions. Two sets agree in a token with
+   a probability equal to their similarity (and 1/256 of the rest by chance).
 2. Equal sets are one class; from here on a class is its smallest doc_id. (Groups of exact copies cost one row each.)
-3. TREES independent trees branch the classes: a class goes to the node named by its minwise tokens at coordinates chosen
-   for the tree, DEPTHS[0] of them at first. A node with one class ends; one with at most LIMIT is compared exhaustively by
-   sketches; a larger one branches by further tokens. A class is in one node of each tree and level, so the work is linear
-   in the classes whatever the groups' sizes. Nodes still larger at the last level hold classes that agree in all of
-   DEPTHS[-1] tokens: every class is then paired with the node's smallest, and compared within seeded parts of LIMIT.
-   Of a class's partners in a node the PARTNERS most similar become candidates: a first choice, completed in step 5.
-   A pair of similarity s meets in a tree at depth d with s^d: over 20 trees at depth 3 six pairs in 10^7 of similarity 0.8
-   are missed. Deeper levels miss more; they only find first links of groups of over LIMIT, which step 5 completes.
-4. Candidates are confirmed on full sets, made again from the texts: first the most similar candidate of every class; after
-   the components of what was confirmed, all candidates between different components. So links are exact. Which texts are
-   read for this is told by a bitmap of ids (bounded; a false hit costs a set too many), so texts cross no exchange.
-
-5. Every pair of classes of different components that shares a node of the first level, however large, is then compared by
-   sketches, and all that pass are confirmed as in step 4. Only pairs that confirmed links connect are left out. Nodes of
-   more than TILE classes are compared by tiles; a component of n classes and r others there cost n * r comparisons.
-
-The sketch threshold lies over five standard deviations below the similarity. Nothing but counts reaches the driver.
+3. Each of a number of independent trees branches the classes: a node's name chooses coordinates, 1 / similarity of them on
+   average, one at least, and a class goes to the child named by its token at each. So a pair at the similarity has one
+   common child on average, and dissimilar ones fewer with every level. A node that has one class ends; one of at most LIMIT
+   is compared exhaustively by tokens; a larger one branches on, from the depth DEPTHS[0] to DEPTHS[1]. Trees are as many
+   as a pair at the similarity needs to share a node of the last depth with probability RECALL (`trees_for` computes it with
+   the chance that a pair's tokens agree less than its sets); a pair whose nodes end earlier meets more often.
+4. In a node each class has as candidate the most alike class with a smaller id; a node with more alike pairs than those, or
+   of more than LIMIT classes at the last depth (those are split into seeded parts of LIMIT here), is open.
+5. Candidates are confirmed on full sets, made again from the texts, until all lie within components of confirmed links:
+   first the most alike candidate of every component, then more of them at once. So links are exact. Which texts are read
+   is told by a bitmap of ids (bounded; a false hit costs a set too many), so texts cross no exchange.
+6. In open nodes, however large, all pairs of classes of different components are compared by tokens, and all that pass are
+   confirmed as in step 5. Only pairs that confirmed links connect are left out. Nodes of more than TILE classes are compared
+   by tiles; a component of n classes and r others there cost n * r comparisons.
+
+The token threshold lies five standard deviations below the similarity. Nothing but counts and the bitmap reaches the driver.
 
 Defined results: null texts and texts without words have an empty set, size 0, and are linked with nothing; a text with
 fewer words than a shingle has its whole word sequence as one shingle; a null doc_id gets a null component and is kept;
-repeated rows are one class; an empty table gives an empty result; other columns are never read.
+repeated rows are one class; of different texts under one doc_id one (with the smallest key) is compared, and the others
+share its component; an empty table gives an empty result; other columns are never read. Ties go to smaller ids, so reruns
+and retried tasks agree.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,13 +38,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parlance.llm.common import discard, gram_hashes, materialize, mix, partitions, pieces, span_hashes, text_bytes, word_spans
+from parlance.llm.common import counted, discard, gram_hashes, materialize, mix, partitions, pieces, span_hashes, text_bytes, word_spans
 from parlance.llm.components import connected_components
 
-COORDINATES, TREES, DEPTHS, LIMIT, PARTNERS = 128, 20, (3, 6, 12), 64, 3
+COORDINATES, DEPTHS, LIMIT, RECALL = 128, (4, 8), 64, 0.9999
 TILE = 512  # classes of a block: a node of more is compared block by block
 MAX_BITS = (1 << 26) - 5  # a prime: the bitmap of documents in candidates has at most 8 MB
-SETS = "doc_id long, n_shingles long, key1 long, key2 long, sketch binary, nodes array<long>"
+SETS = "doc_id long, n_shingles long, key1 long, key2 long, sketch binary"
+FOUND = "node long, a long, b long, alike int"
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -78,86 +82,156 @@ def minwise(members: np.ndarray, functions: np.ndarray) -> np.ndarray:
     return out
 
 
+def set_key(members: np.ndarray) -> tuple[np.int64, np.int64]:
+    with np.errstate(over="ignore"):
+        mixed = mix(members, 11)
+        keys = np.array([np.sum(mixed), np.bitwise_xor.reduce(mix(mixed, 12)) if len(members) else 0], np.uint64).view(np.int64)
+    return keys[0], keys[1]
+
+
 def describe(docs: DataFrame, n: int, seed: int) -> DataFrame:
-    """SETS of all documents; `nodes` has the names of the nodes of all trees, level by level."""
+    """SETS of all documents; `sketch` has a set's tokens."""
     functions = _functions(seed)
-    paths = np.stack([np.random.default_rng([seed, t]).permutation(COORDINATES)[: DEPTHS[-1]] for t in range(TREES)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text", 1_500_000):
             sets = shingle_sets(batch.column("text"), n)
-            low = np.stack([minwise(s, functions) for s in sets])
-            tokens = low.astype(np.uint64)[:, paths]  # (texts, trees, depth)
-            name = np.tile(mix(np.arange(TREES, dtype=np.uint64), seed + 7), (len(sets), 1))
-            levels = []
-            with np.errstate(over="ignore"):
-                for d in range(DEPTHS[-1]):
-                    name = mix(name * np.uint64(0x9E3779B97F4A7C15) + tokens[:, :, d])
-                    if d + 1 in DEPTHS:
-                        levels.append(name.view(np.int64))
-                keys = np.array([(np.sum(m := mix(s, 11)), np.bitwise_xor.reduce(mix(m, 12)) if len(s) else 0) for s in sets], dtype=np.uint64).view(np.int64)
-            nodes = np.concatenate(levels, axis=1)  # (texts, levels * trees)
-            sketch = (low & 0xFF).astype(np.uint8)
-            list_of = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * nodes.shape[1], pa.int32()), pa.array(nodes.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array([r.tobytes() for r in sketch], pa.binary()), list_of], ["doc_id", "n_shingles", "key1", "key2", "sketch", "nodes"])
+            tokens = [(minwise(s, functions) & 0xFF).astype(np.uint8).tobytes() for s in sets]
+            keys = [set_key(s) for s in sets]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([k for k, _ in keys], pa.int64()), pa.array([k for _, k in keys], pa.int64()), pa.array(tokens, pa.binary())], [x.split()[0] for x in SETS.split(", ")])
 
     return docs.select("doc_id", "text").mapInArrow(run, SETS)
 
 
-def compare_nodes(rows: DataFrame, threshold: float, n_parts: int, percent: int | None = None) -> DataFrame:
-    """Candidates (a, b, alike) from rows of (node, id, sketch): the most similar PARTNERS of each row within its node.
+def meets(agreement: np.ndarray, depth: int, similarity: float) -> np.ndarray:
+    """Probability that two sets whose tokens agree in such a share have a common node at `depth` of a tree."""
+    whole = int(1 / similarity + 1e-9)
+    more, out = 1 / similarity - whole, np.ones_like(agreement)
+    for _ in range(depth):
+        out = 1 - (1 - agreement * out) ** whole * (1 - more * agreement * out)
+    return out
+
+
+def trees_for(recall: float, depth: int, similarity: float) -> int:
+    """Trees in which a pair at the similarity meets once at least with probability `recall`, over the chances of its tokens."""
+    k = np.arange(COORDINATES + 1)
+    ways = np.array([math.lgamma(COORDINATES + 1) - math.lgamma(i + 1) - math.lgamma(COORDINATES - i + 1) for i in k])
+    if similarity < 1:
+        chance = np.exp(ways + k * math.log(similarity) + (COORDINATES - k) * math.log(1 - similarity))
+    else:
+        chance = (k == COORDINATES).astype(float)
+    apart = 1 - meets(k / COORDINATES, depth, similarity)
+    return next(r for r in range(1, 10_000) if (chance * apart**r).sum() <= 1 - recall)
+
+
+def branch(names: np.ndarray, owners: np.ndarray, tokens: np.ndarray, levels: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Names and owners of the nodes `levels` below those named. tokens: (owners, COORDINATES)."""
+    whole = int(1 / similarity + 1e-9)
+    more = 1 / similarity - whole
+    with np.errstate(over="ignore"):
+        for _ in range(levels):
+            first, step = mix(names, 1), mix(names, 2) | np.uint64(1)
+            extra = (mix(names, 3) >> np.uint64(11)).astype(np.float64) < more * (1 << 53)
+            at, made = [], []
+            for j in range(whole + 1):
+                own = np.arange(len(names)) if j < whole else np.flatnonzero(extra)
+                chosen = (first[own] + np.uint64(j) * step[own]) % np.uint64(COORDINATES)  # an odd step: all differ
+                token = tokens[owners[own], chosen.astype(np.int64)].astype(np.uint64)
+                made.append(mix(names[own] * np.uint64(0x9E3779B97F4A7C15) + (chosen << np.uint64(8)) + token, 4))
+                at.append(owners[own])
+            names, owners = np.concatenate(made), np.concatenate(at)
+    return names, owners
+
+
+def _tokens(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, COORDINATES)
+
+
+def nodes_below(rows: DataFrame, levels: int, similarity: float, seed: int, trees: int = 0) -> DataFrame:
+    """(node, id) of the nodes `levels` below the rows' (node, id, sketch); with `trees` below as many roots of (id, sketch)."""
 
-    With `percent`, rows have component, size and side too, and all pairs of different components come whose sizes allow a
-    link; rows of sides 0 and 1 are compared with the other side only, rows of side 2 with all.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 2_000):
+                part = batch.slice(k, 2_000)
+                tokens, owners = _tokens(part.column("sketch")), np.arange(part.num_rows)
+                if trees:
+                    names = np.tile(mix(np.arange(trees, dtype=np.uint64), seed + 7), part.num_rows)
+                    owners = np.repeat(owners, trees)
+                else:
+                    names = part.column("node").to_numpy().astype(np.int64).view(np.uint64)
+                names, owners = branch(names, owners, tokens, levels, similarity)
+                yield pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), pa.array(part.column("id").to_numpy()[owners])], ["node", "id"])
+
+    return rows.mapInArrow(run, "node long, id long")
+
+
+def compare_nodes(rows: DataFrame, percent: int, n_parts: int, apart: bool = False) -> DataFrame:
+    """FOUND from rows (node, id, size, sketch), whole nodes: for each class the most alike class of a smaller id, and a row
+    without a and b for every node that has more alike pairs.
+
+    With `apart`, rows have component and side too, and all alike pairs of different components come; rows of sides 0 and 1
+    are compared with the other side only, rows of side 2 with all.
     """
-    apart = percent is not None
+    least = math.ceil(sketch_threshold(percent) * COORDINATES)
+
+    def alike_pairs(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Rows of alike pairs of a node, and how alike; the earlier row first."""
+        node, size = table.column("node").to_numpy(), table.column("size").to_numpy()
+        sketch = _tokens(table.column("sketch"))
+        component, side = (table.column(c).to_numpy() for c in ("component", "side")) if apart else (None, None)
+        for d in range(1, len(node)):
+            at = np.flatnonzero(node[d:] == node[:-d])
+            if not len(at):
+                return
+            x, y = size[at], size[at + d]
+            meet = 100 * np.minimum(x, y) >= percent * np.maximum(x, y)
+            if apart:
+                meet &= (component[at] != component[at + d]) & ((side[at] != side[at + d]) | (side[at] == 2))
+            at = at[meet]
+            for k in range(0, len(at), 20_000):
+                own = at[k : k + 20_000]
+                same = (sketch[own] == sketch[own + d]).sum(axis=1)
+                yield own[same >= least], own[same >= least] + d, same[same >= least]
+
+    def compared(table: pa.Table) -> pa.RecordBatch | None:
+        found = list(alike_pairs(table))
+        left, right, alike = (np.concatenate([f[i] for f in found]) if found else np.zeros(0, np.int64) for i in range(3))
+        if not len(left):
+            return None
+        node, ids = table.column("node").to_numpy(), table.column("id").to_numpy()
+        a, b = np.minimum(ids[left], ids[right]), np.maximum(ids[left], ids[right])
+        names, some = node[left], a != b
+        if not apart:
+            order = np.lexsort((left, -alike, right))  # rows stand in the order of node and id
+            best = np.ones(len(order), bool)
+            best[1:] = right[order][1:] != right[order][:-1]
+            opened = np.unique(names[order][~best])
+            some = some & np.isin(np.arange(len(a)), order[best])
+        else:
+            opened = np.zeros(0, np.int64)
+        n, m = int(some.sum()), len(opened)
+        none = pa.nulls(m, pa.int64())
+        return pa.Table.from_arrays([pa.chunked_array([pa.array(names[some]), pa.array(opened)]), pa.chunked_array([pa.array(a[some]), none]), pa.chunked_array([pa.array(b[some]), none]), pa.chunked_array([pa.array(alike[some].astype(np.int32)), pa.nulls(m, pa.int32())])], ["node", "a", "b", "alike"]).combine_chunks().to_batches()[0] if n + m else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
-
-        def compared(table: pa.Table) -> pa.RecordBatch | None:
-            node, ids = table.column("node").to_numpy(), table.column("id").to_numpy()
-            sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(-1, COORDINATES)
-            component, size, side = (table.column(c).to_numpy() for c in ("component", "size", "side")) if apart else (None, None, None)
-            left, right, alike = [], [], []
-            for d in range(1, len(node)):
-                at = np.flatnonzero(node[d:] == node[:-d])
-                if not len(at):
-                    break
-                if apart:
-                    x, y = size[at], size[at + d]
-                    meet = (component[at] != component[at + d]) & ((side[at] != side[at + d]) | (side[at] == 2))
-                    at = at[meet & (100 * np.minimum(x, y) >= percent * np.maximum(x, y))]
-                same = (sketch[at] == sketch[at + d]).sum(axis=1)
-                at, same = at[same >= threshold * COORDINATES], same[same >= threshold * COORDINATES]
-                left.append(at)
-                right.append(at + d)
-                alike.append(same)
-            if not left:
-                return None
-            left, right, alike = np.concatenate(left), np.concatenate(right), np.concatenate(alike)
-            order = np.lexsort((left, -alike, right))
-            if not apart:
-                place = np.arange(len(order)) - np.searchsorted(right[order], right[order])
-                order = order[place < PARTNERS]
-            a, b = ids[left[order]], ids[right[order]]
-            some = a != b
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)[some]), pa.array(np.maximum(a, b)[some]), pa.array(alike[order][some].astype(np.int32))], ["a", "b", "alike"])
-
         for batch in batches:
+            if not batch.num_rows:
+                continue
             table = pa.Table.from_batches([batch])
             held = pa.concat_tables([held, table]) if held is not None else table
             node = held.column("node").to_numpy()
-            whole = int(np.searchsorted(-(node == node[-1]).astype(np.int8)[::-1], 0)) if len(node) else 0  # rows of the last node
-            if len(node) - whole:
-                if (out := compared(held.slice(0, len(node) - whole))) is not None:
+            other = np.flatnonzero(node != node[-1])  # sorted by node: the last node may go on in the next batch
+            if len(other):
+                if (out := compared(held.slice(0, int(other[-1]) + 1))) is not None:
                     yield out
-                held = held.slice(len(node) - whole)
-        if held is not None and len(held) and (out := compared(held)) is not None:
+                held = held.slice(int(other[-1]) + 1)
+        if held is not None and (out := compared(held)) is not None:
             yield out
 
-    columns = ["node", "id", "sketch", *(["component", "size", "side"] if apart else [])]
-    return rows.select(*columns).repartition(n_parts, "node").sortWithinPartitions("node").mapInArrow(run, "a long, b long, alike int")
+    columns = ["node", "id", "sketch", "size", *(["component", "side"] if apart else [])]
+    return rows.select(*columns).repartition(n_parts, "node").sortWithinPartitions("node", "id").mapInArrow(run, FOUND)
 
 
 def sketch_threshold(percent: int) -> float:
@@ -165,32 +239,29 @@ def sketch_threshold(percent: int) -> float:
     return similarity - 5 * (similarity * (1 - similarity) / COORDINATES) ** 0.5
 
 
+def shared_nodes(live: DataFrame, label: str) -> tuple[DataFrame, int]:
+    """Rows (node, id, n) of nodes of several classes, and how many stand in nodes of more than LIMIT."""
+    sizes = live.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    rows, (large,) = counted(live.join(sizes, "node").select("node", "id", "n"), label, F.count_if(F.col("n") > LIMIT))
+    return rows, large
+
+
 def candidates(classes: DataFrame, percent: int, seed: int) -> tuple[DataFrame, DataFrame]:
-    """Likely links of classes (id, sketch, nodes), as (a, b, alike), and the rows (node, id, n) of all shared nodes of the
-    first level."""
-    threshold = sketch_threshold(percent)
-    n_parts = partitions(classes)
-    shared, found, live = None, [], classes.select("id", F.slice("nodes", 1, TREES).alias("own")).select("id", F.posexplode("own").alias("tree", "node"))
-    for level in range(len(DEPTHS)):
-        sizes = live.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("low")).where("n > 1")
-        rows = materialize(live.join(sizes, "node"), "nodes")
-        shared = shared if level else rows
-        fit = rows.where(F.col("n") <= LIMIT)
-        if level == len(DEPTHS) - 1:
-            parts = F.pmod(F.xxhash64("id", "tree", F.lit(seed)), F.ceil(2 * F.col("n") / LIMIT))
-            salted = rows.where(F.col("n") > LIMIT).withColumn("node", F.xxhash64("node", parts))
-            fit = fit.unionByName(salted)
-            found.append(rows.where((F.col("n") > LIMIT) & (F.col("id") != F.col("low"))).select(F.col("low").alias("a"), F.col("id").alias("b"), F.lit(COORDINATES).alias("alike")))
-        found.append(compare_nodes(fit.select("node", "id").join(classes.select("id", "sketch"), "id"), threshold, n_parts))
-        large = rows.where(F.col("n") > LIMIT)
-        if level == len(DEPTHS) - 1 or large.isEmpty():
-            break
-        next_of = F.element_at("nodes", F.lit((level + 1) * TREES + 1) + F.col("tree"))
-        live = large.select("id", "tree").join(classes.select("id", "nodes"), "id").select("id", "tree", next_of.alias("node"))
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return out.distinct(), shared.select("node", "id", "n")
+    """FOUND of classes (id, size, sketch) in the nodes of all trees, and rows (node, id, n) of all nodes that may be open."""
+    similarity, n_parts = percent / 100, partitions(classes)
+    trees = trees_for(RECALL, DEPTHS[-1], similarity)
+    bare = classes.select("id", "sketch")
+    rows, large = shared_nodes(nodes_below(bare, DEPTHS[0], similarity, seed, trees), "nodes")
+    fit = rows.where(F.col("n") <= LIMIT)
+    ends, met = fit, fit.select("node", "id")
+    if large:
+        more = rows.where(F.col("n") > LIMIT).select("node", "id").join(bare, "id").select("node", "id", "sketch")
+        deep, large = shared_nodes(nodes_below(more, DEPTHS[1] - DEPTHS[0], similarity, seed), "nodes")
+        part = F.pmod(F.xxhash64("id", "node", F.lit(seed)), F.ceil(2 * F.col("n") / LIMIT))
+        parts = deep.select(F.when(F.col("n") > LIMIT, F.xxhash64("node", part)).otherwise(F.col("node")).alias("node"), "id")
+        ends, met = ends.unionByName(deep), met.unionByName(parts)
+    found = materialize(compare_nodes(met.join(classes, "id"), percent, n_parts), "found")
+    return found, ends
 
 
 def tiles(wide: DataFrame, seed: int) -> DataFrame:
@@ -217,24 +288,28 @@ def tiles(wide: DataFrame, seed: int) -> DataFrame:
     return rows.join(sides, ["node", "block"]).select(F.col("tile").alias("node"), "id", "component", "side")
 
 
-def between_components(shared: DataFrame, classes: DataFrame, component: DataFrame, percent: int, seed: int) -> DataFrame:
-    """All pairs of classes of different components that share a node and may be similar enough, as (a, b, alike)."""
-    rows = shared.join(component, "id", "left").select("node", "id", "n", F.coalesce("component", "id").alias("component"))
+def between_components(ends: DataFrame, found: DataFrame, classes: DataFrame, component: DataFrame | None, percent: int, seed: int) -> DataFrame:
+    """All alike pairs (a, b, alike) of classes of different components in open nodes."""
+    opened = found.where("a is null").select("node").distinct().withColumn("opened", F.lit(True))
+    rows = ends.join(opened, "node", "left").where((F.col("n") > LIMIT) | F.col("opened"))
+    if component is None:
+        rows = rows.select("node", "id", "n", F.col("id").alias("component"))
+    else:
+        rows = rows.join(component, "id", "left").select("node", "id", "n", F.coalesce("component", "id").alias("component"))
+    rows = materialize(rows, "open")
     several = rows.groupBy("node").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("node")
-    rows = materialize(rows.join(several, "node", "left_semi"), "apart")
+    rows, (wide,) = counted(rows.join(several, "node", "left_semi"), "apart", F.count_if(F.col("n") > TILE))
     fit = rows.where(F.col("n") <= TILE).select("node", "id", "component", F.lit(2).alias("side"))
-    wide = rows.where(F.col("n") > TILE)
-    if not wide.isEmpty():
-        fit = fit.unionByName(tiles(wide, seed))
-    fit = fit.join(classes.select("id", "sketch", "size"), "id")
-    return compare_nodes(fit, sketch_threshold(percent), partitions(classes), percent).distinct()
+    if wide:
+        fit = fit.unionByName(tiles(rows.where(F.col("n") > TILE), seed))
+    return compare_nodes(fit.join(classes, "id"), percent, partitions(classes), apart=True).select("a", "b", "alike").distinct()
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Adds `linked` to pairs (a, b): 100 * intersection >= percent * union of their full sets."""
-    rows = pairs.select("a", "b").join(sets.select(F.col("id").alias("a"), F.col("members").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("members").alias("y")), "b")
+    """The pairs with `linked`: 100 * intersection >= percent * union of the full sets of a and b."""
+    rows = pairs.join(sets.select(F.col("id").alias("a"), F.col("members").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("members").alias("y")), "b")
     both = F.size(F.array_intersect("x", "y"))
-    return rows.select("a", "b", (100 * both >= percent * (F.size("x") + F.size("y") - both)).alias("linked"))
+    return rows.select(*pairs.columns, (100 * both >= percent * (F.size("x") + F.size("y") - both)).alias("linked"))
 
 
 def id_bitmap(ids: DataFrame) -> np.ndarray:
@@ -251,7 +326,7 @@ def id_bitmap(ids: DataFrame) -> np.ndarray:
 
 
 def members(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
-    """(id, members): the full sets, as distinct hashes, of the documents in `ids`, and of few others."""
+    """(id, key1, key2, members): the full sets, as distinct hashes, of the documents in `ids`, and of few others."""
     bits = id_bitmap(ids)
     shared = docs.sparkSession.sparkContext.broadcast(np.packbits(bits))
     size = len(bits)
@@ -263,49 +338,79 @@ def members(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
             place = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64) % size
             batch = batch.filter(pa.array((packed[place >> 3] >> (7 - (place & 7)).astype(np.uint8)) & 1 == 1))
             for part in pieces([batch], "text", 1_500_000):
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array([s.view(np.int64) for s in shingle_sets(part.column("text"), n)], pa.list_(pa.int64()))], ["id", "members"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "id long, members array<long>")
-
-
-def _best(pairs: DataFrame) -> DataFrame:
-    """The most similar pair of every class, each pair once."""
-    both = pairs.select(F.col("a").alias("x"), F.col("b").alias("y"), "alike").union(pairs.select("b", "a", "alike"))
-    top = both.groupBy("x").agg(F.max(F.struct("alike", (-F.col("y")).alias("y"))).alias("m")).select("x", (-F.col("m.y")).alias("y"))
-    return top.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-
-
-def settle(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int, links: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Confirms pairs until all that are left lie within components: (components, links with those given, judged pairs)."""
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    sets = materialize(members(docs, ids, shingle), "members").dropDuplicates(["id"])
-    judged = materialize(confirm(_best(pairs), sets, percent), "links")
-    new = judged.where("linked").select("a", "b")
-    links = new if links is None else links.union(new)
-    while True:
-        component = connected_components(links)
-        of = lambda side: component.select(F.col("id").alias(side), F.col("component").alias(f"of_{side}"))  # noqa: E731, B023
-        rest = pairs.join(judged.select("a", "b"), ["a", "b"], "left_anti").join(of("a"), "a", "left").join(of("b"), "b", "left")
-        rest = materialize(rest.where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b"), "rest")
-        if rest.isEmpty():
-            return component, links, judged
-        more = materialize(confirm(rest, sets, percent), "links")
-        judged = judged.unionByName(more)
-        links = links.union(more.where("linked").select("a", "b"))
+                sets = shingle_sets(part.column("text"), n)
+                keys = [set_key(s) for s in sets]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array([k for k, _ in keys], pa.int64()), pa.array([k for _, k in keys], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["id", "key1", "key2", "members"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "id long, key1 long, key2 long, members array<long>")
+
+
+def _picked(rest: DataFrame, most: int) -> DataFrame:
+    """Of each component's pairs with smaller ones the most alike, about `most` of them: the best of each of as many hashed
+    parts, so one component's pairs, however many, are a partial aggregate."""
+    part = F.pmod(F.xxhash64("a", "b"), F.lit(most)) if most > 1 else F.lit(0)
+    best = F.max(F.struct("alike", *(F.bitwise_not(c).alias(c) for c in ("a", "b", "low")))).alias("m")
+    rows = rest.groupBy("high", part.alias("part")).agg(best)
+    return rows.select(*(F.bitwise_not(f"m.{c}").alias(c) for c in ("a", "b", "low")), "high")
+
+
+def settle(pairs: DataFrame, docs: DataFrame, classes: DataFrame, shingle: int, percent: int, component: DataFrame | None = None) -> tuple[DataFrame | None, DataFrame | None]:
+    """Confirms pairs (a, b, alike) until all that are left lie within components. component: (id, component) of ids that
+    links reach. Returns it with the new links, and the pairs (a, b) that were refused (null: none were judged)."""
+
+    def outer(rows: DataFrame, component: DataFrame | None) -> DataFrame:
+        if component is None:
+            return rows.select("a", "b", "alike", F.col("a").alias("low"), F.col("b").alias("high"))
+        of = lambda side: component.select(F.col("id").alias(side), F.col("component").alias(f"of_{side}"))
+        rows = rows.join(of("a"), "a", "left").join(of("b"), "b", "left")
+        x, y = F.coalesce("of_a", "a"), F.coalesce("of_b", "b")
+        return rows.where(x != y).select("a", "b", "alike", F.least(x, y).alias("low"), F.greatest(x, y).alias("high"))
+
+    pairs = pairs.groupBy("a", "b").agg(F.max("alike").alias("alike"))
+    rest, (left,) = counted(outer(pairs, component), "pairs", F.count(F.lit(1)))
+    if not left:
+        return component, None
+    ids = rest.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    key = classes.select("id", F.col("key1").alias("of1"), F.col("key2").alias("of2"))
+    sets = members(docs, ids, shingle).join(key, "id").where("((key1 ^ of1) | (key2 ^ of2)) = 0").select("id", "members")
+    sets = materialize(sets.dropDuplicates(["id"]), "members")
+    refused, most = None, 1
+    while left:
+        picked = _picked(rest, most) if most < 500 else rest.select("a", "b", "low", "high")
+        judged, (linked,) = counted(confirm(picked, sets, percent), "links", F.count_if("linked"))
+        no = judged.where("not linked").select("a", "b")
+        refused = no if refused is None else refused.unionByName(no)
+        if linked:
+            joined = connected_components(judged.where("linked").select(F.col("low").alias("a"), F.col("high").alias("b")))
+            if component is None:
+                component = joined
+            else:
+                over = joined.select(F.col("id").alias("component"), F.col("component").alias("over"))
+                old = component.join(over, "component", "left").select("id", F.coalesce("over", "component").alias("component"))
+                component = materialize(old.unionByName(joined.join(component, "id", "left_anti")), "component")
+        rest, (left,) = counted(outer(rest.join(judged.select("a", "b"), ["a", "b"], "left_anti").select("a", "b", "alike"), component), "pairs", F.count(F.lit(1)))
+        most *= 8
+    return component, refused
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, seed: int = 0) -> DataFrame:
     """One row for each document: doc_id, n_shingles, component_id (smallest doc_id reachable by links), kept."""
     described = materialize(describe(docs, shingle, seed), "sets")
     keys = ["key1", "key2", "n_shingles"]
-    first = materialize(described.where("n_shingles > 0").groupBy(*keys).agg(F.min("doc_id").alias("id")), "classes")
-    classes = described.join(first.select("id"), F.col("doc_id") == F.col("id"), "left_semi").where("n_shingles > 0").select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("size"), "sketch", "nodes")
-    pairs, shared = candidates(classes, percent, seed)
-    component, links, judged = settle(materialize(pairs, "pairs"), docs, shingle, percent)
-    others = between_components(shared, classes, component, percent, seed).join(judged.select("a", "b"), ["a", "b"], "left_anti")
-    others = materialize(others, "pairs")
-    if not others.isEmpty():
-        component = settle(others, docs, shingle, percent, links)[0]
-    label = first.join(component, "id", "left").select(*keys, F.coalesce("component", "id").alias("component"))
-    out = described.select("doc_id", *keys).join(label, keys, "left").withColumn("component_id", F.coalesce("component", "doc_id"))
+    first = materialize(described.where("n_shingles > 0 and doc_id is not null").groupBy(*keys).agg(F.min("doc_id").alias("id"), F.first("sketch").alias("sketch")), "classes")
+    classes = first.groupBy("id").agg(F.min(F.struct("key1", "key2", F.col("n_shingles").alias("size"), "sketch")).alias("c")).select("id", "c.*")
+    classes = materialize(classes, "classes")
+    bare = classes.select("id", "size", "sketch")
+    found, ends = candidates(bare, percent, seed)
+    component, refused = settle(found.where("a is not null").select("a", "b", "alike"), docs, classes, shingle, percent)
+    others = between_components(ends, found, bare, component, percent, seed)
+    if refused is not None:
+        others = others.join(refused, ["a", "b"], "left_anti")
+    component, _ = settle(others, docs, classes, shingle, percent, component)
+    label = first.select(*keys, "id")
+    if component is None:
+        label = label.withColumnRenamed("id", "component")
+    else:
+        label = label.join(component, "id", "left").select(*keys, F.coalesce("component", "id").alias("component"))
+    out = described.select("doc_id", *keys).join(label, keys, "left").withColumn("component_id", F.coalesce(F.when(F.col("doc_id").isNotNull(), F.col("component")), F.col("doc_id")))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
