@@ -20,15 +20,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from parlance.llm.common import WORD, materialize, words_count
+from parlance.llm.common import WORD, materialize, partitions, words_count
 
 SLICE = 3  # hex digits of the order: 4,096 slices
 
 
 def source_weights(sources: DataFrame, weights: tuple[int, ...]) -> DataFrame:
-    """Weights by the code-point order of the sources, repeating; null comes last. One row for each source."""
-    place = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
-    return sources.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (place % len(weights) + 1).cast("int")).cast("long"))
+    """Weights by the code-point order of the sources, repeating; null comes last. One row for each source.
+
+    Sources may be very many: they are sorted in ranges, and a source's place is its place in the range plus the sizes of
+    the ranges before, of which there is one row for each partition.
+    """
+    order = F.col("source").asc_nulls_last()
+    ranged = sources.repartitionByRange(partitions(sources), order).sortWithinPartitions(order)
+    ranged = materialize(ranged.withColumn("_id", F.monotonically_increasing_id()), "mix-sources").withColumn("_range", F.shiftright("_id", 33))
+    sizes = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = sizes.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_before"))
+    place = F.col("_before") + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
+    rows = ranged.join(before, "_range").withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (place % len(weights) + 1).cast("int")).cast("long"))
+    return rows.drop("_id", "_range", "_before")
 
 
 def water_fill(sources: DataFrame, epochs: int) -> DataFrame:
@@ -61,7 +71,7 @@ def _planned(docs: DataFrame, weights: tuple[int, ...], epochs: int, seed: int,
     sized = materialize(docs.select("doc_id", "source", words_count(F.col("text")).alias("size"), _order(seed).alias("_at"), *carried), "mix-sizes")
     own = sized.columns[4:]
     by_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    sources = materialize(source_weights(by_source, weights).coalesce(1), "mix-sources")
+    sources = materialize(source_weights(by_source, weights), "mix-sources")
     sources = water_fill(sources, epochs).withColumn("_words", F.floor("target").cast("long"))
     sources = sources.withColumn("_whole", F.when(F.col("source_size") > 0, F.expr("_words div source_size")).otherwise(F.lit(0)).cast("long"))
     sources = materialize(sources.withColumn("_rest", F.col("_words") - F.col("_whole") * F.col("source_size")), "mix-targets")
