@@ -7,16 +7,18 @@ a task's unit of work, found by an equi-join on (label, tile) in which each bloc
 In a tile, unit vectors x = s q + e (q int8, s a scale, e the error) give x.y = s_x s_y q_x.q_y + r with
 |r| <= |e_x| |s_y q_y| + |e_y| |s_x q_x| + |e_x| |e_y|: the norms are computed for every vector, so the bound is rigorous (a
 slack of 1e-9 covers rounding). Products of int8 are exact in float32 up to 1,000 dimensions, which the matrix product
-uses. Only pairs whose estimate plus bound reaches the threshold are computed again in double precision, and only those
-decide. A tile returns counts of links and the links of a spanning forest, never all pairs.
+uses. Blocks are quantised once, and only int8 values and three numbers a vector go to the tiles. Pairs whose estimate less the
+bound reaches the threshold are links, those whose estimate plus the bound does not are none; the places of all others are kept
+in packed arrays, and full vectors are sent to the tiles that have some, where these pairs are computed in double precision.
+A tile returns counts of links and the links of a spanning forest, never all pairs.
 
 All pairs of a label are compared, so the work grows as the square of a label's distinct vectors, in tiles that machines
 share; no tile holds more than two blocks.
 
 Defined results: vectors that are null, zero or empty, or hold null or non-finite components, and rows with a null label
 link with nothing; vectors of another length than their partner do not link; a null vec_id gets a null component and is
-kept, and links with nothing; repeated rows count as copies; an empty table gives an empty result; other columns are
-never read.
+kept, and links with nothing; repeated rows count as copies; vectors are scaled by a power of two before use, so very large
+and very small components neither overflow nor vanish; an empty table gives an empty result; other columns are never read.
 """
 
 from __future__ import annotations
@@ -33,7 +35,13 @@ from parlance.llm.components import connected_components
 
 BLOCK = 2_048
 SLACK = 1e-9
-BLOCKS = "label string, width int, block int, ids binary, copies binary, vectors binary"
+BLOCKS = "label string, width int, block int, ids binary, copies binary, small binary, bounds binary, vectors binary"
+FOUND = "label string, width int, tile_a int, tile_b int, id long, n long, a long, b long, i binary, j binary"
+
+
+def scaled(vectors: np.ndarray) -> np.ndarray:
+    """The vectors times powers of two, the largest component of each between 1/2 and 1."""
+    return np.ldexp(vectors, -np.frexp(np.abs(vectors).max(axis=1))[1][:, None])
 
 
 def quantise(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -44,20 +52,25 @@ def quantise(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     return q, scale, np.linalg.norm(back, axis=1), np.linalg.norm(unit - back, axis=1)
 
 
-def tile_pairs(a: np.ndarray, b: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, int]:
-    """Positions (in a, in b) of the pairs with cosine >= threshold, and how many were computed in double precision."""
+def exact_pairs(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray, threshold: float) -> np.ndarray:
+    """Which of the pairs (place in a, place in b) have a cosine >= threshold, in double precision."""
     na, nb = np.sqrt(np.einsum("ij,ij->i", a, a)), np.sqrt(np.einsum("ij,ij->i", b, b))
-    (qa, sa, ha, ea), (qb, sb, hb, eb) = quantise(a / na[:, None]), quantise(b / nb[:, None])
-    exact = a.shape[1] * 127 * 127 < 1 << 24
-    near = (qa.astype(np.float32 if exact else np.float64) @ qb.astype(np.float32 if exact else np.float64).T).astype(np.float64)
-    near *= sa[:, None] * sb
-    near += ea[:, None] * (hb + eb) + ha[:, None] * eb
-    i, j = np.nonzero(near >= threshold - SLACK)
     keep = np.zeros(len(i), bool)
     for k in range(0, len(i), 100_000):
         s = slice(k, k + 100_000)
         keep[s] = np.einsum("ij,ij->i", a[i[s]], b[j[s]]) / (na[i[s]] * nb[j[s]]) >= threshold
-    return i[keep], j[keep], len(i)
+    return keep
+
+
+def tile_pairs(a: tuple, b: tuple, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """By the bounds of quantised blocks: which pairs are links, and which may be."""
+    (qa, sa, ha, ea), (qb, sb, hb, eb) = a, b
+    exact = qa.shape[1] * 127 * 127 < 1 << 24
+    near = (qa.astype(np.float32 if exact else np.float64) @ qb.astype(np.float32 if exact else np.float64).T).astype(np.float64)
+    near *= sa[:, None] * sb
+    bound = ea[:, None] * (hb + eb) + ha[:, None] * eb + SLACK
+    sure = near - bound >= threshold
+    return sure, ~sure & (near + bound >= threshold)
 
 
 def forest(i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -84,6 +97,27 @@ def _classes(vectors: DataFrame) -> DataFrame:
     return vectors.select("vec_id", "label", "embedding").select(*cols)
 
 
+def _binary(array: np.ndarray, kind: type) -> pa.Array:
+    return pa.array([np.ascontiguousarray(array, dtype=kind).tobytes()], pa.binary())
+
+
+def _result(key: tuple, ids_a: np.ndarray, ids_b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, i: np.ndarray, j: np.ndarray, one: bool, open_i: np.ndarray, open_j: np.ndarray) -> pa.Table:
+    """FOUND of a tile's links (i, j): links of each vector, a forest of them, and the pairs that are open."""
+    links_a = np.bincount(i, weights=n_b[j], minlength=len(ids_a)).astype(np.int64)
+    links_b = np.bincount(j, weights=n_a[i], minlength=len(ids_b)).astype(np.int64)
+    tree = forest(i, j + (0 if one else len(ids_a)))
+    ids = np.concatenate([ids_a, ids_b])
+    kept_a, kept_b = np.flatnonzero(links_a), np.flatnonzero(links_b)
+    n, m, k = len(kept_a) + len(kept_b), len(tree), int(len(open_i) > 0)
+    none = lambda size, kind=pa.int64(): pa.nulls(size, kind)
+    columns = [pa.chunked_array([pa.array([x.as_py()] * (n + m + k), t)]) for x, t in zip(key, (pa.string(), pa.int32(), pa.int32(), pa.int32()), strict=True)]
+    columns.append(pa.chunked_array([pa.array(np.concatenate([ids_a[kept_a], ids_b[kept_b]])), none(m + k)]))
+    columns.append(pa.chunked_array([pa.array(np.concatenate([links_a[kept_a], links_b[kept_b]])), none(m + k)]))
+    columns += [pa.chunked_array([none(n), pa.array(ids[tree[:, side]]), none(k)]) for side in (0, 1)]
+    columns += [pa.chunked_array([none(n + m, pa.binary()), _binary(x, np.int32) if k else none(0, pa.binary())]) for x in (open_i, open_j)]
+    return pa.Table.from_arrays(columns, [x.split()[0] for x in FOUND.split(", ")])
+
+
 def near_embeddings(vectors: DataFrame, threshold: float = 0.93, block: int = BLOCK) -> DataFrame:
     """One row for each vector: vec_id, n_links (other vectors linked directly), component_id, kept."""
     keys = ["label", "width", "key1", "key2"]
@@ -94,40 +128,48 @@ def near_embeddings(vectors: DataFrame, threshold: float = 0.93, block: int = BL
 
     def to_blocks(key, batch):
         order = np.argsort(batch.column("id").to_numpy())
-        flat = batch.column("vector").combine_chunks().flatten().to_numpy().reshape(len(order), -1)[order]
-        return pa.Table.from_pydict({
-            "label": pa.array([key[0].as_py()]), "width": pa.array([key[1].as_py()], pa.int32()), "block": pa.array([key[2].as_py()], pa.int32()),
-            "ids": pa.array([batch.column("id").to_numpy()[order].astype(np.int64).tobytes()], pa.binary()),
-            "copies": pa.array([batch.column("copies").to_numpy()[order].astype(np.int64).tobytes()], pa.binary()),
-            "vectors": pa.array([np.ascontiguousarray(flat, dtype=np.float64).tobytes()], pa.binary()),
-        })
+        flat = scaled(batch.column("vector").combine_chunks().flatten().to_numpy().reshape(len(order), -1)[order])
+        q, *bounds = quantise(flat / np.sqrt(np.einsum("ij,ij->i", flat, flat))[:, None])
+        columns = [pa.array([key[0].as_py()], pa.string()), pa.array([key[1].as_py()], pa.int32()), pa.array([key[2].as_py()], pa.int32())]
+        columns += [_binary(batch.column(c).to_numpy()[order], np.int64) for c in ("id", "copies")] + [_binary(q, np.int8), _binary(np.stack(bounds), np.float64), _binary(flat, np.float64)]
+        return pa.Table.from_arrays(columns, [x.split()[0] for x in BLOCKS.split(", ")])
 
     blocks = materialize(dealt.select("label", "width", "block", "id", "copies", "vector").groupBy("label", "width", "block").applyInArrow(to_blocks, BLOCKS), "blocks")
-    sides = blocks.join(sizes, ["label", "width"]).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
-    sides = sides.withColumn("tile_a", F.least("block", "other")).withColumn("tile_b", F.greatest("block", "other"))
+    tile = ["label", "width", "tile_a", "tile_b"]
+
+    def dealt_to_tiles(*columns: str) -> DataFrame:
+        sides = blocks.select("label", "width", "block", "ids", "copies", *columns).join(sizes, ["label", "width"])
+        sides = sides.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
+        return sides.select("label", "width", F.least("block", "other").alias("tile_a"), F.greatest("block", "other").alias("tile_b"), "block", "ids", "copies", *columns)
+
+    def sides_of(table: pa.Table) -> list[dict]:
+        return sorted((r for r in table.to_pylist() if r["ids"] is not None), key=lambda r: r["block"])
 
     def compare(key, table):
-        parts = [(np.frombuffer(r["ids"], np.int64), np.frombuffer(r["copies"], np.int64), np.frombuffer(r["vectors"], np.float64).reshape(-1, r["width"])) for r in table.select(["ids", "copies", "vectors", "width"]).to_pylist()]
+        parts = []
+        for r in sides_of(table):
+            bounds = np.frombuffer(r["bounds"], np.float64).reshape(3, -1)
+            parts.append((np.frombuffer(r["ids"], np.int64), np.frombuffer(r["copies"], np.int64), (np.frombuffer(r["small"], np.int8).reshape(-1, key[1].as_py()), *bounds)))
         one = len(parts) == 1
         (ids_a, n_a, a), (ids_b, n_b, b) = parts[0], parts[-1]
-        i, j, _ = tile_pairs(a, b, threshold)
+        sure, may = tile_pairs(a, b, threshold)
         if one:
-            i, j = i[i < j], j[i < j]
-        links_a = np.bincount(i, weights=n_b[j], minlength=len(a)).astype(np.int64)
-        links_b = np.bincount(j, weights=n_a[i], minlength=len(b)).astype(np.int64)
-        ids = np.concatenate([ids_a, ids_b])
-        tree = forest(i, j + (0 if one else len(a)))
-        kept_a, kept_b = np.flatnonzero(links_a), np.flatnonzero(links_b)
-        n_rows, n_tree = len(kept_a) + len(kept_b), len(tree)
-        none = lambda n: pa.nulls(n, pa.int64())
-        return pa.Table.from_arrays([
-            pa.chunked_array([pa.array(np.concatenate([ids_a[kept_a], ids_b[kept_b]])), none(n_tree)]),
-            pa.chunked_array([pa.array(np.concatenate([links_a[kept_a], links_b[kept_b]])), none(n_tree)]),
-            pa.chunked_array([none(n_rows), pa.array(ids[tree[:, 0]])]),
-            pa.chunked_array([none(n_rows), pa.array(ids[tree[:, 1]])]),
-        ], ["id", "n", "a", "b"])
-
-    found = materialize(sides.select("label", "width", "tile_a", "tile_b", "ids", "copies", "vectors").groupBy("label", "width", "tile_a", "tile_b").applyInArrow(compare, "id long, n long, a long, b long"), "tiles")
+            sure, may = np.triu(sure, 1), np.triu(may, 1)
+        return _result(key, ids_a, ids_b, n_a, n_b, *np.nonzero(sure), one, *np.nonzero(may))
+
+    def decide(key, table):
+        pairs = next(r for r in table.to_pylist() if r["i"] is not None)
+        parts = [(np.frombuffer(r["ids"], np.int64), np.frombuffer(r["copies"], np.int64), np.frombuffer(r["vectors"], np.float64).reshape(-1, key[1].as_py())) for r in sides_of(table)]
+        (ids_a, n_a, a), (ids_b, n_b, b) = parts[0], parts[-1]
+        i, j = np.frombuffer(pairs["i"], np.int32), np.frombuffer(pairs["j"], np.int32)
+        keep = exact_pairs(a, b, i, j, threshold)
+        none = np.zeros(0, np.int32)
+        return _result(key, ids_a, ids_b, n_a, n_b, i[keep], j[keep], len(parts) == 1, none, none)
+
+    found = materialize(dealt_to_tiles("small", "bounds").groupBy(*tile).applyInArrow(compare, FOUND), "tiles")
+    opened = found.where("i is not null").select(*tile, "i", "j")
+    whole = dealt_to_tiles("vectors").join(opened.select(*tile), tile, "left_semi").unionByName(opened, allowMissingColumns=True)
+    found = found.unionByName(materialize(whole.groupBy(*tile).applyInArrow(decide, FOUND), "tiles"))
     component = connected_components(found.where("a is not null").select("a", "b"))
     counts = found.where("id is not null").groupBy("id").agg(F.sum("n").alias("n"))
     of_class = classes.select(*keys, "id", "copies").join(counts, "id", "left").join(component, "id", "left")
