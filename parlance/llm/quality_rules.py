@@ -3,10 +3,11 @@
 Counts, over every whole text: words, code points in words, symbols, lines equal to an earlier line, words that lie in a
 3-word window found twice or more. Line, word and window identity are 64-bit hashes within one document.
 
-Model: a text's features are the shares of its hashed 4-byte windows and of its hashed words and word pairs, so the score
-of a text is two means of weights and costs a table lookup for each byte. Fitted on the driver by full-batch Adam on at
-most `SAMPLE` labelled rows of at most `SAMPLE_CHARS` characters (a documented sample; the larger part fits the weights, every
-fourth row the calibration by Platt's method). Scoring sees whole texts, in Arrow batches, against fixed thresholds.
+Model: a text's features are the shares of its hashed 4-character windows (of code points, in any script) and of its hashed
+words and word pairs, so the score of a text is three means of weights and costs a table lookup for each character and word.
+Fitted in one executor task by full-batch Adam on the whole texts of at most `SAMPLE` labelled rows (a documented sample; the
+larger part fits the weights, every fourth row the calibration by Platt's method); a sampled text comes there as its distinct
+features, which hashing bounds however long it is. Scoring sees whole texts, in Arrow batches, against fixed thresholds.
 
 Defined results: null and empty texts have no words, so `base_failed` is true and `kept` false; repeated rows are judged
 alike; without labelled rows of both values the model keeps everything that passes the counts; an empty table gives an empty
@@ -24,10 +25,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parlance.llm.common import gram_hashes, mix, pieces, span_hashes, text_bytes, word_spans
-from parlance.llm.samples import fold, labelled
+from parlance.llm.samples import fitted, fold, labelled
 
-SAMPLE, SAMPLE_CHARS = 4_000, 20_000
-BYTE_BITS, WORD_BITS = 15, 17
+SAMPLE = 4_000
+CHAR_BITS, WORD_BITS = 15, 17
 #: A text fails below so many words, above such a share (%) of repeated words, or below such a probability.
 MIN_WORDS, MAX_REPEATED, MIN_PROBABILITY = 50, 50, 0.5
 SYMBOLS = b"#*$%&|<>"
@@ -40,7 +41,7 @@ _IS_SYMBOL[list(SYMBOLS)] = True
 
 @dataclass
 class Model:
-    bytes_w: np.ndarray
+    chars_w: np.ndarray
     words_w: np.ndarray
     bias: float
     slope: float
@@ -99,29 +100,42 @@ def counts(data: np.ndarray, offsets: np.ndarray, starts: np.ndarray, ends: np.n
 
 
 def _windows(data: np.ndarray) -> np.ndarray:
-    """Hash of the 4 bytes from each position on."""
-    if len(data) < 4:
-        return np.zeros(0, np.uint32)
-    x = data.astype(np.uint32)
+    """Number of the 4 characters from each one on, under 1 << CHAR_BITS."""
+    x = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), "<u4").astype(np.uint64)
+    if len(x) < 4:
+        return np.zeros(0, np.int64)
     with np.errstate(over="ignore"):
-        x = x[:-3] | (x[1:-2] << np.uint32(8)) | (x[2:-1] << np.uint32(16)) | (x[3:] << np.uint32(24))
-        return (x * np.uint32(0x9E3779B1)) >> np.uint32(32 - BYTE_BITS)
+        x = x[:-3] | (x[1:-2] << np.uint64(21)) | (x[2:-1] << np.uint64(42)) ^ (x[3:] * np.uint64(0xD6E8FEB86659FD93))
+        return (mix(x) >> np.uint64(64 - CHAR_BITS)).astype(np.int64)
 
 
 def features(data: np.ndarray, offsets: np.ndarray, first: np.ndarray, words: np.ndarray) -> tuple:
-    """Feature numbers of 4-byte windows and of words and word pairs, each with the bounds of every text."""
+    """Feature numbers of 4-character windows and of words and word pairs, each with the bounds of every text."""
     grams = _windows(data)
-    bounds = np.stack([np.minimum(offsets[:-1], len(grams)), np.clip(offsets[1:] - 3, offsets[:-1], None)])
-    bounds = np.minimum(bounds, len(grams))
+    at = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[offsets]
+    bounds = np.minimum(np.stack([at[:-1], np.clip(at[1:] - 3, at[:-1], None)]), len(grams))
     ones = (words >> np.uint64(64 - WORD_BITS)).astype(np.int64)
     pairs = (gram_hashes(words, 2) >> np.uint64(64 - WORD_BITS)).astype(np.int64)
     pair_bounds = np.minimum(np.stack([first[:-1], np.clip(first[1:] - 1, first[:-1], None)]), len(pairs))
     return (grams, bounds), (ones, np.stack([first[:-1], first[1:]])), (pairs, pair_bounds)
 
 
+def shares(parts: tuple) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Distinct features of each text and their shares: characters first, then words and pairs, which have one table."""
+    out = []
+    for i in range(parts[0][1].shape[1]):
+        index, value = [], []
+        for (numbers, bounds), offset in zip(parts, (0, 1 << CHAR_BITS, 1 << CHAR_BITS), strict=True):
+            own, n = np.unique(numbers[bounds[0, i] : bounds[1, i]], return_counts=True)
+            index.append(own + offset)
+            value.append(n / max(1, n.sum()))
+        out.append((np.concatenate(index).astype(np.int32), np.concatenate(value).astype(np.float32)))
+    return out
+
+
 def _means(parts: tuple, model: Model) -> np.ndarray:
     out = 0.0
-    for (index, bounds), table in zip(parts, (model.bytes_w, model.words_w, model.words_w), strict=True):
+    for (index, bounds), table in zip(parts, (model.chars_w, model.words_w, model.words_w), strict=True):
         total = np.concatenate([[0.0], np.cumsum(table[index], dtype=np.float64)])
         out = out + (total[bounds[1]] - total[bounds[0]]) / np.maximum(1, bounds[1] - bounds[0])
     return SCALE * out + model.bias
@@ -137,37 +151,38 @@ def _prepare(array: pa.Array) -> tuple:
     return data, offsets, starts, ends, first, span_hashes(data, starts, ends)
 
 
-def fit(texts: list[str], quality: np.ndarray, rounds: int = 60, rate: float = 0.05, decay: float = 1e-4) -> Model:
-    model = Model(np.zeros(1 << BYTE_BITS), np.zeros(1 << WORD_BITS), 4.0, 1.0, 0.0)
+def keeps_all() -> Model:
+    return Model(np.zeros(1 << CHAR_BITS), np.zeros(1 << WORD_BITS), 4.0, 1.0, 0.0)
+
+
+def fit(rows: list[tuple[np.ndarray, np.ndarray]], quality: np.ndarray, rounds: int = 60, rate: float = 0.05, decay: float = 1e-4) -> Model:
+    """The model of rows of `shares` and their labels."""
     if len(set(quality.tolist())) < 2:
-        return model
-    data, offsets, _, _, first, words = _prepare(pa.array(texts, pa.string()))
-    parts = features(data, offsets, first, words)
-    model.bias = 0.0
-    train = np.arange(len(texts)) % 4 != 3
+        return keeps_all()
+    bounds = np.concatenate([[0], np.cumsum([len(i) for i, _ in rows])])
+    index, value = np.concatenate([i for i, _ in rows]), np.concatenate([v for _, v in rows])
+    owner = np.repeat(np.arange(len(rows), dtype=np.int32), np.diff(bounds))
+
+    def logits() -> np.ndarray:
+        return SCALE * np.bincount(owner, weights=weights[index] * value, minlength=len(rows)) + bias
+
+    train = np.arange(len(rows)) % 4 != 3
+    if len(set(quality[train].tolist())) < 2:
+        train[:] = True
     share = np.where(quality == 1, 0.5 / max(1, quality[train].sum()), 0.5 / max(1, (1 - quality[train]).sum())) * train
-    tables, step = [model.bytes_w, model.words_w], 0
-    moments = [(np.zeros_like(t), np.zeros_like(t)) for t in tables]
-    bias_m = bias_v = 0.0
-    for _ in range(rounds):
-        step += 1
-        gap = (1 / (1 + np.exp(-np.clip(_means(parts, model), -30, 30))) - quality) * share
-        grads = [np.zeros_like(t) for t in tables]
-        for (index, bounds), k in zip(parts, (0, 1, 1), strict=True):
-            each = np.zeros(len(index) + 1)
-            value = gap * SCALE / np.maximum(1, bounds[1] - bounds[0])
-            np.add.at(each, bounds[0], value)
-            np.add.at(each, bounds[1], -value)
-            grads[k] += np.bincount(index, weights=np.cumsum(each)[:-1], minlength=len(tables[k]))
-        for t, g, (m, v) in zip(tables, grads, moments, strict=True):
-            g += decay * t
-            m += 0.1 * (g - m)
-            v += 0.01 * (g * g - v)
-            t -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-7)
+    weights, bias = np.zeros((1 << CHAR_BITS) + (1 << WORD_BITS)), 0.0
+    m, v, bias_m, bias_v = np.zeros_like(weights), np.zeros_like(weights), 0.0, 0.0
+    for step in range(1, rounds + 1):
+        gap = (1 / (1 + np.exp(-np.clip(logits(), -30, 30))) - quality) * share
+        g = np.bincount(index, weights=(gap * SCALE)[owner] * value, minlength=len(weights)) + decay * weights
+        m += 0.1 * (g - m)
+        v += 0.01 * (g * g - v)
+        weights -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-7)
         bias_m += 0.1 * (gap.sum() - bias_m)
         bias_v += 0.01 * (gap.sum() ** 2 - bias_v)
-        model.bias -= rate * (bias_m / (1 - 0.9**step)) / (np.sqrt(bias_v / (1 - 0.99**step)) + 1e-7)
-    raw, held = _means(parts, model), ~train
+        bias -= rate * (bias_m / (1 - 0.9**step)) / (np.sqrt(bias_v / (1 - 0.99**step)) + 1e-7)
+    model = Model(weights[: 1 << CHAR_BITS].astype(np.float32), weights[1 << CHAR_BITS :].astype(np.float32), float(bias), 1.0, 0.0)
+    raw, held = logits(), ~train
     if len(set(quality[held].tolist())) == 2:
         x, y = raw[held], quality[held].astype(float)
         target = np.where(y == 1, (y.sum() + 1) / (y.sum() + 2), 1 / (len(y) - y.sum() + 2))
@@ -175,15 +190,28 @@ def fit(texts: list[str], quality: np.ndarray, rounds: int = 60, rate: float = 0
         for _ in range(500):
             p = 1 / (1 + np.exp(-np.clip(a * x + b, -30, 30)))
             a, b = max(1e-3, a - 0.05 * np.mean((p - target) * x)), b - 0.05 * np.mean(p - target)
-        model.slope, model.shift = a, b
-    model.bytes_w, model.words_w = model.bytes_w.astype(np.float32), model.words_w.astype(np.float32)
+        model.slope, model.shift = float(a), float(b)
     return model
 
 
 def learn(docs: DataFrame, labels: DataFrame, seed: int = 0) -> Model:
     """The model of a bounded sample of labelled rows whose crc32 mod 5 is not 0."""
-    rows = labelled(docs.where(F.char_length("text") <= SAMPLE_CHARS), labels, fold(F.col("doc_id"), 5) != 0, SAMPLE, seed).orderBy("doc_id").collect()
-    return fit([r.text for r in rows], np.array([r.quality for r in rows], dtype=np.int64))
+
+    def inputs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, "text", 1_500_000):
+            data, offsets, _, _, first, words = _prepare(batch.column("text"))
+            found = shares(features(data, offsets, first, words))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("quality").cast(pa.int32()), pa.array([i.tobytes() for i, _ in found], pa.binary()), pa.array([v.tobytes() for _, v in found], pa.binary())], ["doc_id", "quality", "features", "shares"])
+
+    def model(batches: Iterator[pa.RecordBatch]) -> Model:
+        rows, quality = [], []
+        for batch in batches:
+            quality += batch.column("quality").to_pylist()
+            rows += [(np.frombuffer(i, np.int32), np.frombuffer(v, np.float32)) for i, v in zip(batch.column("features").to_pylist(), batch.column("shares").to_pylist(), strict=True)]
+        return fit(rows, np.array(quality, dtype=np.int64))
+
+    sample = labelled(docs, labels, fold(F.col("doc_id"), 5) != 0, SAMPLE, seed)
+    return fitted(sample.mapInArrow(inputs, "doc_id long, quality int, features binary, shares binary"), model) or keeps_all()
 
 
 def judge(docs: DataFrame, model: Model) -> DataFrame:
