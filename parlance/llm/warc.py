@@ -2,8 +2,8 @@
 
 File layout (the public "Zstandard WARC" convention): a skippable frame, magic 0x184D2A5D, that holds the dictionary;
 then one Zstandard frame for each WARC/1.1 record, with its content size, made with that dictionary. The dictionary is
-trained on a bounded sample of the records (`sample` rows, chosen by a hash of page_id, each cut to `sample_bytes` for
-the training only), so it does not grow with the input; every record is archived whole.
+trained in one executor task on a bounded sample of the records (`sample` rows, those with the smallest hash of page_id, each
+cut to `sample_bytes` for the training only), so it does not grow with the input; every record is archived whole.
 
 Copies: of pages with equal payloads of at least `min_bytes`, that with the largest page_id is written as `response`, the
 others as `revisit` that names its record; smaller ones are all `response`. Equality is SHA-1 and length, grouped by a
@@ -13,8 +13,9 @@ Executors write through `pyarrow.fs` to the folder named by its URI (file, hdfs,
 attempt, and the manifest lists only files of attempts that succeeded: a lost or repeated task leaves an unlisted file.
 
 Defined results: a null or empty html has payload length 0 and is grouped like any other; a null url is written as
-`urn:page:<id>`; a null page_id is an error; line ends in a url are percent-encoded; repeated rows are written once each;
-an empty table gives no archive and an empty result; other columns are never read.
+`urn:page:<id>`; a page without page_id gets a record with a random name and reads back with a null page_id, it revisits a
+copy that has an id and is a response where none has; line ends in a url are percent-encoded; repeated rows are written once
+each; an empty table gives no archive and an empty result; other columns are never read.
 """
 
 from __future__ import annotations
@@ -32,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parlance.llm.common import materialize, new_path, partitions, pieces
+from parlance.llm.samples import fitted
 
 SKIPPABLE = 0x184D2A5D
 FILE_BYTES = 64_000_000
@@ -43,23 +45,24 @@ RECORDS = "page_id long, payload_bytes long, payload_digest string, record_type
 _SPACE_ID = uuid.UUID("9c3c0a52-3a0e-4d1c-0000-000000000000").int
 
 
-def record_id(page_id: int) -> str:
-    """A record's name: a UUID whose low 64 bits are the page's id."""
-    return f"<urn:uuid:{uuid.UUID(int=_SPACE_ID | (page_id & 0xFFFFFFFFFFFFFFFF))}>"
+def record_id(page_id: int | None) -> str:
+    """A record's name: a UUID whose low 64 bits are the page's id; a random one without id."""
+    return f"<urn:uuid:{uuid.uuid4() if page_id is None else uuid.UUID(int=_SPACE_ID | (page_id & 0xFFFFFFFFFFFFFFFF))}>"
 
 
-def page_of(name: str) -> int:
-    low = uuid.UUID(name.strip("<>").rpartition(":")[2]).int & 0xFFFFFFFFFFFFFFFF
-    return low - (1 << 64) if low >> 63 else low
+def page_of(name: str) -> int | None:
+    whole = uuid.UUID(name.strip("<>").rpartition(":")[2]).int
+    low = whole & 0xFFFFFFFFFFFFFFFF
+    return None if whole - low != _SPACE_ID else low - (1 << 64) if low >> 63 else low
 
 
 def base32_sha1(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def render(page_id: int, url: str | None, payload: bytes, refers_to: int | None, digest: str | None = None, n_bytes: int | None = None) -> bytes:
+def render(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, digest: str | None = None, n_bytes: int | None = None) -> bytes:
     """A record's bytes. A revisit keeps the payload's digest and length, not the payload."""
-    target = (url or f"urn:page:{page_id}").replace("\r", "%0D").replace("\n", "%0A")
+    target = (url or f"urn:page:{'' if page_id is None else page_id}").replace("\r", "%0D").replace("\n", "%0A")
     block = HTTP if refers_to is not None else HTTP + payload
     head = {
         "WARC-Type": "response" if refers_to is None else "revisit",
@@ -136,14 +139,19 @@ def link_copies(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     rows = pages.select("page_id", "url", "html", F.sha1(payload).alias("_digest"), F.octet_length(payload).cast("long").alias("_bytes"))
     last = materialize(rows.groupBy("_digest", "_bytes").agg(F.max("page_id").alias("_last"), F.count(F.lit(1)).alias("_n")).where((F.col("_n") > 1) & (F.col("_bytes") >= min_bytes)).drop("_n"), "warc-copies")
-    return rows.join(last, ["_digest", "_bytes"], "left").select("page_id", "url", "html", "_digest", "_bytes", F.when(F.col("_last") != F.col("page_id"), F.col("_last")).alias("refers_to"))
+    return rows.join(last, ["_digest", "_bytes"], "left").select("page_id", "url", "html", "_digest", "_bytes", F.when(~F.col("_last").eqNullSafe(F.col("page_id")), F.col("_last")).alias("refers_to"))
 
 
 def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, level: int = 3, sample: int = 1_000, sample_bytes: int = 16_384, seed: int = 0) -> DataFrame:
     """Write `pages` (page_id, url, html) as archives in `folder`; returns the written manifest (path, records, bytes)."""
-    every = max(1, pages.count() // sample)
-    chosen = pages.where(F.pmod(F.xxhash64("page_id", F.lit(seed)), F.lit(every)) == 0).select("page_id", "url", F.substring(F.col("html"), 1, sample_bytes).alias("html")).orderBy("page_id").limit(sample).collect()
-    dictionary = train([render(r.page_id, r.url, (r.html or "").encode()[:sample_bytes], None) for r in chosen if r.page_id is not None])
+    chosen = pages.select("page_id").where("page_id is not null").distinct().orderBy(F.xxhash64("page_id", F.lit(seed)), "page_id").limit(sample)
+    heads = pages.select("page_id", "url", F.substring(F.col("html"), 1, sample_bytes).alias("html")).join(F.broadcast(chosen), "page_id")  # `sample` ids
+    heads = heads.groupBy(F.col("page_id").alias("doc_id")).agg(F.min(F.struct("url", "html")).alias("r")).select("doc_id", "r.*")
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> bytes:
+        return train([render(r["doc_id"], r["url"], (r["html"] or "").encode()[:sample_bytes], None) for batch in batches for r in batch.to_pylist()])
+
+    dictionary = fitted(heads, learn) or b""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         content = _dictionary(dictionary)
@@ -154,8 +162,6 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, level: int
         for batch in batches:
             for part in pieces([batch], "html"):
                 for r in part.to_pylist():
-                    if r["page_id"] is None:
-                        raise ValueError("a page without page_id can't be archived")
                     if out is None:
                         done.append([f"{base}/{uuid.uuid4().hex}.warc.zst", 0, 0])
                         out = where.open_output_stream(done[-1][0], compression=None)
