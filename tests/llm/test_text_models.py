@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from parlance.llm import language_id, quality_classifier, quality_rules
+from parlance.llm import language_id, quality_classifier, quality_rules, queries
 from parlance.llm.samples import fold
 
 ODD = ["", None, " \n ", "\n", "a", "a\n\na\n", "x y z\nx y z\n", "x\nx", "\nb\nb\n b", "a b c a b c d", "é é # é|", "漢字 漢字", "w " * 5000, "x" * 30_000]
@@ -103,21 +103,119 @@ def test_languages(spark):
 
 def test_phrases_equal_a_plain_parse():
     rng = random.Random(3)
-    texts = {"p": ["".join(rng.choices("abc ", k=200))], "q": ["".join(rng.choices("bcd ", k=200))]}
-    model = language_id.learn_model(texts)
-    words = ["".join(rng.choices("abcdx", k=rng.randint(1, 12))) for _ in range(200)]
-
-    def plain(word, text):
-        word, n, at = " " + word, 0, 0
-        while at < len(word):
+    samples = {"p": ["".join(rng.choices("abc ", k=300))], "q": ["".join(rng.choices("bcdé ", k=300))]}
+    model = language_id.learn_model(samples)
+    texts = ["".join(rng.choices("abcdé漢 1", k=rng.randint(0, 60))) for _ in range(200)] + ["ab c" * 900, "x" * 700, "", None]
+    symbols, bounds, _ = language_id.symbols_of(pa.array(texts, pa.string()))
+    spoken = [" " + " ".join(re.findall(r"[^\W\d_]+", t or "")) for t in texts]
+    assert [symbols[a:b].tobytes().decode() for a, b in zip(bounds[:-1], bounds[1:], strict=True)] == [s if s != " " else "" for s in spoken]
+
+    def plain(text, learned):
+        n, at = 0, 0
+        while at < len(text):
             end = at + 1
-            while end < len(word) and word[at : end + 1] in text:
+            while end < len(text) and text[at : end + 1] in learned:
                 end += 1
             n, at = n + 1, end
         return n
 
-    joined = {n: " " + " ".join(w for t in texts[n] for w in t.split()) for n in texts}
-    assert language_id.phrases(words, model).tolist() == [[plain(w, joined["p"]), plain(w, joined["q"])] for w in words]
+    learned = {k: language_id.symbols_of(pa.array(v))[0].tobytes() for k, v in samples.items()}
+    want = [[plain(symbols[a:b].tobytes(), learned[k]) for k in "pq"] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+    for lane in (1, 5, 64, 256):
+        assert language_id.phrases(model.symbols[symbols], bounds, model, lane).tolist() == want
+
+
+def test_what_a_letter_is():
+    model = language_id.learn_model({"aa": ["some words of it"]})
+    names, scores = language_id.predict(pa.array(["½ ²", None, "", "12 _ ?", "\u0301", "é", "1a", "漢"]), model)
+    assert names == ["und"] * 5 + ["aa"] * 3 and scores.tolist() == [0.0] * 5 + [1.0] * 3
+
+
+def test_every_language_is_learned():
+    model = language_id.learn_model({f"l{i:03d}": [chr(0x4E00 + i) * 40] for i in range(300)}, total=12_000)
+    assert len(model.names) == 300 and language_id.predict(pa.array([chr(0x4E00 + 299) * 9]), model)[0] == ["l299"]
+
+
+def test_character_windows_are_of_characters():
+    texts = ["abcd", "é漢字x é漢字x", "", None, "abc", "abcdabcd"]
+    data, offsets, _, _, first, words = quality_rules._prepare(pa.array(texts, pa.string()))
+    (grams, bounds), _, (pairs, pair_bounds) = quality_rules.features(data, offsets, first, words)
+    assert (bounds[1] - bounds[0]).tolist() == [max(0, len(t or "") - 3) for t in texts] and (pair_bounds[1] - pair_bounds[0]).tolist() == [0, 1, 0, 0, 0, 0]
+    own = [grams[a:b].tolist() for a, b in bounds.T]
+    assert own[5][0] == own[5][4] == own[0][0] and own[1][0] == own[1][5] and len(set(own[1])) == 5
+
+
+def test_rules_score_is_the_sum_of_shares():
+    texts, quality = synthetic(5, 60)
+    texts += [t or "" for t in ODD]
+    data, offsets, _, _, first, words = quality_rules._prepare(pa.array(texts))
+    parts = quality_rules.features(data, offsets, first, words)
+    rows = quality_rules.shares(parts)
+    model = quality_rules.fit(rows[:60], np.array(quality), rounds=20)
+    table = np.concatenate([model.chars_w, model.words_w])
+    want = [quality_rules.SCALE * float((table[i].astype(float) * v).sum()) + model.bias for i, v in rows]
+    assert np.allclose(quality_rules._means(parts, model), want, atol=1e-3)
+
+
+def test_fits_of_few_or_one_sided_rows():
+    rows = quality_rules.shares(quality_rules.features(*(lambda p: (p[0], p[1], p[4], p[5]))(quality_rules._prepare(pa.array(["a b c d", "e f g h", "a a a a"])))))
+    for labels in ([1, 1, 1], [0, 0, 0], [1, 0, 1], [0, 1, 0]):
+        assert np.isfinite(quality_rules.fit(rows, np.array(labels), rounds=5).bias)
+        net = quality_classifier.fit(np.eye(3), np.array(labels), rounds=20)
+        assert ((0 <= net.score(np.eye(3))) & (net.score(np.eye(3)) <= 1)).all()
+    assert quality_rules.fit([], np.zeros(0, np.int64)).bias == 4.0 and quality_classifier.fit(np.zeros((0, 3)), np.zeros(0, np.int64)).score(np.zeros((1, 3)))[0] == 0.5
+
+
+def test_vectors_do_not_depend_on_parts():
+    texts = synthetic(7, 40)[0]
+    batch = lambda t: pa.RecordBatch.from_arrays([pa.array(t)], ["text"])
+    one, two = quality_classifier.learn_vectors(iter([batch(texts)])), quality_classifier.learn_vectors(iter([batch(texts[30:]), batch(texts[:7]), batch(texts[7:30])]))
+    assert all((getattr(one, n) == getattr(two, n)).all() for n in ("tags", "words", "forms"))
+
+
+def held_out_rows(spark, query, of, is_held):
+    """Rows of the test data that a model did not learn from, with labels: (text, quality or lang, row of the result)."""
+    import zlib
+
+    docs = {r.doc_id: r for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    quality = {r.doc_id: r.quality for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
+    rows = {r.doc_id: r for r in query(spark, SF).collect()}
+    assert set(rows) == set(docs)
+    held = [i for i in docs if zlib.crc32(str(i).encode()) % of == is_held]
+    return docs, quality, rows, held
+
+
+SF = "/root/testdata/sf0.01"
+
+
+def test_held_out_accuracy_of_languages(spark):
+    docs, _, rows, held = held_out_rows(spark, queries.op3_language_id, 3, 1)
+    assert [i for i in rows if rows[i].held_out] == [i for i in rows if i in set(held)]
+    right = [rows[i].lang_pred == docs[i].lang for i in held if docs[i].lang is not None and rows[i].lang_pred != "und"]
+    assert sum(right) >= 0.98 * len(right) > 200
+
+
+def test_held_out_accuracy_of_the_classifier(spark):
+    _, quality, rows, held = held_out_rows(spark, queries.op8_quality_classifier, 5, 0)
+    known = [i for i in held if quality.get(i) is not None]
+    assert all(rows[i].held_out for i in known)
+    assert sum(rows[i].predicted == quality[i] for i in known) >= 0.95 * len(known) > 50
+
+
+def test_held_out_accuracy_of_the_rules(spark):
+    _, quality, rows, held = held_out_rows(spark, queries.op9_quality_rules, 5, 0)
+    known = [i for i in held if quality.get(i) is not None and not rows[i].base_failed]
+    good = [i for i in known if quality[i] == 1]
+    assert sum(rows[i].kept == bool(quality[i]) for i in known) >= 0.93 * len(known) > 40 and sum(rows[i].kept for i in good) >= 0.97 * len(good)
+
+
+def test_accepted_keeps_columns_of_any_name(labelled):
+    docs, labels, quality = labelled
+    out = quality_classifier.accepted(docs, quality_classifier.learn(docs, labels))
+    assert out.columns == docs.columns
+    rows = {r.doc_id: r for r in out.collect()}
+    assert {r.score for r in rows.values()} == {"x"} and {r.predicted for r in rows.values()} == {9}
+    assert sum((i in rows) == bool(q) for i, q in enumerate(quality)) >= 0.95 * len(quality)
 
 
 def test_folds(spark):

@@ -15,10 +15,14 @@ FILES = tokenizer_files()
 
 def test_ids_are_those_of_tokenizers(spark):
     full = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()]
-    texts += ["", "  two  blanks ", "it's <|endoftext|> ok", "\n\n a\tb", "漢字 é", "a" * 3000]
-    for text, ids in zip(texts, packing.encode(texts, *FILES), strict=True):
-        assert ids.tolist() == full.encode(text, add_special_tokens=False).ids
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("text").collect()]
+    rng = random.Random(0)
+    texts += ["", "  two  blanks ", "it's <|endoftext|> ok", "\n\n a\tb", "漢字 é", "a" * 3000, " " * 2000, "\n" * 900, "ab" * 2500, "漢" * 800, "é́" * 700, "1234567890" * 300, "!?" * 900, "\u200b\ufeff x"]
+    texts += ["".join(rng.choices("abcé漢 \n\t'!1\u00a0\u2028😀", k=rng.randint(1, 400))) for _ in range(400)]
+    for k in range(0, len(texts), 2_000):
+        part = texts[k : k + 2_000]
+        want = full.encode_batch([t or "" for t in part], add_special_tokens=False)
+        assert [x.tolist() for x in packing.encode(part, *FILES)] == [w.ids for w in want]
 
 
 def test_cut():
@@ -26,6 +30,46 @@ def test_cut():
     assert packing.cut(2049, 1024) == [(0, 1), (1, 1024), (1025, 1024)] and packing.cut(2048, 1024) == [(0, 1024), (1024, 1024)]
 
 
+def plain_sum_of_squares(lengths, capacity):
+    """Each piece where the squared counts of open sequences by gap become smallest, counted anew for every choice."""
+    sequences, places = [], [None] * len(lengths)
+    for i in sorted(range(len(lengths)), key=lambda i: -lengths[i]):
+        gaps = [capacity - sum(s) for s in sequences]
+        fits = sorted({g for g in gaps if g >= lengths[i]})
+
+        def total(g, s=lengths[i], gaps=gaps):
+            after = [x for x in gaps if 0 < x < capacity]
+            after.remove(g)
+            after += [g - s] * (g > s)
+            return sum(after.count(x) ** 2 for x in set(after))
+
+        if fits:
+            best = min(fits, key=lambda g: (total(g), g))
+            at = max((k for k, g in enumerate(gaps) if g == best), key=lambda k: sequences[k].when)
+        else:
+            sequences.append(Sequence())
+            at = len(sequences) - 1
+        places[i] = (at, sum(sequences[at]))
+        sequences[at].append(lengths[i])
+        sequences[at].when = max(s.when for s in sequences) + 1
+    return places
+
+
+class Sequence(list):
+    when = 0
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_places_are_those_of_sums_of_squares(seed):
+    import numpy as np
+
+    rng = np.random.default_rng(seed)
+    lengths = rng.integers(1, 31, 120)
+    where, offset, n = packing.place(lengths, 30)
+    want = plain_sum_of_squares(lengths.tolist(), 30)
+    assert list(zip(where.tolist(), offset.tolist(), strict=True)) == want and n == 1 + max(w for w, _ in want)
+
+
 @pytest.mark.parametrize("seed", range(5))
 def test_places_are_legal_and_tight(seed):
     import numpy as np
@@ -41,6 +85,21 @@ def test_places_are_legal_and_tight(seed):
     assert n <= 1.02 * max(-(-lengths.sum() // 100), (lengths > 50).sum())
 
 
+def test_packing_repeats_and_null_ids(spark):
+    rows = [(None, "one two"), (None, "one two"), (3, "x " * 300), (3, "x " * 300), (3, None), (4, "")]
+    docs = spark.createDataFrame([(i, t, "s", 5) for i, t in rows], "doc_id long, text string, sequence_id string, length int")
+    placed = packing.pack_documents(docs.repartition(3), *FILES, capacity=64, shard=5).collect()
+    by = {}
+    for r in placed:
+        by.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for own in by.values():
+        own.sort()
+        assert [o for o, _ in own] == [sum(n for _, n in own[:k]) for k in range(len(own))] and sum(n for _, n in own) <= 64
+    assert sum(r.doc_id is None for r in placed) == 2 and sum(r.doc_id == 3 and r.length == 1 and r.start == 0 for r in placed) == 1
+    packed = packing.sequences(docs, *FILES, capacity=64).collect()
+    assert sum(len(r.input_ids) for r in packed) == sum(r.length for r in placed) and sum(i is None for r in packed for i in r.doc_ids) == 2
+
+
 def test_packing_round_trip(make, spark):
     texts = ["", None, "hello world", "hello world", "word " * 3000, "a b", "é" * 50]
     docs = make(texts)
@@ -53,7 +112,7 @@ def test_packing_round_trip(make, spark):
         assert len(part) == r.length <= 64 and r.ids_crc32 == zlib.crc32(b"".join(t.to_bytes(4, "little") for t in part))
         back.setdefault(r.doc_id, []).extend(part)
     assert back == ids
-    packed = packing.sequences(docs, placed, *FILES, capacity=64).collect()
+    packed = packing.sequences(docs, *FILES, capacity=64).collect()
     assert sum(len(r.input_ids) for r in packed) == sum(map(len, ids.values())) and max(len(r.input_ids) for r in packed) <= 64
     assert packing.pack_documents(docs.where("false"), *FILES).count() == 0
 
@@ -78,6 +137,22 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.round_trip(pages(spark, rows).where("false")).count() == 0
 
 
+def test_warc_pages_without_id(spark, tmp_path):
+    rows = [(None, "u", "same", "k"), (None, None, "same", "k"), (2, "u", "same", "k"), (2, "u", "same", "k"), (None, "u", "lone", "k"), (1, "u", "same", "k")]
+    got = sorted((r.page_id or 0, r.record_type, r.refers_to) for r in warc.round_trip(pages(spark, rows).repartition(3)).collect())
+    assert got == sorted([(0, "revisit", 2), (0, "revisit", 2), (0, "response", None), (1, "revisit", 2), (2, "response", None), (2, "response", None)], key=lambda x: (x[0], x[1]))
+
+
+def test_sources_in_order_over_ranges(spark):
+    names = [None, *(f"s{i:04d}" for i in range(500)), "é", "Z"]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
+    rows = mixing.source_weights(spark.createDataFrame([(n, 1) for n in names], "source string, source_size long").repartition(5), (5, 2, 1)).collect()
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    order = sorted((n for n in names if n is not None), key=lambda n: n.encode()) + [None]
+    assert {r.source: r.weight for r in rows} == {n: (5, 2, 1)[i % 3] for i, n in enumerate(order)} and len(rows) == len(names)
+
+
 def test_mixing_hits_its_targets(make):
     rng = random.Random(0)
     sources = [rng.choice(["a", "a", "a", "b", "é", None]) for _ in range(400)]
