@@ -4,13 +4,15 @@ Random indexing: every word has a sparse ternary index vector, made from its has
 the index vectors of its neighbours (two on either side) over a bounded sample of documents. A word's form (which classes of
 characters it holds, how it begins and ends) gets a context vector in the same way and stands for words the sample lacks.
 A document is the mean of its words' vectors, of its words' forms, and of its distinct words' vectors, with the share of
-distinct words and of distinct word pairs and the logarithm of its length: so repetition and odd spelling are visible.
+distinct words and of distinct word pairs, the logarithm of its length and the share of words with a vector: so repetition
+and odd spelling are visible, which pooled means alone hide.
 
 Network: standardised inputs, one hidden tanh layer, one logit; numpy, full-batch Adam, early choice of the best round on
-every fourth sampled row; there the temperature that calibrates the probabilities is fitted too.
+every fourth sampled row; there the temperature that calibrates the probabilities is fitted too. Vectors and network are
+each fitted in one executor task, so the driver holds the finished model alone.
 
-Bounds (documented parameters): SAMPLE labelled rows fit the network, CONTEXTS of at most CONTEXT_CHARS characters give the
-context vectors, VOCABULARY words have one. Labels, lang, source and doc_id are inputs of no score.
+Bounds (documented parameters): SAMPLE labelled rows fit the network, CONTEXTS of them give the context vectors, whole texts
+in both cases; VOCABULARY words have a vector. Labels, lang, source and doc_id are inputs of no score.
 
 Defined results: null and empty texts pool to zeros and are scored as such; repeated rows score alike; without labelled
 rows of both values every score is the share of label 1 (0.5 without any); an empty table gives an empty result; other
@@ -29,9 +31,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from parlance.llm.common import gram_hashes, mix, pieces, span_hashes, text_bytes, word_spans
-from parlance.llm.samples import fold, labelled
+from parlance.llm.samples import fitted, fold, labelled
 
-SAMPLE, CONTEXTS, CONTEXT_CHARS, VOCABULARY = 5_000, 1_500, 20_000, 1 << 15
+SAMPLE, CONTEXTS, VOCABULARY = 5_000, 1_500, 1 << 15
 WIDTH, ACTIVE, HIDDEN = 32, 4, 24
 THRESHOLD = 0.3  # fixed value: predicted 1 from this score on
 
@@ -77,29 +79,63 @@ def _slots(words: np.ndarray) -> np.ndarray:
     return (words & np.uint64(VOCABULARY - 1)).astype(np.int64)
 
 
-def learn_vectors(texts: list[str]) -> Vectors:
-    data, offsets = text_bytes(pa.array(texts, pa.string()))
-    starts, ends, first = word_spans(data, offsets)
-    words, forms = span_hashes(data, starts, ends), _forms(data, starts, ends)
-    doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    distinct, place, n = np.unique(words, return_inverse=True, return_counts=True)
-    index = _index_vectors(distinct)
-    context = np.zeros((len(words), WIDTH), np.float32)
-    for k in (1, 2):
-        if len(words) > k:
-            same = (doc[k:] == doc[:-k])[:, None]
-            context[k:] += index[place[:-k]] * same
-            context[:-k] += index[place[k:]] * same
-    unit = lambda x: x / np.maximum(1e-6, np.linalg.norm(x, axis=1, keepdims=True))
-    by_word, by_form = np.zeros((len(distinct), WIDTH), np.float32), np.zeros((4096, WIDTH), np.float32)
-    np.add.at(by_word, place, context)
-    np.add.at(by_form, forms, context)
-    tags, vectors = np.zeros(VOCABULARY, np.uint64), np.zeros((VOCABULARY, WIDTH), np.float32)
-    kept = np.flatnonzero(n >= 3)
-    kept = kept[np.argsort(n[kept], kind="stable")]  # the most frequent word of a slot is written last
-    tags[_slots(distinct[kept])] = distinct[kept]
-    vectors[_slots(distinct[kept])] = unit(by_word[kept])
-    return Vectors(tags, vectors, unit(by_form))
+class Contexts:
+    """Sums of context vectors of words and forms, whole numbers, so texts may come in any order and number of parts."""
+
+    def __init__(self):
+        self.words, self.counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.sums, self.forms = np.zeros((0, WIDTH), np.int64), np.zeros((4096, WIDTH), np.int64)
+
+    def add(self, array: pa.Array) -> None:
+        data, offsets = text_bytes(array)
+        starts, ends, first = word_spans(data, offsets)
+        words, forms = span_hashes(data, starts, ends), _forms(data, starts, ends)
+        if not len(words):
+            return
+        doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
+        distinct, place, n = np.unique(words, return_inverse=True, return_counts=True)
+        index = _index_vectors(distinct).astype(np.int32)
+        context = np.zeros((len(words), WIDTH), np.int32)
+        for k in (1, 2):
+            if len(words) > k:
+                same = (doc[k:] == doc[:-k])[:, None]
+                context[k:] += index[place[:-k]] * same
+                context[:-k] += index[place[k:]] * same
+        sums = _grouped(context, place, len(distinct))
+        self.forms += _grouped(context, forms, len(self.forms))
+        both, at = np.unique(np.concatenate([self.words, distinct]), return_inverse=True)
+        old, new = at[: len(self.words)], at[len(self.words) :]
+        merged, counts = np.zeros((len(both), WIDTH), np.int64), np.zeros(len(both), np.int64)
+        merged[old], counts[old] = self.sums, self.counts
+        merged[new] += sums
+        counts[new] += n
+        self.words, self.sums, self.counts = both, merged, counts
+
+    def vectors(self) -> Vectors:
+        unit = lambda x: (x / np.maximum(1e-6, np.linalg.norm(x, axis=1, keepdims=True))).astype(np.float32)
+        tags, vectors = np.zeros(VOCABULARY, np.uint64), np.zeros((VOCABULARY, WIDTH), np.float32)
+        kept = np.flatnonzero(self.counts >= 3)
+        kept = kept[np.argsort(self.counts[kept], kind="stable")]  # the most frequent word of a slot is written last
+        slots = _slots(self.words[kept])
+        tags[slots] = self.words[kept]
+        vectors[slots] = unit(self.sums[kept].astype(float))
+        return Vectors(tags, vectors, unit(self.forms.astype(float)))
+
+
+def _grouped(rows: np.ndarray, group: np.ndarray, n: int) -> np.ndarray:
+    """Sum of the rows of each group."""
+    order = np.argsort(group, kind="stable")
+    head = np.flatnonzero(np.diff(group[order], prepend=-1))
+    out = np.zeros((n, rows.shape[1]), np.int64)
+    out[group[order[head]]] = np.add.reduceat(rows[order], head, axis=0)
+    return out
+
+
+def learn_vectors(batches: Iterator[pa.RecordBatch]) -> Vectors:
+    sums = Contexts()
+    for batch in pieces(batches, "text", 1_000_000):
+        sums.add(batch.column("text"))
+    return sums.vectors()
 
 
 def _pool(rows: np.ndarray, table: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -200,18 +236,22 @@ def _loss(logits: np.ndarray, y: np.ndarray, temperature: float) -> float:
 def learn(docs: DataFrame, labels: DataFrame, seed: int = 0) -> tuple[Vectors, Network]:
     """Vectors and network of bounded samples of the labelled rows whose crc32 mod 5 is not 0."""
     where = fold(F.col("doc_id"), 5) != 0
-    texts = labelled(docs.where(F.char_length("text") <= CONTEXT_CHARS), labels, where, CONTEXTS, seed + 1).select("doc_id", "text").orderBy("doc_id").collect()
-    vectors = learn_vectors([r.text for r in texts])
+    vectors = fitted(labelled(docs, labels, where, CONTEXTS, seed + 1).select("doc_id", "text"), learn_vectors) or Contexts().vectors()
     shared = docs.sparkSession.sparkContext.broadcast(vectors)  # two tables of fixed size, about 5 MB
+    width = 3 * WIDTH + 4
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def inputs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text", 1_500_000):
-            x = pooled(batch.column("text"), shared.value)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(x.tolist(), pa.list_(pa.float64())), batch.column("quality").cast(pa.int32())], ["doc_id", "x", "quality"])
+            x = pooled(batch.column("text"), shared.value).astype(np.float32)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array([r.tobytes() for r in x], pa.binary()), batch.column("quality").cast(pa.int32())], ["doc_id", "x", "quality"])
 
-    rows = labelled(docs, labels, where, SAMPLE, seed).mapInArrow(run, "doc_id long, x array<double>, quality int").orderBy("doc_id").collect()
-    width = 3 * WIDTH + 4
-    return vectors, fit(np.array([r.x for r in rows]).reshape(len(rows), width), np.array([r.quality for r in rows], dtype=np.int64), seed=seed)
+    def network(batches: Iterator[pa.RecordBatch]) -> Network:
+        held = [(b"".join(b.column("x").to_pylist()), b.column("quality").to_numpy()) for b in batches if b.num_rows]
+        x = np.frombuffer(b"".join(h[0] for h in held), np.float32).reshape(-1, width).astype(np.float64)
+        return fit(x, np.concatenate([h[1] for h in held]) if held else np.zeros(0, np.int64), seed=seed)
+
+    rows = labelled(docs, labels, where, SAMPLE, seed).mapInArrow(inputs, "doc_id long, x binary, quality int")
+    return vectors, fitted(rows, network) or fit(np.zeros((0, width)), np.zeros(0, np.int64), seed=seed)
 
 
 def score(docs: DataFrame, model: tuple[Vectors, Network], threshold: float = THRESHOLD) -> DataFrame:
@@ -230,6 +270,18 @@ def score(docs: DataFrame, model: tuple[Vectors, Network], threshold: float = TH
     return kept.mapInArrow(run, schema)
 
 
+def accepted(docs: DataFrame, model: tuple[Vectors, Network], threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of `docs` that are predicted 1, with all their columns, whatever these are called."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vectors, net = shared.value
+        for batch in pieces(batches, "text", 1_500_000):
+            yield batch.filter(pa.array(net.score(pooled(batch.column("text"), vectors)) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, seed: int = 0) -> DataFrame:
     """One row for each document: doc_id, held_out (no label of it was learned from), score, predicted."""
     out = score(docs.select("doc_id", "text"), learn(docs, labels, seed), threshold)
