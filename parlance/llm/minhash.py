@@ -10,14 +10,17 @@
    is compared exhaustively by tokens; a larger one branches on, from the depth DEPTHS[0] to DEPTHS[1]. Trees are as many
    as a pair at the similarity needs to share a node of the last depth with probability RECALL (`trees_for` computes it with
    the chance that a pair's tokens agree less than its sets); a pair whose nodes end earlier meets more often.
-4. In a node each class has as candidate the most alike class with a smaller id; a node with more alike pairs than those, or
-   of more than LIMIT classes at the last depth (those are split into seeded parts of LIMIT here), is open.
-5. Candidates are confirmed on full sets, made again from the texts, until all lie within components of confirmed links:
-   first the most alike candidate of every component, then more of them at once. So links are exact. Which texts are read
-   is told by a bitmap of ids (bounded; a false hit costs a set too many), so texts cross no exchange.
-6. In open nodes, however large, all pairs of classes of different components are compared by tokens, and all that pass are
-   confirmed as in step 5. Only pairs that confirmed links connect are left out. Nodes of more than TILE classes are compared
-   by tiles; a component of n classes and r others there cost n * r comparisons.
+4. A node gives no pairs but a forest of its alike ones: for each class the most alike class with a smaller id, and what is
+   needed to connect all that are alike. A node of more than LIMIT classes at the last depth is compared in seeded parts of
+   LIMIT for this, and counts as connected.
+5. Edges are confirmed on full sets, made again from the texts, in rounds: the most alike edge of every class, then of every
+   component of confirmed links, as long as most of them are links. So the many copies of one text become one component,
+   and no round holds more pairs than classes. Which texts are read is told by a bitmap of ids (bounded; a false hit costs a
+   set too many), so texts cross no exchange.
+6. Classes that edges connect are a family; all pairs that may be links are within one. In each family of several components
+   all pairs of classes of different components are compared by tokens, once, and alike ones on their full sets, where they
+   meet: a task returns only links that join components. Families of more than TILE classes or TILE_BYTES are compared by
+   tiles of two blocks; a component of n classes and r others in a family cost n * r comparisons.
 
 The token threshold lies five standard deviations below the similarity. Nothing but counts and the bitmap reaches the driver.
 
@@ -42,10 +45,10 @@ from parlance.llm.common import counted, discard, gram_hashes, materialize, mix,
 from parlance.llm.components import connected_components
 
 COORDINATES, DEPTHS, LIMIT, RECALL = 128, (4, 8), 64, 0.9999
-TILE = 512  # classes of a block: a node of more is compared block by block
+TILE, TILE_BYTES = 512, 16_000_000  # classes and bytes of a block: a family of more is compared block by block
 MAX_BITS = (1 << 26) - 5  # a prime: the bitmap of documents in candidates has at most 8 MB
 SETS = "doc_id long, n_shingles long, key1 long, key2 long, sketch binary"
-FOUND = "node long, a long, b long, alike int"
+FOUND = "a long, b long, alike int"
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -166,72 +169,117 @@ def nodes_below(rows: DataFrame, levels: int, similarity: float, seed: int, tree
     return rows.mapInArrow(run, "node long, id long")
 
 
-def compare_nodes(rows: DataFrame, percent: int, n_parts: int, apart: bool = False) -> DataFrame:
-    """FOUND from rows (node, id, size, sketch), whole nodes: for each class the most alike class of a smaller id, and a row
-    without a and b for every node that has more alike pairs.
+def whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Tables of whole nodes, of rows sorted by node."""
+    held: pa.Table | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch])
+        held = pa.concat_tables([held, table]) if held is not None else table
+        node = held.column("node").to_numpy()
+        other = np.flatnonzero(node != node[-1])  # the last node may go on in the next batch
+        if len(other):
+            yield held.slice(0, int(other[-1]) + 1)
+            held = held.slice(int(other[-1]) + 1)
+    if held is not None:
+        yield held
+
+
+def alike_pairs(node: np.ndarray, size: np.ndarray, sketch: np.ndarray, percent: int, component: np.ndarray | None = None, side: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of alike pairs within nodes, the earlier row first, and how many tokens agree. With components only pairs of
+    different ones; rows of sides 0 and 1 are compared with the other side only, rows of side 2 with all."""
+    least, found = math.ceil(sketch_threshold(percent) * COORDINATES), []
+    for d in range(1, len(node)):
+        at = np.flatnonzero(node[d:] == node[:-d])
+        if not len(at):
+            break
+        x, y = size[at], size[at + d]
+        meet = 100 * np.minimum(x, y) >= percent * np.maximum(x, y)
+        if component is not None:
+            meet &= (component[at] != component[at + d]) & ((side[at] != side[at + d]) | (side[at] == 2))
+        at = at[meet]
+        for k in range(0, len(at), 20_000):
+            own = at[k : k + 20_000]
+            same = (sketch[own] == sketch[own + d]).sum(axis=1)
+            found.append((own[same >= least], own[same >= least] + d, same[same >= least]))
+    return tuple(np.concatenate([f[i] for f in found]) if found else np.zeros(0, np.int64) for i in range(3))
+
+
+def reached(left: np.ndarray, right: np.ndarray, n: int) -> np.ndarray:
+    """For each of n rows the first row that pairs connect it with."""
+    low = np.arange(n)
+    while True:
+        was = low.copy()
+        np.minimum.at(low, left, low[right])
+        np.minimum.at(low, right, low[left])
+        low = low[low]
+        if (low == was).all():
+            return low
+
+
+def node_forests(rows: DataFrame, percent: int, n_parts: int) -> DataFrame:
+    """FOUND of rows (node, id, size, sketch): in each node the most alike class of a smaller id for every class, and edges
+    with alike 0 where these leave apart what alike pairs connect."""
 
-    With `apart`, rows have component and side too, and all alike pairs of different components come; rows of sides 0 and 1
-    are compared with the other side only, rows of side 2 with all.
-    """
-    least = math.ceil(sketch_threshold(percent) * COORDINATES)
-
-    def alike_pairs(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Rows of alike pairs of a node, and how alike; the earlier row first."""
-        node, size = table.column("node").to_numpy(), table.column("size").to_numpy()
-        sketch = _tokens(table.column("sketch"))
-        component, side = (table.column(c).to_numpy() for c in ("component", "side")) if apart else (None, None)
-        for d in range(1, len(node)):
-            at = np.flatnonzero(node[d:] == node[:-d])
-            if not len(at):
-                return
-            x, y = size[at], size[at + d]
-            meet = 100 * np.minimum(x, y) >= percent * np.maximum(x, y)
-            if apart:
-                meet &= (component[at] != component[at + d]) & ((side[at] != side[at + d]) | (side[at] == 2))
-            at = at[meet]
-            for k in range(0, len(at), 20_000):
-                own = at[k : k + 20_000]
-                same = (sketch[own] == sketch[own + d]).sum(axis=1)
-                yield own[same >= least], own[same >= least] + d, same[same >= least]
-
-    def compared(table: pa.Table) -> pa.RecordBatch | None:
-        found = list(alike_pairs(table))
-        left, right, alike = (np.concatenate([f[i] for f in found]) if found else np.zeros(0, np.int64) for i in range(3))
-        if not len(left):
-            return None
-        node, ids = table.column("node").to_numpy(), table.column("id").to_numpy()
-        a, b = np.minimum(ids[left], ids[right]), np.maximum(ids[left], ids[right])
-        names, some = node[left], a != b
-        if not apart:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches):
+            ids = table.column("id").to_numpy()
+            left, right, alike = alike_pairs(table.column("node").to_numpy(), table.column("size").to_numpy(), _tokens(table.column("sketch")), percent)
             order = np.lexsort((left, -alike, right))  # rows stand in the order of node and id
+            left, right, alike = left[order], right[order], alike[order]
             best = np.ones(len(order), bool)
-            best[1:] = right[order][1:] != right[order][:-1]
-            opened = np.unique(names[order][~best])
-            some = some & np.isin(np.arange(len(a)), order[best])
-        else:
-            opened = np.zeros(0, np.int64)
-        n, m = int(some.sum()), len(opened)
-        none = pa.nulls(m, pa.int64())
-        return pa.Table.from_arrays([pa.chunked_array([pa.array(names[some]), pa.array(opened)]), pa.chunked_array([pa.array(a[some]), none]), pa.chunked_array([pa.array(b[some]), none]), pa.chunked_array([pa.array(alike[some].astype(np.int32)), pa.nulls(m, pa.int32())])], ["node", "a", "b", "alike"]).combine_chunks().to_batches()[0] if n + m else None
+            best[1:] = right[1:] != right[:-1]
+            by_best, by_all = (reached(left[w], right[w], len(ids)) for w in (best, slice(None)))
+            apart = np.flatnonzero((by_best == np.arange(len(ids))) & (by_all != by_best))
+            a, b = np.concatenate([left[best], by_all[apart]]), np.concatenate([right[best], apart])
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b]), pa.array(np.concatenate([alike[best], np.zeros(len(apart), np.int64)]).astype(np.int32))], ["a", "b", "alike"])
+
+    return rows.select("node", "id", "size", "sketch").repartition(n_parts, "node").sortWithinPartitions("node", "id").mapInArrow(run, FOUND)
+
+
+def links_between(rows: DataFrame, percent: int, n_parts: int) -> DataFrame:
+    """(a, b) of rows (node, id, component, side, size, sketch, members): in each node links of different components that join
+    all components that links join there. Pairs go from the most alike on; one is intersected only while its components are
+    still apart."""
+
+    def joined(table: pa.Table) -> list[tuple[int, int]]:
+        ids, component, size = (table.column(c).to_numpy() for c in ("id", "component", "size"))
+        left, right, alike = alike_pairs(np.zeros(len(ids), np.int64), size, _tokens(table.column("sketch")), percent, component, table.column("side").to_numpy())
+        column = table.column("members").combine_chunks()
+        flat, bounds = column.values.to_numpy(), column.offsets.to_numpy()
+        sets = [np.sort(flat[i:j]) for i, j in zip(bounds[:-1], bounds[1:], strict=True)]
+        names, own = np.unique(component, return_inverse=True)
+        up = list(range(len(names)))
+
+        def root(x: int) -> int:
+            while up[x] != x:
+                up[x] = x = up[up[x]]
+            return x
+
+        out = []
+        for k in np.lexsort((right, left, -alike)).tolist():
+            i, j = int(left[k]), int(right[k])
+            if (x := root(own[i])) != (y := root(own[j])):
+                place = np.minimum(sets[i].searchsorted(sets[j]), len(sets[i]) - 1)
+                both = int((sets[i][place] == sets[j]).sum())
+                if 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
+                    up[max(x, y)] = min(x, y)
+                    out.append((int(ids[i]), int(ids[j])))
+        return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            table = pa.Table.from_batches([batch])
-            held = pa.concat_tables([held, table]) if held is not None else table
-            node = held.column("node").to_numpy()
-            other = np.flatnonzero(node != node[-1])  # sorted by node: the last node may go on in the next batch
-            if len(other):
-                if (out := compared(held.slice(0, int(other[-1]) + 1))) is not None:
-                    yield out
-                held = held.slice(int(other[-1]) + 1)
-        if held is not None and (out := compared(held)) is not None:
-            yield out
-
-    columns = ["node", "id", "sketch", "size", *(["component", "side"] if apart else [])]
-    return rows.select(*columns).repartition(n_parts, "node").sortWithinPartitions("node", "id").mapInArrow(run, FOUND)
+        for table in whole_groups(batches):
+            node = table.column("node").to_numpy()
+            head = np.flatnonzero(np.append(True, node[1:] != node[:-1]))
+            found = [p for i, j in zip(head, [*head[1:], len(node)], strict=True) for p in joined(table.slice(int(i), int(j - i)))]
+            if found:
+                a, b = zip(*found, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    columns = ["node", "id", "component", "side", "size", "sketch", "members"]
+    return rows.select(*columns).repartition(n_parts, "node").sortWithinPartitions("node", "id").mapInArrow(run, "a long, b long")
 
 
 def sketch_threshold(percent: int) -> float:
@@ -240,42 +288,45 @@ def sketch_threshold(percent: int) -> float:
 
 
 def shared_nodes(live: DataFrame, label: str) -> tuple[DataFrame, int]:
-    """Rows (node, id, n) of nodes of several classes, and how many stand in nodes of more than LIMIT."""
-    sizes = live.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    rows, (large,) = counted(live.join(sizes, "node").select("node", "id", "n"), label, F.count_if(F.col("n") > LIMIT))
+    """Rows (node, id, n, low) of nodes of several classes, low the smallest, and how many stand in nodes of more than LIMIT."""
+    sizes = live.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("low")).where("n > 1")
+    rows, (large,) = counted(live.join(sizes, "node").select("node", "id", "n", "low"), label, F.count_if(F.col("n") > LIMIT))
     return rows, large
 
 
-def candidates(classes: DataFrame, percent: int, seed: int) -> tuple[DataFrame, DataFrame]:
-    """FOUND of classes (id, size, sketch) in the nodes of all trees, and rows (node, id, n) of all nodes that may be open."""
-    similarity, n_parts = percent / 100, partitions(classes)
+def edges_of(classes: DataFrame, percent: int, seed: int) -> tuple[DataFrame, int]:
+    """Edges (a, b, alike) of classes (id, size, sketch) from the nodes of all trees, each once, and how many they are."""
+    similarity = percent / 100
     trees = trees_for(RECALL, DEPTHS[-1], similarity)
     bare = classes.select("id", "sketch")
     rows, large = shared_nodes(nodes_below(bare, DEPTHS[0], similarity, seed, trees), "nodes")
-    fit = rows.where(F.col("n") <= LIMIT)
-    ends, met = fit, fit.select("node", "id")
+    met, stars = rows.where(F.col("n") <= LIMIT).select("node", "id"), None
     if large:
         more = rows.where(F.col("n") > LIMIT).select("node", "id").join(bare, "id").select("node", "id", "sketch")
         deep, large = shared_nodes(nodes_below(more, DEPTHS[1] - DEPTHS[0], similarity, seed), "nodes")
         part = F.pmod(F.xxhash64("id", "node", F.lit(seed)), F.ceil(2 * F.col("n") / LIMIT))
-        parts = deep.select(F.when(F.col("n") > LIMIT, F.xxhash64("node", part)).otherwise(F.col("node")).alias("node"), "id")
-        ends, met = ends.unionByName(deep), met.unionByName(parts)
-    found = materialize(compare_nodes(met.join(classes, "id"), percent, n_parts), "found")
-    return found, ends
+        met = met.unionByName(deep.select(F.when(F.col("n") > LIMIT, F.xxhash64("node", part)).otherwise(F.col("node")).alias("node"), "id"))
+        stars = deep.where((F.col("n") > LIMIT) & (F.col("low") != F.col("id"))).select(F.col("low").alias("a"), F.col("id").alias("b"), F.lit(0).alias("alike"))
+    found = node_forests(met.join(classes, "id"), percent, max(partitions(classes), partitions(met, 4)))
+    if large:
+        found = found.unionByName(stars)
+    edges, (n,) = counted(found.groupBy("a", "b").agg(F.max("alike").alias("alike")), "edges", F.count(F.lit(1)))
+    return edges, n
 
 
 def tiles(wide: DataFrame, seed: int) -> DataFrame:
-    """Rows (node, id, component, n) of nodes of more than TILE classes, dealt to tiles of two blocks: (node, id, component, side).
+    """Rows (node, id, component, size) of large nodes dealt to tiles of two blocks: (node, id, component, side), node the tile.
 
-    A component of more than TILE classes has blocks of its own, the node's other classes share blocks. Two blocks of one
+    A component of more than a block has blocks of its own, the node's other classes share blocks. Two blocks of one
     component have nothing to compare, so a large component costs as many tiles as it has blocks for each block of others.
     """
-    counts = materialize(wide.groupBy("node", "component").agg(F.count(F.lit(1)).alias("own")), "counts")
-    large = counts.where(F.col("own") > TILE)
-    others = counts.where(F.col("own") <= TILE).groupBy("node").agg(F.sum("own").alias("others"))
+    weight = F.lit(1 / TILE) + 8 * F.col("size") / F.lit(TILE_BYTES)  # share of a block
+    counts = materialize(wide.groupBy("node", "component").agg(F.sum(weight).alias("own")), "counts")
+    large = counts.where("own > 1")
+    others = counts.where("own <= 1").groupBy("node").agg(F.sum("own").alias("others"))
     rows = wide.join(large, ["node", "component"], "left").join(others, "node", "left")
     owner = F.when(F.col("own").isNotNull(), F.col("component"))
-    part = F.pmod(F.xxhash64("id", F.lit(seed)), F.ceil(F.coalesce("own", "others") / TILE))
+    part = F.pmod(F.xxhash64("id", F.lit(seed)), F.ceil(F.coalesce("own", "others")))
     rows = rows.select("node", "id", "component", owner.alias("owner"), F.xxhash64(owner.isNotNull(), owner, part).alias("block"))
     rows = materialize(rows, "blocks")
     blocks = materialize(rows.select("node", "owner", "block").distinct(), "blocks")
@@ -288,23 +339,6 @@ def tiles(wide: DataFrame, seed: int) -> DataFrame:
     return rows.join(sides, ["node", "block"]).select(F.col("tile").alias("node"), "id", "component", "side")
 
 
-def between_components(ends: DataFrame, found: DataFrame, classes: DataFrame, component: DataFrame | None, percent: int, seed: int) -> DataFrame:
-    """All alike pairs (a, b, alike) of classes of different components in open nodes."""
-    opened = found.where("a is null").select("node").distinct().withColumn("opened", F.lit(True))
-    rows = ends.join(opened, "node", "left").where((F.col("n") > LIMIT) | F.col("opened"))
-    if component is None:
-        rows = rows.select("node", "id", "n", F.col("id").alias("component"))
-    else:
-        rows = rows.join(component, "id", "left").select("node", "id", "n", F.coalesce("component", "id").alias("component"))
-    rows = materialize(rows, "open")
-    several = rows.groupBy("node").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("node")
-    rows, (wide,) = counted(rows.join(several, "node", "left_semi"), "apart", F.count_if(F.col("n") > TILE))
-    fit = rows.where(F.col("n") <= TILE).select("node", "id", "component", F.lit(2).alias("side"))
-    if wide:
-        fit = fit.unionByName(tiles(rows.where(F.col("n") > TILE), seed))
-    return compare_nodes(fit.join(classes, "id"), percent, partitions(classes), apart=True).select("a", "b", "alike").distinct()
-
-
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs with `linked`: 100 * intersection >= percent * union of the full sets of a and b."""
     rows = pairs.join(sets.select(F.col("id").alias("a"), F.col("members").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("members").alias("y")), "b")
@@ -345,52 +379,68 @@ def members(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "id long, key1 long, key2 long, members array<long>")
 
 
-def _picked(rest: DataFrame, most: int) -> DataFrame:
-    """Of each component's pairs with smaller ones the most alike, about `most` of them: the best of each of as many hashed
-    parts, so one component's pairs, however many, are a partial aggregate."""
-    part = F.pmod(F.xxhash64("a", "b"), F.lit(most)) if most > 1 else F.lit(0)
-    best = F.max(F.struct("alike", *(F.bitwise_not(c).alias(c) for c in ("a", "b", "low")))).alias("m")
-    rows = rest.groupBy("high", part.alias("part")).agg(best)
-    return rows.select(*(F.bitwise_not(f"m.{c}").alias(c) for c in ("a", "b", "low")), "high")
-
-
-def settle(pairs: DataFrame, docs: DataFrame, classes: DataFrame, shingle: int, percent: int, component: DataFrame | None = None) -> tuple[DataFrame | None, DataFrame | None]:
-    """Confirms pairs (a, b, alike) until all that are left lie within components. component: (id, component) of ids that
-    links reach. Returns it with the new links, and the pairs (a, b) that were refused (null: none were judged)."""
-
-    def outer(rows: DataFrame, component: DataFrame | None) -> DataFrame:
-        if component is None:
-            return rows.select("a", "b", "alike", F.col("a").alias("low"), F.col("b").alias("high"))
-        of = lambda side: component.select(F.col("id").alias(side), F.col("component").alias(f"of_{side}"))
-        rows = rows.join(of("a"), "a", "left").join(of("b"), "b", "left")
-        x, y = F.coalesce("of_a", "a"), F.coalesce("of_b", "b")
-        return rows.where(x != y).select("a", "b", "alike", F.least(x, y).alias("low"), F.greatest(x, y).alias("high"))
-
-    pairs = pairs.groupBy("a", "b").agg(F.max("alike").alias("alike"))
-    rest, (left,) = counted(outer(pairs, component), "pairs", F.count(F.lit(1)))
-    if not left:
-        return component, None
-    ids = rest.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    key = classes.select("id", F.col("key1").alias("of1"), F.col("key2").alias("of2"))
-    sets = members(docs, ids, shingle).join(key, "id").where("((key1 ^ of1) | (key2 ^ of2)) = 0").select("id", "members")
-    sets = materialize(sets.dropDuplicates(["id"]), "members")
-    refused, most = None, 1
-    while left:
-        picked = _picked(rest, most) if most < 500 else rest.select("a", "b", "low", "high")
-        judged, (linked,) = counted(confirm(picked, sets, percent), "links", F.count_if("linked"))
+def outer(edges: DataFrame, component: DataFrame | None) -> DataFrame:
+    """The edges between components, with these (low, high)."""
+    if component is None:
+        return edges.select("a", "b", "alike", F.col("a").alias("low"), F.col("b").alias("high"))
+    of = lambda side: component.select(F.col("id").alias(side), F.col("component").alias(f"of_{side}"))
+    rows = edges.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    x, y = F.coalesce("of_a", "a"), F.coalesce("of_b", "b")
+    return rows.where(x != y).select("a", "b", "alike", F.least(x, y).alias("low"), F.greatest(x, y).alias("high"))
+
+
+def joined_by(component: DataFrame | None, links: DataFrame) -> DataFrame:
+    """(id, component) after links (low, high) of components."""
+    new = connected_components(links.select(F.col("low").alias("a"), F.col("high").alias("b")))
+    if component is None:
+        return new
+    over = new.select(F.col("id").alias("component"), F.col("component").alias("over"))
+    old = component.join(over, "component", "left").select("id", F.coalesce("over", "component").alias("component"))
+    return materialize(old.unionByName(new.join(component, "id", "left_anti")), "component")
+
+
+def first_links(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
+    """(id, component) of the links among the edges that are the most alike of a class, then of a component with smaller ones,
+    round by round as long as most of a round's edges are links. None: no links."""
+    component, refused, rest = None, None, edges.where("alike > 0")
+    while True:
+        rows = outer(rest, component)
+        if refused is not None:
+            rows = rows.join(refused, ["a", "b"], "left_anti")
+        best = F.max(F.struct("alike", *(F.bitwise_not(c).alias(c) for c in ("a", "b", "low")))).alias("m")
+        picked = rows.groupBy("high").agg(best).select(*(F.bitwise_not(f"m.{c}").alias(c) for c in ("a", "b", "low")), "high")
+        judged, (n, linked) = counted(confirm(picked, sets, percent), "links", F.count(F.lit(1)), F.count_if("linked"))
+        if linked:
+            component = joined_by(component, judged.where("linked"))
+        if not linked or 2 * linked < n:
+            return component
         no = judged.where("not linked").select("a", "b")
         refused = no if refused is None else refused.unionByName(no)
-        if linked:
-            joined = connected_components(judged.where("linked").select(F.col("low").alias("a"), F.col("high").alias("b")))
-            if component is None:
-                component = joined
-            else:
-                over = joined.select(F.col("id").alias("component"), F.col("component").alias("over"))
-                old = component.join(over, "component", "left").select("id", F.coalesce("over", "component").alias("component"))
-                component = materialize(old.unionByName(joined.join(component, "id", "left_anti")), "component")
-        rest, (left,) = counted(outer(rest.join(judged.select("a", "b"), ["a", "b"], "left_anti").select("a", "b", "alike"), component), "pairs", F.count(F.lit(1)))
-        most *= 8
-    return component, refused
+
+
+def families(edges: DataFrame, component: DataFrame | None) -> DataFrame:
+    """(node, id, component): the classes of all families of several components."""
+    ends = outer(edges, component).select("low", "high").distinct()
+    family = connected_components(ends.select(F.col("low").alias("a"), F.col("high").alias("b"))).select(F.col("id").alias("component"), F.col("component").alias("node"))
+    ids = edges.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    of = ids.select("id", F.col("id").alias("component")) if component is None else ids.join(component, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+    return of.join(family, "component").select("node", "id", "component")
+
+
+def last_links(edges: DataFrame, classes: DataFrame, sets: DataFrame, component: DataFrame | None, percent: int, seed: int) -> DataFrame | None:
+    """(id, component) after all links between components of one family."""
+    rows = families(edges, component).join(classes.select("id", "size"), "id")
+    rows = materialize(rows, "families")
+    weight = F.greatest(F.count(F.lit(1)) / F.lit(TILE), 8 * F.sum("size") / F.lit(TILE_BYTES))
+    sizes, (wide,) = counted(rows.groupBy("node").agg((weight > 1).alias("wide")), "families", F.count_if("wide"))
+    fit = rows.join(sizes.where("not wide"), "node", "left_semi").select("node", "id", "component", F.lit(2).alias("side"))
+    if wide:
+        fit = fit.unionByName(tiles(rows.join(sizes.where("wide"), "node", "left_semi"), seed))
+    whole = fit.join(classes.select("id", "size", "sketch"), "id").join(sets, "id")
+    links, (n,) = counted(links_between(whole, percent, partitions(sets, 4)), "links", F.count(F.lit(1)))
+    if not n:
+        return component
+    return joined_by(component, outer(links.withColumn("alike", F.lit(0)), component))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, seed: int = 0) -> DataFrame:
@@ -400,13 +450,17 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, seed:
     first = materialize(described.where("n_shingles > 0 and doc_id is not null").groupBy(*keys).agg(F.min("doc_id").alias("id"), F.first("sketch").alias("sketch")), "classes")
     classes = first.groupBy("id").agg(F.min(F.struct("key1", "key2", F.col("n_shingles").alias("size"), "sketch")).alias("c")).select("id", "c.*")
     classes = materialize(classes, "classes")
-    bare = classes.select("id", "size", "sketch")
-    found, ends = candidates(bare, percent, seed)
-    component, refused = settle(found.where("a is not null").select("a", "b", "alike"), docs, classes, shingle, percent)
-    others = between_components(ends, found, bare, component, percent, seed)
-    if refused is not None:
-        others = others.join(refused, ["a", "b"], "left_anti")
-    component, _ = settle(others, docs, classes, shingle, percent, component)
+    edges, n = edges_of(classes.select("id", "size", "sketch"), percent, seed)
+    component = None
+    if n:
+        ids = edges.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        key = classes.select("id", F.col("key1").alias("of1"), F.col("key2").alias("of2"))
+        sets = members(docs, ids, shingle).join(key, "id").where("((key1 ^ of1) | (key2 ^ of2)) = 0").select("id", "members")
+        sets = materialize(sets.dropDuplicates(["id"]), "members")
+        component = last_links(edges, classes, sets, first_links(edges, sets, percent), percent, seed)
+        if component is not None:
+            component = materialize(component, "component")
+        discard(sets)
     label = first.select(*keys, "id")
     if component is None:
         label = label.withColumnRenamed("id", "component")

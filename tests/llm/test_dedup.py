@@ -123,7 +123,7 @@ def test_minhash_finds_the_only_link_of_a_heavier_copy(make, sizes):
 def test_minhash_tiles_compare_all_pairs_of_components_once(make, spark, monkeypatch):
     monkeypatch.setattr(minhash, "TILE", 4)
     component = [1] * 9 + [2] * 6 + list(range(30, 41))
-    rows = spark.createDataFrame([(7, i, c, len(component)) for i, c in enumerate(component)], "node long, id long, component long, n long")
+    rows = spark.createDataFrame([(7, i, c, 10) for i, c in enumerate(component)], "node long, id long, component long, size long")
     met = []
     groups = {}
     for r in minhash.tiles(rows, 0).collect():
