@@ -11,8 +11,9 @@
    as a pair at the similarity needs to share a node of the last depth with probability RECALL (`trees_for` computes it with
    the chance that a pair's tokens agree less than its sets); a pair whose nodes end earlier meets more often.
 4. A node gives no pairs but a forest of its alike ones: for each class the most alike class with a smaller id, and what is
-   needed to connect all that are alike. A node of more than LIMIT classes at the last depth is compared in seeded parts of
-   LIMIT for this, and counts as connected.
+   needed to connect all that are alike. A node of more than LIMIT classes at the last depth counts as connected, by an edge
+   from its smallest class to each; for alike ones each class is compared in a seeded part of one such node, that with the
+   smallest first class.
 5. Edges are confirmed on full sets, made again from the texts, in rounds: the most alike edge of every class, then of every
    component of confirmed links, as long as most of them are links. So the many copies of one text become one component,
    and no round holds more pairs than classes. Which texts are read is told by a bitmap of ids (bounded; a false hit costs a
@@ -304,9 +305,13 @@ def edges_of(classes: DataFrame, percent: int, seed: int) -> tuple[DataFrame, in
     if large:
         more = rows.where(F.col("n") > LIMIT).select("node", "id").join(bare, "id").select("node", "id", "sketch")
         deep, large = shared_nodes(nodes_below(more, DEPTHS[1] - DEPTHS[0], similarity, seed), "nodes")
-        part = F.pmod(F.xxhash64("id", "node", F.lit(seed)), F.ceil(2 * F.col("n") / LIMIT))
-        met = met.unionByName(deep.select(F.when(F.col("n") > LIMIT, F.xxhash64("node", part)).otherwise(F.col("node")).alias("node"), "id"))
-        stars = deep.where((F.col("n") > LIMIT) & (F.col("low") != F.col("id"))).select(F.col("low").alias("a"), F.col("id").alias("b"), F.lit(0).alias("alike"))
+        met = met.unionByName(deep.where(F.col("n") <= LIMIT).select("node", "id"))
+    if large:
+        wide = deep.where(F.col("n") > LIMIT)
+        home = wide.groupBy("id").agg(F.min(F.struct("low", "node", "n")).alias("m")).select("id", "m.*")
+        part = F.pmod(F.xxhash64("id", F.lit(seed)), F.ceil(2 * F.col("n") / LIMIT))
+        met = met.unionByName(home.select(F.xxhash64("node", part).alias("node"), "id"))
+        stars = wide.where("low <> id").select(F.col("low").alias("a"), F.col("id").alias("b"), F.lit(1).alias("alike"))
     found = node_forests(met.join(classes, "id"), percent, max(partitions(classes), partitions(met, 4)))
     if large:
         found = found.unionByName(stars)
@@ -399,12 +404,12 @@ def joined_by(component: DataFrame | None, links: DataFrame) -> DataFrame:
     return materialize(old.unionByName(new.join(component, "id", "left_anti")), "component")
 
 
-def first_links(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
+def first_links(edges: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame | None, DataFrame]:
     """(id, component) of the links among the edges that are the most alike of a class, then of a component with smaller ones,
-    round by round as long as most of a round's edges are links. None: no links."""
-    component, refused, rest = None, None, edges.where("alike > 0")
+    round by round as long as most of a round's edges are links (None: no links), and the edges between its components."""
+    component, refused, rest = None, None, outer(edges, None)
     while True:
-        rows = outer(rest, component)
+        rows = rest.where("alike > 0")
         if refused is not None:
             rows = rows.join(refused, ["a", "b"], "left_anti")
         best = F.max(F.struct("alike", *(F.bitwise_not(c).alias(c) for c in ("a", "b", "low")))).alias("m")
@@ -412,25 +417,24 @@ def first_links(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame |
         judged, (n, linked) = counted(confirm(picked, sets, percent), "links", F.count(F.lit(1)), F.count_if("linked"))
         if linked:
             component = joined_by(component, judged.where("linked"))
+            rest = materialize(outer(rest.select("a", "b", "alike"), component), "edges")
         if not linked or 2 * linked < n:
-            return component
+            return component, rest
         no = judged.where("not linked").select("a", "b")
         refused = no if refused is None else refused.unionByName(no)
 
 
-def families(edges: DataFrame, component: DataFrame | None) -> DataFrame:
-    """(node, id, component): the classes of all families of several components."""
-    ends = outer(edges, component).select("low", "high").distinct()
-    family = connected_components(ends.select(F.col("low").alias("a"), F.col("high").alias("b"))).select(F.col("id").alias("component"), F.col("component").alias("node"))
-    ids = edges.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    of = ids.select("id", F.col("id").alias("component")) if component is None else ids.join(component, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
-    return of.join(family, "component").select("node", "id", "component")
+def families(rest: DataFrame, classes: DataFrame, component: DataFrame | None) -> DataFrame:
+    """(node, id, component, size): the classes of all families of several components, which the edges between them connect."""
+    family = connected_components(rest.select(F.col("low").alias("a"), F.col("high").alias("b")).distinct()).select(F.col("id").alias("component"), F.col("component").alias("node"))
+    rows = classes.select("id", "size")
+    rows = rows.withColumn("component", F.col("id")) if component is None else rows.join(component, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    return rows.join(family, "component").select("node", "id", "component", "size")
 
 
-def last_links(edges: DataFrame, classes: DataFrame, sets: DataFrame, component: DataFrame | None, percent: int, seed: int) -> DataFrame | None:
+def last_links(rest: DataFrame, classes: DataFrame, sets: DataFrame, component: DataFrame | None, percent: int, seed: int) -> DataFrame | None:
     """(id, component) after all links between components of one family."""
-    rows = families(edges, component).join(classes.select("id", "size"), "id")
-    rows = materialize(rows, "families")
+    rows = materialize(families(rest, classes, component), "families")
     weight = F.greatest(F.count(F.lit(1)) / F.lit(TILE), 8 * F.sum("size") / F.lit(TILE_BYTES))
     sizes, (wide,) = counted(rows.groupBy("node").agg((weight > 1).alias("wide")), "families", F.count_if("wide"))
     fit = rows.join(sizes.where("not wide"), "node", "left_semi").select("node", "id", "component", F.lit(2).alias("side"))
@@ -457,7 +461,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, seed:
         key = classes.select("id", F.col("key1").alias("of1"), F.col("key2").alias("of2"))
         sets = members(docs, ids, shingle).join(key, "id").where("((key1 ^ of1) | (key2 ^ of2)) = 0").select("id", "members")
         sets = materialize(sets.dropDuplicates(["id"]), "members")
-        component = last_links(edges, classes, sets, first_links(edges, sets, percent), percent, seed)
+        component, rest = first_links(edges, sets, percent)
+        component = last_links(rest, classes, sets, component, percent, seed)
         if component is not None:
             component = materialize(component, "component")
         discard(sets)
