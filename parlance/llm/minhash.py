@@ -7,13 +7,14 @@
 3. Each of a number of independent trees branches the classes: a node's name chooses coordinates, 1 / similarity of them on
    average, one at least, and a class goes to the child named by its token at each. So a pair at the similarity has one
    common child on average, and dissimilar ones fewer with every level. A node that has one class ends; one of at most LIMIT
-   is compared exhaustively by tokens; a larger one branches on, from the depth DEPTHS[0] to DEPTHS[1]. Trees are as many
-   as a pair at the similarity needs to share a node of the last depth with probability RECALL (`trees_for` computes it with
-   the chance that a pair's tokens agree less than its sets); a pair whose nodes end earlier meets more often.
+   is compared exhaustively by tokens; a larger one branches on, from the depth DEPTHS[0] to DEPTHS[1], unless half of its
+   classes are alike to its smallest one: branching would not part these. Trees are as many as a pair at the similarity
+   needs to share a node of the last depth with probability RECALL (`trees_for` computes it with the chance that a pair's
+   tokens agree less than its sets); a pair whose nodes end earlier meets more often.
 4. A node gives no pairs but a forest of its alike ones: for each class the most alike class with a smaller id, and what is
-   needed to connect all that are alike. A node of more than LIMIT classes at the last depth counts as connected, by an edge
-   from its smallest class to each; for alike ones each class is compared in a seeded part of one such node, that with the
-   smallest first class.
+   needed to connect all that are alike. A node of more than LIMIT classes that ends counts as connected, by an edge from its
+   smallest class to each; for alike ones each class is compared in a seeded part of one such node, that with the smallest
+   first class.
 5. Edges are confirmed on full sets, made again from the texts, in rounds: the most alike edge of every class, then of every
    component of confirmed links, as long as most of them are links. So the many copies of one text become one component,
    and no round holds more pairs than classes. Which texts are read is told by a bitmap of ids (bounded; a false hit costs a
@@ -295,26 +296,39 @@ def shared_nodes(live: DataFrame, label: str) -> tuple[DataFrame, int]:
     return rows, large
 
 
+def alike_to_first(rows: DataFrame, percent: int) -> DataFrame:
+    """(node, id, n, low, near) of rows with sketch and low_sketch: whether a class is alike to its node's first one."""
+    least = math.ceil(sketch_threshold(percent) * COORDINATES)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            near = (_tokens(batch.column("sketch")) == _tokens(batch.column("low_sketch"))).sum(axis=1) >= least
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("node", "id", "n", "low")), pa.array(near)], ["node", "id", "n", "low", "near"])
+
+    return rows.select("node", "id", "n", "low", "sketch", "low_sketch").mapInArrow(run, "node long, id long, n long, low long, near boolean")
+
+
 def edges_of(classes: DataFrame, percent: int, seed: int) -> tuple[DataFrame, int]:
     """Edges (a, b, alike) of classes (id, size, sketch) from the nodes of all trees, each once, and how many they are."""
     similarity = percent / 100
     trees = trees_for(RECALL, DEPTHS[-1], similarity)
     bare = classes.select("id", "sketch")
     rows, large = shared_nodes(nodes_below(bare, DEPTHS[0], similarity, seed, trees), "nodes")
-    met, stars = rows.where(F.col("n") <= LIMIT).select("node", "id"), None
+    met, wide = rows.where(F.col("n") <= LIMIT).select("node", "id"), None
     if large:
-        more = rows.where(F.col("n") > LIMIT).select("node", "id").join(bare, "id").select("node", "id", "sketch")
-        deep, large = shared_nodes(nodes_below(more, DEPTHS[1] - DEPTHS[0], similarity, seed), "nodes")
+        firsts = bare.select(F.col("id").alias("low"), F.col("sketch").alias("low_sketch"))
+        more = materialize(alike_to_first(rows.where(F.col("n") > LIMIT).join(bare, "id").join(firsts, "low"), percent), "large")
+        dense = more.groupBy("node").agg((2 * F.count_if("near") >= F.count(F.lit(1))).alias("dense")).where("dense").select("node")
+        parted = more.join(dense, "node", "left_anti").select("node", "id").join(bare, "id").select("node", "id", "sketch")
+        deep, _ = shared_nodes(nodes_below(parted, DEPTHS[1] - DEPTHS[0], similarity, seed), "nodes")
         met = met.unionByName(deep.where(F.col("n") <= LIMIT).select("node", "id"))
-    if large:
-        wide = deep.where(F.col("n") > LIMIT)
+        wide = more.join(dense, "node", "left_semi").drop("near").unionByName(deep.where(F.col("n") > LIMIT))
         home = wide.groupBy("id").agg(F.min(F.struct("low", "node", "n")).alias("m")).select("id", "m.*")
         part = F.pmod(F.xxhash64("id", F.lit(seed)), F.ceil(2 * F.col("n") / LIMIT))
         met = met.unionByName(home.select(F.xxhash64("node", part).alias("node"), "id"))
-        stars = wide.where("low <> id").select(F.col("low").alias("a"), F.col("id").alias("b"), F.lit(1).alias("alike"))
-    found = node_forests(met.join(classes, "id"), percent, max(partitions(classes), partitions(met, 4)))
-    if large:
-        found = found.unionByName(stars)
+    found = node_forests(met.join(classes, "id"), percent, max(partitions(classes), partitions(rows, 4)))
+    if wide is not None:
+        found = found.unionByName(wide.where("low <> id").select(F.col("low").alias("a"), F.col("id").alias("b"), F.lit(1).alias("alike")))
     edges, (n,) = counted(found.groupBy("a", "b").agg(F.max("alike").alias("alike")), "edges", F.count(F.lit(1)))
     return edges, n
 
@@ -351,9 +365,9 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return rows.select(*pairs.columns, (100 * both >= percent * (F.size("x") + F.size("y") - both)).alias("linked"))
 
 
-def id_bitmap(ids: DataFrame) -> np.ndarray:
-    """Bits at id mod a prime, for the distinct ids: as many bits as are useful, MAX_BITS at most. 4 KB come back for each
-    32,768 bits, already merged."""
+def id_bitmap(ids: DataFrame) -> tuple[np.ndarray, int]:
+    """Bits at id mod a prime, for the distinct ids, lowest bit first, and the prime: as many bits as are useful, MAX_BITS at
+    most. 4 KB come back for each 32,768 bits, already merged."""
     wanted = 16 * max(1, ids.count())
     size = next((p for p in (65_521, 1_048_573, 16_777_213) if p >= wanted), MAX_BITS)
     place = F.pmod(F.col("id"), F.lit(size))
@@ -361,21 +375,20 @@ def id_bitmap(ids: DataFrame) -> np.ndarray:
     out = np.zeros(((size >> 15) + 1, 4_096), np.uint8)
     for r in rows:
         out[r.part] = np.frombuffer(r.bits, np.uint8)
-    return np.unpackbits(out.ravel(), bitorder="little")[:size].view(bool)
+    return out.ravel(), size
 
 
 def members(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
     """(id, key1, key2, members): the full sets, as distinct hashes, of the documents in `ids`, and of few others."""
-    bits = id_bitmap(ids)
-    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(bits))
-    size = len(bits)
+    bits, size = id_bitmap(ids)
+    shared = docs.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packed = shared.value
         for batch in batches:
             batch = batch.filter(batch.column("doc_id").is_valid())
             place = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64) % size
-            batch = batch.filter(pa.array((packed[place >> 3] >> (7 - (place & 7)).astype(np.uint8)) & 1 == 1))
+            batch = batch.filter(pa.array((packed[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1))
             for part in pieces([batch], "text", 1_500_000):
                 sets = shingle_sets(part.column("text"), n)
                 keys = [set_key(s) for s in sets]
