@@ -322,7 +322,7 @@ def edges_of(classes: DataFrame, percent: int, seed: int) -> tuple[DataFrame, in
         parted = more.join(dense, "node", "left_anti").select("node", "id").join(bare, "id").select("node", "id", "sketch")
         deep, _ = shared_nodes(nodes_below(parted, DEPTHS[1] - DEPTHS[0], similarity, seed), "nodes")
         met = met.unionByName(deep.where(F.col("n") <= LIMIT).select("node", "id"))
-        wide = more.join(dense, "node", "left_semi").drop("near").unionByName(deep.where(F.col("n") > LIMIT))
+        wide = materialize(more.join(dense, "node", "left_semi").drop("near").unionByName(deep.where(F.col("n") > LIMIT)), "wide")
         home = wide.groupBy("id").agg(F.min(F.struct("low", "node", "n")).alias("m")).select("id", "m.*")
         part = F.pmod(F.xxhash64("id", F.lit(seed)), F.ceil(2 * F.col("n") / LIMIT))
         met = met.unionByName(home.select(F.xxhash64("node", part).alias("node"), "id"))
