@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from parlance.functions import constants as C
 from parlance.functions.text import clock, content, first_person, is_request, named, quoted, sentences, speaker_label, stems, tokens, vocative_candidates
+from parlance.operators.refine import Keep, as_it_is
 from parlance.operators.segmentation import context_windows, first_other_reply
 
 M = "meeting_id"
@@ -127,9 +128,10 @@ def named_requests(actions: DataFrame, utterances: DataFrame, bindings: DataFram
     return rows.withColumn("asked", F.when(~F.coalesce(other, F.lit(False)), F.col("asked"))).drop("bound", "may", "utt_idx")
 
 
-def check_owners(actions: DataFrame, segments: DataFrame, utterances: DataFrame, naming: dict[str, DataFrame]) -> DataFrame:
+def check_owners(actions: DataFrame, segments: DataFrame, utterances: DataFrame, naming: dict[str, DataFrame], keep: Keep = as_it_is) -> DataFrame:
     """Adds owner_source, owner_evidence, owner_label and owner_note, and withholds owners that nothing supports."""
-    rows = named_requests(evidence_utterances(actions, utterances), utterances, naming["name_bindings"], naming["name_candidates"])
+    rows = keep(evidence_utterances(actions, utterances), "evidence_utterances")
+    rows = keep(named_requests(rows, utterances, naming["name_bindings"], naming["name_candidates"]), "named_requests")
     suspects = naming["turn_suspects"].select(M, "segment_id", "speaker", "reply_at", F.struct("addressee", "asked_at", "question", "description").alias("suspect"))
     hit = rows.select(M, "claim_id", "segment_id", F.col("utt.speaker").alias("speaker"), F.col("utt.start").alias("a"), F.col("utt.end").alias("b")).join(suspects, [M, "segment_id", "speaker"]).where("reply_at between a and b + 0.01")
     hit = hit.groupBy(M, "claim_id").agg(F.min_by("suspect", "reply_at").alias("suspect"))
@@ -214,13 +216,14 @@ def number_segments(segments: DataFrame) -> DataFrame:
     return segments.withColumn("seg_idx", (F.row_number().over(Window.partitionBy(M).orderBy("segment_id")) - 1).cast("int"))
 
 
-def ground(decisions: DataFrame, actions: DataFrame, segments: DataFrame, utterances: DataFrame, naming: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
-    """(decisions, actions) with status, anchors, owners, deadlines, merges and notes; no row is lost."""
-    segs = number_segments(segments)
-    located = locate(decisions.withColumn("claim_id", F.col("ordinal")).withColumn("claim", F.col("statement")), segs)
-    acts = locate(actions.withColumn("claim_id", F.col("ordinal")).withColumn("claim", F.col("task")), segs)
-    kept = acts.where("status = 'kept'")
-    kept = merge_tasks(check_deadlines(check_owners(kept, segs, utterances, naming), segs))
+def ground(decisions: DataFrame, actions: DataFrame, segments: DataFrame, utterances: DataFrame, naming: dict[str, DataFrame], keep: Keep = as_it_is) -> tuple[DataFrame, DataFrame]:
+    """(decisions, actions) with status, anchors, owners, deadlines, merges and notes; no row is lost. `keep` may write the
+    tables between the checks, each of which reads what the one before made more than once."""
+    segs = keep(number_segments(segments), "numbered_segments")
+    located = keep(locate(decisions.withColumn("claim_id", F.col("ordinal")).withColumn("claim", F.col("statement")), segs), "located_decisions")
+    acts = keep(locate(actions.withColumn("claim_id", F.col("ordinal")).withColumn("claim", F.col("task")), segs), "located_actions")
+    kept = keep(check_owners(acts.where("status = 'kept'"), segs, utterances, naming, keep), "owned_actions")
+    kept = merge_tasks(keep(check_deadlines(kept, segs), "dated_actions"))
     kept = kept.withColumn("status", F.when(F.col("merged_into").isNotNull(), "merged").otherwise(F.col("status")))
     lost = acts.where("status = 'dropped'")
     return located, kept.unionByName(lost, allowMissingColumns=True)

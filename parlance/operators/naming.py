@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from parlance.functions import constants as C
 from parlance.functions.text import clock, introductions, is_request, named, normalize, opens_reply, sentences, strip, vocative_candidates
-from parlance.operators.refine import edits_by_segment, fold_edits
+from parlance.operators.refine import Keep, as_it_is, edits_by_segment, fold_edits
 from parlance.operators.segmentation import merge_turns, runs
 
 M = "meeting_id"
@@ -107,10 +107,12 @@ def resolve_names(votes: DataFrame, exclusions: DataFrame) -> tuple[DataFrame, D
     return bindings, conflicts.union(ties).union(shared).union(lost), candidates
 
 
-def infer_names(utterances: DataFrame, terms: DataFrame | None = None) -> dict[str, DataFrame]:
-    """name_votes, name_exclusions, name_bindings, name_conflicts, name_candidates and turn_suspects."""
+def infer_names(utterances: DataFrame, terms: DataFrame | None = None, keep: Keep = as_it_is) -> dict[str, DataFrame]:
+    """name_votes, name_exclusions, name_bindings, name_conflicts, name_candidates and turn_suspects. `keep` may write the
+    votes, which bindings, conflicts and candidates read."""
     votes, exclusions = name_votes(utterances, terms)
     votes = votes.withColumn("evidence", describe_evidence(F.col("kind"), F.col("at"), F.col("quote"), F.col("reply"), F.col("reply_at")))
+    votes, exclusions = keep(votes, "name_votes"), keep(exclusions, "name_exclusions")
     bindings, conflicts, candidates = resolve_names(votes, exclusions)
     weaker = F.when(F.size("contested_by") > 0, F.concat(F.lit(" (weaker evidence for "), F.array_join(F.map_keys("contested_by"), ", "), F.lit(")"))).otherwise(F.lit(""))
     bindings = bindings.withColumn("description", F.concat(F.col("speaker"), F.lit(" identified as "), F.col("name"), F.lit(": "), F.array_join("evidence", "; "), weaker))

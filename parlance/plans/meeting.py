@@ -1,8 +1,8 @@
 """From words and segments to verified meeting records.
 
 `MeetingPlan` composes the operators lazily. Laziness changes what a failure is: a plan that is built cannot fail, a job can.
-So models return errors as rows, and `run` materialises each stage by itself and goes on without one that may degrade,
-leaving a row in the stage log.
+So models return errors as rows, and `run` materialises each stage by itself, and within a stage each table that is read more
+than once, so no plan holds more than one step; it goes on without a stage that may degrade, leaving a row in the stage log.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from parlance.operators import cluster, grounding, naming, refine, segmentation
+from parlance.operators.refine import Keep, as_it_is
 from parlance.plans import models
 from parlance.sinks import export
 
@@ -59,51 +60,52 @@ class MeetingPlan:
     diarize: str = "auto"
     num_speakers: int | None = None
 
-    def speakers(self) -> dict[str, DataFrame]:
-        chunks = segmentation.pause_chunks(self.words, self.segments)
+    def speakers(self, keep: Keep = as_it_is) -> dict[str, DataFrame]:
+        chunks = keep(segmentation.pause_chunks(self.words, self.segments), "chunks")
         if self.embeddings is None:
             if self.diarize == "on":
                 raise ValueError("speaker labels were asked for, and no embeddings were given")
             return {"chunks": chunks}
-        labelled = cluster.label_chunks(chunks.join(self.embeddings.select(M, "chunk_idx", "embedding"), [M, "chunk_idx"], "left"), num_speakers=self.num_speakers)
+        voiced = keep(chunks.join(self.embeddings.select(M, "chunk_idx", "embedding"), [M, "chunk_idx"], "left"), "voiced_chunks")
+        labelled = keep(cluster.label_chunks(voiced, num_speakers=self.num_speakers), "labelled")
         return {"chunks": chunks, "labelled": labelled, "words": cluster.label_words(self.words, labelled), "turns": cluster.speaker_turns(labelled)}
 
-    def refined(self, words: DataFrame) -> dict[str, DataFrame]:
+    def refined(self, words: DataFrame, keep: Keep = as_it_is) -> dict[str, DataFrame]:
         verdicts = model_edits = None
         if self.reviewer is not None:
             proposals = refine.glossary_proposals(words, self.terms).join(self.segments.select(M, "segment_id", "text"), [M, "segment_id"])
             line = F.format_string('%d. in "%s"\n   replace \'%s\' with \'%s\'?', "ordinal", "text", "original", "replacement")
             asked = export.ordered(proposals, ["ordinal"], line, "lines").select(M, F.lit(PROMPTS["review"]).alias("system"), F.array_join("lines", "\n").alias("user"))
-            verdicts = models.parse_verdicts(models.ask(asked, self.reviewer))
+            verdicts = keep(models.parse_verdicts(models.ask(asked, self.reviewer)), "verdicts")
         if self.editor is not None:
             marked = self.segments.join(refine.unsure_words(words), [M, "segment_id"], "left")
             line = F.concat(F.lit("segment "), F.col("segment_id").cast("string"), F.coalesce("marker", F.lit("")), F.lit(': "'), F.col("text"), F.lit('"'))
             asked = export.ordered(marked, ["segment_id"], line, "lines").select(M, F.lit(PROMPTS["edits"]).alias("system"), F.array_join("lines", "\n").alias("user"))
-            model_edits = models.parse_edits(models.ask(asked, self.editor))
-        segments, edits = refine.refine(self.segments, words, self.terms, verdicts, model_edits)
+            model_edits = keep(models.parse_edits(models.ask(asked, self.editor)), "model_edits")
+        segments, edits = refine.refine(self.segments, words, self.terms, verdicts, model_edits, keep)
         return {"refined": segments, "edits": edits}
 
-    def named(self, refined: DataFrame, words: DataFrame, edits: DataFrame) -> dict[str, DataFrame]:
-        utterances = naming.speaker_utterances(refined, words, edits)
-        return {"utterances": utterances, **naming.infer_names(utterances, self.terms)}
+    def named(self, refined: DataFrame, words: DataFrame, edits: DataFrame, keep: Keep = as_it_is) -> dict[str, DataFrame]:
+        utterances = keep(naming.speaker_utterances(refined, words, edits), "utterances")
+        return {"utterances": utterances, **naming.infer_names(utterances, self.terms, keep)}
 
-    def recorded(self, utterances: DataFrame) -> dict[str, DataFrame]:
+    def recorded(self, utterances: DataFrame, keep: Keep = as_it_is) -> dict[str, DataFrame]:
         lines = segmentation.render_segments(utterances)
         texts = export.ordered(lines, ["utt_idx"], F.col("line"), "lines").select(M, F.array_join("lines", "\n").alias("text"))
-        routed = models.route(texts)
+        routed = keep(models.route(texts), "routed")
         prompts = routed.select(M, F.lit(PROMPTS["record"]).alias("system"), F.concat(F.lit("Transcript:\n"), F.col("text")).alias("user"))
-        replies = models.ask(prompts, self.recorder, self.fallback).join(routed.select(M, "text", "size_warning"), M)
+        replies = keep(models.ask(prompts, self.recorder, self.fallback), "replies").join(routed.select(M, "text", "size_warning"), M)
         records, decisions, actions = models.parse_records(replies)
         return {"records": records, "claimed_decisions": decisions, "claimed_actions": actions, "routing": routed.drop("text")}
 
-    def grounded(self, t: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    def grounded(self, t: dict[str, DataFrame], keep: Keep = as_it_is) -> dict[str, DataFrame]:
         names = {k: t[k] for k in ("name_bindings", "name_candidates", "turn_suspects")}
-        decisions, actions = grounding.ground(t["claimed_decisions"], t["claimed_actions"], t["refined"], t["utterances"], names)
-        actions = naming.attribute_owners(actions, t["name_bindings"])
+        decisions, actions = grounding.ground(t["claimed_decisions"], t["claimed_actions"], t["refined"], t["utterances"], names, keep)
+        actions = keep(naming.attribute_owners(keep(actions, "merged_actions"), t["name_bindings"]), "action_items")
         return {"decisions": decisions, "action_items": actions, "record_warnings": grounding.record_warnings(decisions, actions)}
 
-    def run(self, keep: Callable[[DataFrame, str], DataFrame]) -> Result:
-        """`keep(table, name)` materialises a table, as a write and a read of a shared folder does."""
+    def run(self, keep: Keep) -> Result:
+        """`keep(table, name)` materialises a table at once, as a write and a read of a shared folder does (`export.keeper`)."""
         out = Result()
         t = out.tables
         t |= {"segments": self.segments, "words": self.words}
@@ -123,16 +125,16 @@ class MeetingPlan:
         if out.failed_stage:
             return out
         if self.diarize != "off":
-            stage("diarize", self.speakers)
+            stage("diarize", lambda: self.speakers(keep))
             if self.diarize == "on" and out.stage_log[-1][2]:
                 raise ValueError(out.stage_log[-1][2])
         edits = self.segments.sparkSession.createDataFrame([], "meeting_id string, ordinal int, segment_id int, original string, replacement string, reason string, accepted boolean")
-        stage("refine", lambda: self.refined(t["words"]), lambda: {"refined": self.segments, "edits": edits})
-        stage("name", lambda: self.named(t["refined"], t["words"], t["edits"]))
+        stage("refine", lambda: self.refined(t["words"], keep), lambda: {"refined": self.segments, "edits": edits})
+        stage("name", lambda: self.named(t["refined"], t["words"], t["edits"], keep))
         if "utterances" in t:
-            stage("record", lambda: self.recorded(t["utterances"]))
+            stage("record", lambda: self.recorded(t["utterances"], keep))
         if "records" in t:
-            stage("verify", lambda: self.grounded(t))
+            stage("verify", lambda: self.grounded(t, keep))
         return out
 
 

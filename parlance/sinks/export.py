@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +14,17 @@ M = "meeting_id"
 UNSPECIFIED = "unspecified"
 
 
+def keeper(folder: str) -> Callable[[DataFrame, str], DataFrame]:
+    """A function that writes a table below `folder`, which driver and executors share, and reads it back."""
+
+    def keep(rows: DataFrame, name: str) -> DataFrame:
+        path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        rows.write.parquet(path)
+        return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+    return keep
+
+
 def to_json(*columns: Column | str) -> Column:
     return F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
 

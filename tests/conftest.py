@@ -5,7 +5,8 @@ import pytest
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
-os.environ["PYTHONPATH"] = os.pathsep.join([ROOT, os.environ.get("PYTHONPATH", "")])
+# Workers import the package, and the test modules whose functions they run.
+os.environ["PYTHONPATH"] = os.pathsep.join([ROOT, os.path.dirname(__file__), os.environ.get("PYTHONPATH", "")])
 
 
 @pytest.fixture(scope="session")

@@ -91,13 +91,9 @@ def inputs(spark):
     return segments, words, voices
 
 
-def cached(df, name):
-    return df.cache()
-
-
-def test_whole_plan(spark, inputs):
+def test_whole_plan(spark, inputs, tmp_path):
     segments, words, voices = inputs
-    result = meeting.MeetingPlan(segments, words, refine.glossary_of(spark), voices, recorder=recorder).run(cached)
+    result = meeting.MeetingPlan(segments, words, refine.glossary_of(spark), voices, recorder=recorder).run(export.keeper(str(tmp_path)))
     assert result.ok and [e for _, _, e in result.stage_log if e] == []
     t = result.tables
     assert [r.speaker for r in t["turns"].orderBy("turn_idx").collect()] == ["Speaker 1", "Speaker 2", "Speaker 1"]
@@ -111,14 +107,15 @@ def test_whole_plan(spark, inputs):
     assert "Speaker 2 identified as Sam" in row.markdown and "unspecified" not in row.markdown
 
 
-def test_stages_degrade(spark, inputs):
+def test_stages_degrade(spark, inputs, tmp_path):
     segments, words, _ = inputs
-    result = meeting.MeetingPlan(segments, words.drop("probability"), refine.glossary_of(spark), recorder=broken).run(cached)
+    keep = export.keeper(str(tmp_path))
+    result = meeting.MeetingPlan(segments, words.drop("probability"), refine.glossary_of(spark), recorder=broken).run(keep)
     log = {name: error for name, _, error in result.stage_log}
     assert result.ok and log["refine"] and not log["record"]
     assert result.tables["refined"].count() == 3 and result.tables["records"].first().warnings == ["Meeting-record model unavailable: out of reach"]
     with pytest.raises(ValueError, match="speaker labels"):
-        meeting.MeetingPlan(segments, words, refine.glossary_of(spark), diarize="on").run(cached)
+        meeting.MeetingPlan(segments, words, refine.glossary_of(spark), diarize="on").run(keep)
 
 
 def test_markdown_of_nothing(spark):
