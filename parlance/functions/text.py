@@ -81,31 +81,31 @@ def named(text: Column) -> Column:
 
 def vocative_candidates(sentence: Column) -> Column:
     """A leading "Xxx, y", then a trailing ", Xxx?"; what is absent is an empty string."""
-    return F.array(F.regexp_extract(sentence, r"^([A-Z][a-z]+),\s+\S", 1), F.regexp_extract(sentence, r",\s+([A-Z][a-z]+)\s*[?.!]$", 1))
+    return F.array(F.regexp_extract(sentence, C.LEADING_NAME, 1), F.regexp_extract(sentence, C.TRAILING_NAME, 1))
 
 
 def is_request(sentence: Column) -> Column:
-    return sentence.rlike(r"(?i)\?\s*$|\b(?:can|could|would|will) you\b|\bplease\b")
+    return sentence.rlike(C.REQUEST)
 
 
 def introductions(sentence: Column) -> Column:
     """Names given by "I'm Xxx" and the like anywhere, or by "This is Xxx" as the whole sentence."""
-    anywhere = F.regexp_extract_all(sentence, F.lit(r"\b(?:I'm|I am|my name is)\s+([A-Z][a-z]+)\b"), F.lit(1))
-    whole = F.regexp_extract(sentence, r"^(?:(?:Hi|Hello|Hey),?\s+)?[Tt]his is\s+([A-Z][a-z]+)\s*[.,!]?$", 1)
+    anywhere = F.regexp_extract_all(sentence, F.lit(C.INTRODUCTION), F.lit(1))
+    whole = F.regexp_extract(sentence, C.INTRODUCTION_ALONE, 1)
     return F.filter(F.concat(anywhere, F.array(whole)), lambda n: n != "")
 
 
 def opens_reply(sentence: Column) -> Column:
-    return sentence.rlike(r"(?i)^(?:yes|yeah|yep|sure|okay|ok|no|nope|absolutely|will do|on it|sounds good|got it)\b")
+    return sentence.rlike(C.REPLY_OPENER)
 
 
 def first_person(text: Column) -> Column:
-    return text.rlike(r"\b(?:I|I'll|I'm|I've|I'd|me|my|mine)\b")
+    return text.rlike(C.FIRST_PERSON)
 
 
 def speaker_label(text: Column) -> Column:
     """The `Speaker N` that a text begins with, else null."""
-    return F.nullif(F.regexp_extract(text, r"^\s*(Speaker \d+)\b", 1), F.lit(""))
+    return F.nullif(F.regexp_extract(text, C.SPEAKER_LABEL, 1), F.lit(""))
 
 
 def clean_null(text: Column) -> Column:
@@ -133,7 +133,7 @@ def negations(text: Column) -> Column:
 
 
 def declines(text: Column) -> Column:
-    return text.rlike(r"(?i)\b(?:not|no|don't|do not|won't|will not|defer\w*|postpone\w*|park\w*|declin\w*|reject\w*|later|skip\w*|hold off)\b")
+    return text.rlike(C.DECLINES)
 
 
 def contains_idea(text: Column, phrase: Column, threshold: float = 0.6) -> Column:

@@ -54,8 +54,8 @@ def nearest_centroid(rows: DataFrame, cents: DataFrame, keys: list[str], item: s
     return rows.crossJoin(F.broadcast(every)).select(item, F.array_min(scored).alias("b")).select(item, f"b.{label}", "b.distance")  # one row
 
 
-def average_linkage(vectors: np.ndarray, threshold: float | None = C.CLUSTER_DISTANCE, n_clusters: int | None = None) -> np.ndarray:
-    """Labels (by each cluster's first member) of agglomerative clustering on cosine distance.
+def average_linkage(vectors: np.ndarray, threshold: float | None = C.CLUSTER_DISTANCE, n_clusters: int | None = None, heights: list[float] | None = None) -> np.ndarray:
+    """Labels (by each cluster's first member) of agglomerative clustering on cosine distance; `heights` gets each merge's.
 
     The mean distance between clusters follows from the two merged ones' means. Each row remembers its nearest partner, so a
     merge costs O(n) and the whole O(n^2) in the usual case.
@@ -76,6 +76,8 @@ def average_linkage(vectors: np.ndarray, threshold: float | None = C.CLUSTER_DIS
         b = int(near[a])
         if n_clusters is None and threshold is not None and best[a] > threshold:
             break
+        if heights is not None:
+            heights.append(float(best[a]))
         a, b = min(a, b), max(a, b)
         row = (size[a] * d[a] + size[b] * d[b]) / (size[a] + size[b])
         row[a] = np.inf
@@ -138,25 +140,34 @@ def speaker_turns(labelled: DataFrame) -> DataFrame:
 
 
 def threshold_sweep(rows: DataFrame, keys: list[str], item: str, thresholds: list[float]) -> DataFrame:
-    """(keys, threshold, n_clusters): vectors are prepared once and clustered at each threshold."""
-    grid = rows.withColumn("threshold", F.explode(F.array(*map(F.lit, thresholds))))
+    """(keys, threshold, n_clusters) from one linkage of each group: heights of average linkage never fall, so the clusters at
+    a threshold are those that merges up to it leave. Groups of more than MAX_CHUNKS have no number of clusters (null)."""
     kinds = dict(rows.dtypes)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        t = float(pdf["threshold"].iloc[0])
-        n = len(set(average_linkage(np.stack(pdf.sort_values(item)["embedding"].to_numpy()), t).tolist()))
-        return pdf[keys].iloc[:1].assign(threshold=t, n_clusters=n)
+        found: list[float] = []
+        if len(pdf) <= MAX_CHUNKS:
+            average_linkage(np.stack(pdf.sort_values(item)["embedding"].to_numpy()), None, None, found)
+        n = [len(pdf) - int(sum(h <= t for h in found)) if len(pdf) <= MAX_CHUNKS else None for t in thresholds]
+        out = pd.DataFrame({"threshold": thresholds, "n_clusters": pd.array(n, dtype="Int64")})
+        return out.assign(**{k: pdf[k].iloc[0] for k in keys})[[*keys, "threshold", "n_clusters"]]
 
     schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", threshold double, n_clusters long"
-    return grid.select(*keys, item, "embedding", "threshold").groupBy(*keys, "threshold").applyInPandas(run, schema)
+    return rows.select(*keys, item, "embedding").groupBy(*keys).applyInPandas(run, schema)
 
 
-def plateau_centre(scores: DataFrame, tolerance: float = 0.005) -> DataFrame:
-    """The middle one of the thresholds within `tolerance` of the best: (threshold, der)."""
-    best = scores.withColumn("best", F.min("der").over(Window.partitionBy(F.lit(1)))).where(F.col("der") <= F.col("best") + tolerance)  # one row for each threshold
-    place = Window.partitionBy(F.lit(1)).orderBy("threshold")
-    ranked = best.withColumn("k", F.row_number().over(place) - 1).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(F.lit(1))))
-    return ranked.where("k = n div 2").select("threshold", "der")
+def plateau_centre(scores: DataFrame, tolerance: float = 0.005, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, threshold, der): the middle one of the thresholds within `tolerance` of the best; an aggregate to one short list."""
+    item = F.struct("threshold", "der")
+    rows = scores.groupBy(*keys).agg(F.min("der").alias("best"), F.array_sort(F.collect_list(item)).alias("all"))
+    near = rows.withColumn("all", F.filter("all", lambda x: x["der"] <= F.col("best") + tolerance)).where(F.size("all") > 0)
+    return near.select(*keys, F.element_at("all", F.floor(F.size("all") / 2).cast("int") + 1).alias("x")).select(*keys, "x.threshold", "x.der")
+
+
+def longest(chunks: DataFrame, keys: list[str], k: int) -> DataFrame:
+    """The k longest chunks of each group, ties to the earlier one, with their rank from 1."""
+    order = Window.partitionBy(*keys).orderBy(F.desc(F.col("end") - F.col("start")), "chunk_idx")
+    return chunks.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def separability(rows: DataFrame, keys: list[str], label: str, vector: str = "embedding") -> tuple[DataFrame, DataFrame]:

@@ -23,14 +23,15 @@ def find_quotes(quotes: DataFrame, segments: DataFrame, pairs: bool = True, keys
     segment. A pair is anchored where more of the quote stands.
 
     Prefix filter: of n words, ceil(0.6 n) must be found, so a supporting window holds one of the n - ceil(0.6 n) + 1 rarest.
-    Only those are joined with the segments' words; frequent words make no candidates, and no pair of quote and segment
-    without a shared rare word is ever made. Candidates are then scored on whole word lists. quotes: (keys, quote_id, quote);
+    Segments' words that no quote has are dropped where they are read, before any exchange; only rare ones are joined, frequent
+    words make no candidates, and no pair of quote and segment without a shared rare word is ever made. Candidates are then scored on whole word lists. quotes: (keys, quote_id, quote);
     segments: (keys, seg_idx, text), pairs are segments of neighbouring seg_idx. With no keys every quote is held against all.
     """
     on = list(keys)
     q = quotes.select(*on, "quote_id", content(F.col("quote")).alias("want")).withColumn("n_words", F.size("want")).where(F.col("n_words") >= C.MIN_EVIDENCE_WORDS)
-    s = segments.select(*on, "seg_idx", F.array_distinct(content(F.col("text"))).alias("have"))
-    tokens_of = s.select(*on, "seg_idx", F.explode("have").alias("token"))
+    s = segments.select(*on, "seg_idx", "text")
+    asked = q.select(F.explode("want").alias("token")).distinct()
+    tokens_of = s.select(*on, "seg_idx", F.explode(F.array_distinct(content(F.col("text")))).alias("token")).join(asked, "token", "left_semi")
     common = tokens_of.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     rare = q.select(*on, "quote_id", "n_words", F.posexplode("want").alias("pos", "token")).join(common, "token", "left")
     place = F.row_number().over(Window.partitionBy(*on, "quote_id").orderBy(F.coalesce("df", F.lit(0)), "token", "pos"))
@@ -41,10 +42,12 @@ def find_quotes(quotes: DataFrame, segments: DataFrame, pairs: bool = True, keys
     spots = seen.select(*on, "quote_id", F.explode(F.array(spot(at, 0), spot(at, 1), spot(at - 1, 1)) if pairs else F.array(spot(at, 0))).alias("s")).distinct()
     rows = spots.select(*on, "quote_id", "s.at", "s.pair").join(q, [*on, "quote_id"]).join(s.withColumnRenamed("seg_idx", "at"), [*on, "at"])
     if pairs:
-        after = s.select(*on, (F.col("seg_idx") - 1).alias("at"), F.col("have").alias("next_have"))
-        rows = rows.join(after, [*on, "at"], "left").where("pair = 0 or next_have is not null")
+        after = s.select(*on, (F.col("seg_idx") - 1).alias("at"), F.col("text").alias("next_text"), F.lit(True).alias("followed"))
+        rows = rows.join(after, [*on, "at"], "left").where("pair = 0 or followed")
+        rows = rows.withColumn("next_have", F.when(F.col("followed"), F.array_distinct(content(F.col("next_text")))))
     else:
         rows = rows.withColumn("next_have", F.lit(None).cast("array<string>"))
+    rows = rows.withColumn("have", F.array_distinct(content(F.col("text"))))  # of candidates only
     count = lambda where: F.size(F.filter("want", lambda t: F.array_contains(where, t)))
     both = F.when(F.col("pair") == 1, F.concat("have", F.col("next_have"))).otherwise(F.col("have"))
     rows = rows.withColumn("hits", count(both)).withColumn("here", count(F.col("have"))).withColumn("next", F.when(F.col("pair") == 1, count(F.col("next_have"))).otherwise(0))

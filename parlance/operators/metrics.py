@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from itertools import permutations
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -62,46 +60,77 @@ def wer(pairs: DataFrame, reference: str = "reference", hypothesis: str = "hypot
     return pairs.withColumn("we", word_error(tokens(F.col(reference)), tokens(F.col(hypothesis)))).select(*pairs.columns, "we.*")
 
 
-def frames(turns: DataFrame, keys: list[str], step: float = STEP, who: str = "speaker") -> DataFrame:
-    """(keys, frame, speaker): a later turn wins an overlap (`ordinal` orders the turns)."""
-    first, last = F.greatest(F.lit(0), (F.col("start") / step).cast("long")), F.ceil(F.col("end") / step) - 1
-    rows = turns.where(last >= first).select(*keys, "ordinal", who, F.explode(F.sequence(first, last)).alias("frame"))
-    return rows.groupBy(*keys, "frame").agg(F.max_by(who, "ordinal").alias(who))
-
-
 def assign(overlap: np.ndarray) -> dict[int, int]:
-    """Column -> row, one to one, of the largest total: all orders up to 7 on a side (padded to a square), greedy beyond."""
+    """Column -> row, one to one, of the largest total: shortest augmenting paths with potentials on a padded square."""
     n = max(overlap.shape) if overlap.size else 0
-    if n == 0:
-        return {}
-    if n <= 7:
-        square = np.zeros((n, n))
-        square[: overlap.shape[0], : overlap.shape[1]] = overlap
-        best = max(permutations(range(n)), key=lambda p: sum(square[r, c] for r, c in enumerate(p)))
-        return {c: r for r, c in enumerate(best) if r < overlap.shape[0] and c < overlap.shape[1]}
-    out: dict[int, int] = {}
-    used = set()
-    for _, r, c in sorted(((overlap[r, c], r, c) for r in range(overlap.shape[0]) for c in range(overlap.shape[1])), reverse=True):
-        if r not in used and c not in out:
-            out[c] = r
-            used.add(r)
-    return out
+    cost = np.zeros((n, n))
+    cost[: overlap.shape[0], : overlap.shape[1]] = -overlap
+    rows, columns = np.zeros(n), np.zeros(n)  # potentials
+    owner = np.full(n, -1)  # row of each column
+    for start in range(n):
+        row, used, came = start, np.zeros(n, bool), np.full(n, -1)
+        least = np.full(n, np.inf)
+        column = -1
+        while row >= 0:
+            if column >= 0:
+                used[column] = True
+            slack = cost[row] - rows[row] - columns
+            closer = ~used & (slack < least)
+            least[closer], came[closer] = slack[closer], column
+            nearest = int(np.argmin(np.where(used, np.inf, least)))
+            step = least[nearest]
+            rows[start] += step
+            rows[owner[used]] += step
+            columns[used] -= step
+            least[~used] -= step
+            column, row = nearest, owner[nearest]
+        while column >= 0:  # along the path every column takes the row of the one before it
+            before = came[column]
+            owner[column] = owner[before] if before >= 0 else start
+            column = before
+    return {c: int(r) for c, r in enumerate(owner) if c < overlap.shape[1] and 0 <= r < overlap.shape[0]}
+
+
+def _frames(turns: DataFrame, step: float) -> DataFrame:
+    """Turns with the first of their frames and the one after their last."""
+    rows = turns.withColumn("f", F.greatest(F.lit(0), (F.col("start") / step).cast("long"))).withColumn("l", F.ceil(F.col("end") / step))
+    return rows.where("l > f")
+
+
+def speaker_frames(reference: DataFrame, hypothesis: DataFrame, collar: float = COLLAR, step: float = STEP) -> DataFrame:
+    """(meeting_id, r, h, n): frames in which r speaks in the reference and h in the hypothesis (null: nobody).
+
+    No frames are made. A meeting's edges cut its time into pieces in which nothing changes; each turn is laid over the
+    pieces it covers, a later turn (`ordinal`) wins a piece, and pieces count by their width. Pieces within the collar of a
+    reference edge are left out.
+    """
+    ref, hyp = _frames(reference, step), _frames(hypothesis, step)
+    c = int(collar / step)
+    edge = reference.select(M, F.explode(F.array("start", "end")).alias("t")).select(M, (F.col("t") / step).cast("long").alias("e"))
+    near = edge.select(M, (F.col("e") - c).alias("f"), (F.col("e") + c + 1).alias("l")) if collar > 0 else None
+    ends = [rows.select(M, F.explode(F.array("f", "l")).alias("at")) for rows in (ref, hyp, near) if rows is not None]
+    cuts = ends[0]
+    for more in ends[1:]:
+        cuts = cuts.union(more)
+    cuts = cuts.groupBy(M).agg(F.array_sort(F.collect_set("at")).alias("cuts"))
+
+    def pieces(rows: DataFrame, *columns: str) -> DataFrame:
+        inside = F.filter("cuts", lambda x: (x >= F.col("f")) & (x < F.col("l")))
+        return rows.join(cuts, M).select(M, *columns, F.explode(inside).alias("at"))
+
+    who = lambda rows, name: pieces(rows, "ordinal", "speaker").groupBy(M, "at").agg(F.max_by("speaker", "ordinal").alias(name))
+    rows = who(ref, "r").join(who(hyp, "h"), [M, "at"], "full")
+    if near is not None:
+        rows = rows.join(pieces(near).distinct(), [M, "at"], "left_anti")
+    after = F.try_element_at("cuts", (F.array_position("cuts", F.col("at")) + 1).cast("int"))
+    return rows.join(cuts, M).withColumn("n", after - F.col("at")).groupBy(M, "r", "h").agg(F.sum("n").alias("n"))
 
 
 def der(reference: DataFrame, hypothesis: DataFrame, collar: float = COLLAR, step: float = STEP) -> DataFrame:
     """(meeting_id, der, missed, false_alarm, confusion, total) in seconds, from turns (meeting_id, ordinal, start, end, speaker).
 
-    Frames within the collar of a reference edge are left out. Frames are joined and counted in the JVM; only the small
-    speaker-by-speaker table of each meeting goes to Python for the one-to-one mapping.
+    Only the small speaker-by-speaker table of each meeting goes to Python for the one-to-one mapping.
     """
-    ref, hyp = frames(reference, [M], step).withColumnRenamed("speaker", "r"), frames(hypothesis, [M], step).withColumnRenamed("speaker", "h")
-    rows = ref.join(hyp, [M, "frame"], "full")
-    if collar > 0:
-        c = int(collar / step)
-        edge = reference.select(M, F.explode(F.array("start", "end")).alias("t")).select(M, (F.col("t") / step).cast("long").alias("e"))
-        near = edge.select(M, F.explode(F.sequence(F.col("e") - c, F.col("e") + c)).alias("frame")).distinct()
-        rows = rows.join(near, [M, "frame"], "left_anti")
-    counts = rows.groupBy(M, "r", "h").agg(F.count(F.lit(1)).alias("n"))
 
     def score(pdf: pd.DataFrame) -> pd.DataFrame:
         refs, hyps = sorted(pdf["r"].dropna().unique()), sorted(pdf["h"].dropna().unique())
@@ -114,6 +143,7 @@ def der(reference: DataFrame, hypothesis: DataFrame, collar: float = COLLAR, ste
         total, wrong = float(pdf["n"][pdf["r"].notna()].sum()), float(both["n"].sum()) - right
         return pd.DataFrame({M: [pdf[M].iloc[0]], "der": [(miss + false + wrong) / total if total else 0.0], "missed": [miss * step], "false_alarm": [false * step], "confusion": [wrong * step], "total": [total * step]})
 
+    counts = speaker_frames(reference, hypothesis, collar, step)
     return counts.groupBy(M).applyInPandas(score, f"{M} {dict(reference.dtypes)[M]}, der double, missed double, false_alarm double, confusion double, total double")
 
 
@@ -179,4 +209,4 @@ def frame_sweep(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     return rows.withColumn("kind", kind).where("kind is not null").groupBy(*keys, "kind").agg(F.sum("len").alias("seconds"))
 
 
-__all__ = ["align", "assign", "chunk_purity", "der", "frame_sweep", "frames", "interval_overlap", "match_expected", "recovery", "runs", "scorecard", "trial_tally", "wer", "word_error"]
+__all__ = ["align", "assign", "chunk_purity", "der", "frame_sweep", "interval_overlap", "match_expected", "recovery", "runs", "scorecard", "speaker_frames", "trial_tally", "wer", "word_error"]

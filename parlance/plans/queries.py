@@ -156,9 +156,9 @@ def _neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.join(after, "item_id").withColumnRenamed("text", "original")
 
 
-_LONGER = "'replacement is disproportionately longer than the original'"
-_SHORTER = "'original span is disproportionately longer than the replacement — likely a phonetic collision, not a mis-hearing'"
-_SPAN = f"CASE WHEN len({s_white('a.text')}) > 5 THEN 'span too long (' || len({s_white('a.text')}) || ' words > 5) — that''s a rewrite' WHEN a.text <> '' AND length(b.text) > 2.0 * length(a.text) THEN {_LONGER} WHEN b.text <> '' AND length(a.text) > 2.0 * length(b.text) THEN {_SHORTER} END"
+_LONGER = "'the replacement is over twice as long as the original'"
+_SHORTER = "'the original is over twice as long as the replacement'"
+_SPAN = f"CASE WHEN len({s_white('a.text')}) > 5 THEN 'the original has ' || len({s_white('a.text')}) || ' words, over 5' WHEN a.text <> '' AND length(b.text) > 2.0 * length(a.text) THEN {_LONGER} WHEN b.text <> '' AND length(a.text) > 2.0 * length(b.text) THEN {_SHORTER} END"
 _PAIRS = "FROM benchmark a JOIN benchmark b ON b.item_id = a.item_id + 1"
 
 
@@ -170,10 +170,10 @@ def gate_length_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(rf"""
 WITH e AS (SELECT a.item_id, list_filter([
-  CASE WHEN {s_norm('a.text')} = {s_norm('b.text')} THEN 'no-op: only case or punctuation would change — not a terminology correction' END,
+  CASE WHEN {s_norm('a.text')} = {s_norm('b.text')} THEN 'original and replacement differ in case or marks only' END,
   {_SPAN},
-  CASE WHEN list_sort(regexp_extract_all(a.text, '\d+')) <> list_sort(regexp_extract_all(b.text, '\d+')) THEN 'edit would change a number' END,
-  CASE WHEN {s_negations('a.text')} <> {s_negations('b.text')} THEN 'edit would add or remove a negation' END], lambda r: r IS NOT NULL) AS r {_PAIRS})
+  CASE WHEN list_sort(regexp_extract_all(a.text, '\d+')) <> list_sort(regexp_extract_all(b.text, '\d+')) THEN 'the numbers differ' END,
+  CASE WHEN {s_negations('a.text')} <> {s_negations('b.text')} THEN 'the negations differ' END], lambda r: r IS NOT NULL) AS r {_PAIRS})
 SELECT item_id, array_to_string(r, ' | ') AS reasons, len(r) AS n FROM e""")
 def gate_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = refine.text_gates(F.col("original"), F.col("replacement"), F.col("original"), F.lit(0))

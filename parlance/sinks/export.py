@@ -8,10 +8,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from parlance.functions import constants as C
 from parlance.functions.text import clock
 
 M = "meeting_id"
-UNSPECIFIED = "unspecified"
 
 
 def keeper(folder: str) -> Callable[[DataFrame, str], DataFrame]:
@@ -37,11 +37,11 @@ def ordered(rows: DataFrame, order: list[str], item: Column, name: str, where: C
 
 def owner_display(owner: Column, source: Column) -> Column:
     shown = F.when(source == "inferred", F.concat(owner, F.lit(" (inferred)"))).when(source == "speaker", F.concat(owner, F.lit(" (voice only)"))).otherwise(owner)
-    return F.when(F.coalesce(owner, F.lit("")) == "", F.lit(UNSPECIFIED)).otherwise(shown)
+    return F.when(F.coalesce(owner, F.lit("")) == "", F.lit(C.UNSPECIFIED)).otherwise(shown)
 
 
 def deadline_display(deadline: Column) -> Column:
-    return F.when(F.coalesce(deadline, F.lit("")) == "", F.lit(UNSPECIFIED)).otherwise(deadline)
+    return F.when(F.coalesce(deadline, F.lit("")) == "", F.lit(C.UNSPECIFIED)).otherwise(deadline)
 
 
 def transcript_json(transcripts: DataFrame) -> DataFrame:
@@ -89,9 +89,9 @@ def markdown(records: DataFrame, decisions: DataFrame, actions: DataFrame, edits
         F.lit("# Meeting Record\n"),
         when(F.size("warnings") > 0, F.concat(F.lit("> **Notes**\n"), F.array_join(F.transform("warnings", lambda w: F.concat(F.lit("> - "), w)), "\n"), F.lit("\n"))),
         when(F.coalesce("summary", F.lit("")) != "", F.concat(F.lit("## Summary\n\n"), F.col("summary"), F.lit("\n"))),
-        _section("Minutes", F.transform(F.coalesce("minutes", none), lambda m: F.concat(F.lit("- "), m)), "_No minutes recorded._"),
-        _section("Key Decisions", F.col("d_lines"), "_No decisions were reached._"),
-        _section("Action Items", F.when(F.size("a_lines") > 0, F.concat(F.array(F.lit("| Task | Owner | Deadline |"), F.lit("| :-- | :-- | :-- |")), F.col("a_lines"))).otherwise(none), "_No action items were assigned._"),
+        _section(C.TITLES[0], F.transform(F.coalesce("minutes", none), lambda m: F.concat(F.lit("- "), m)), C.PLACEHOLDERS[0]),
+        _section(C.TITLES[1], F.col("d_lines"), C.PLACEHOLDERS[1]),
+        _section(C.TITLES[2], F.when(F.size("a_lines") > 0, F.concat(F.array(F.lit("| Task | Owner | Deadline |"), F.lit("| :-- | :-- | :-- |")), F.col("a_lines"))).otherwise(none), C.PLACEHOLDERS[2]),
         when(F.size("how_lines") > 0, F.concat(F.lit("**How owners marked _(inferred)_ / _(voice only)_ are known:**\n\n"), F.array_join("how_lines", "\n"), F.lit("\n"))),
         when(F.size("n_lines") + F.size("c_lines") > 0, F.concat(F.lit("## Speaker Names (inferred from the conversation)\n\n"), F.array_join(F.concat("n_lines", "c_lines"), "\n"), F.lit("\n"))),
         when(F.size("e_lines") > 0, F.concat(F.lit("## Terminology Corrections Applied\n\n| Original | Corrected | Reason |\n| :-- | :-- | :-- |\n"), F.array_join("e_lines", "\n"), F.lit("\n"))),

@@ -45,10 +45,10 @@ def test_gates_both_sides(spark, meeting):
     )
     has = lambda i, text: any(text in r for r in got[i].rejections)
     assert got[0].accepted and got[0].glossary_backed and got[7].accepted and not got[7].glossary_backed
-    assert has(1, "anchor not found in segment 0") and has(2, "no-op") and has(3, "insertions are not") and has(4, "deletions are not")
-    assert has(5, "not phonetically similar: 'sequel' -> 'will'") and has(5, "ordinary vocabulary")
-    assert has(6, "low model confidence (0.50)") and has(8, "span too long (6 words > 5)") and has(9, "change a number")
-    assert has(10, "negation") and has(10, "high confidence (0.90)") and got[11].rejections == ["unknown segment id 7"]
+    assert has(1, "does not occur in segment 0") and has(2, "in case or marks only") and has(3, "an insertion") and has(4, "a deletion of more")
+    assert has(5, "'sequel' does not sound like 'will'") and has(5, "consists of common words")
+    assert has(6, "confidence 0.50 only") and has(8, "the original has 6 words, over 5") and has(9, "the numbers differ")
+    assert has(10, "negation") and has(10, "confidence 0.90 or more") and got[11].rejections == ["there is no segment 7"]
 
 
 def test_budget_keeps_the_first(spark):
@@ -56,7 +56,7 @@ def test_budget_keeps_the_first(spark):
     counts = spark.createDataFrame([("m", 100)], "meeting_id string, total_words int")
     got = {r.ordinal: (r.accepted, r.rejections) for r in refine.apply_budget(edits, counts).collect()}
     assert [i for i in got if got[i][0]] == [0, 2, 3, 4, 5]
-    assert got[6][1] == ["edit budget exceeded (8 proposed, 5 allowed for 100 words) — suspicious volume of changes"] and got[1][1] == []
+    assert got[6][1] == ["over the meeting's budget: 8 edits passed, 5 are allowed for 100 words"] and got[1][1] == []
 
 
 def test_edits_fold_in_order_on_whole_words(spark):
@@ -71,7 +71,7 @@ def test_veto_and_model_edits(spark, meeting):
     _, edits = refine.refine(*meeting, refine.glossary_of(spark), verdicts, model)
     rows = edits.collect()
     vetoed = [r for r in rows if r.vetoed]
-    assert len(vetoed) == 1 and vetoed[0].rejections == ["vetoed by context review: a colour"] and not vetoed[0].accepted
+    assert len(vetoed) == 1 and vetoed[0].rejections == ["refused in context: a colour"] and not vetoed[0].accepted
     assert sum(r.source == "llm" for r in rows) == 1  # the other original is proposed already
 
 
