@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parlance.functions import constants as C
-from parlance.functions.text import clock, content, first_person, is_request, named, quoted, sentences, speaker_label, stems, tokens, vocative_candidates
+from parlance.functions.text import clock, content, first_person, is_request, named, normalize, quoted, sentences, speaker_label, stems, tokens, vocative_candidates
 from parlance.operators.refine import Keep, as_it_is
 from parlance.operators.segmentation import context_windows, first_other_reply
 
@@ -22,7 +22,8 @@ def find_quotes(quotes: DataFrame, segments: DataFrame, pairs: bool = True, keys
     joined with the next one, holds a share of 0.6 (repeats count): the best window, ties to the earlier one and to the single
     segment. A pair is anchored where more of the quote stands.
 
-    Prefix filter: of n words, ceil(0.6 n) must be found, so a supporting window holds one of the n - ceil(0.6 n) + 1 rarest.
+    Prefix filter: of n words, ceil(0.6 n) must be found, so a supporting window holds m of the n - ceil(0.6 n) + m rarest (m is
+    3, or all that must be found): what holds fewer is never scored.
     Segments' words that no quote has are dropped where they are read, before any exchange; only rare ones are joined, frequent
     words make no candidates, and no pair of quote and segment without a shared rare word is ever made. Candidates are then scored on whole word lists. quotes: (keys, quote_id, quote);
     segments: (keys, seg_idx, text), pairs are segments of neighbouring seg_idx. With no keys every quote is held against all.
@@ -31,23 +32,31 @@ def find_quotes(quotes: DataFrame, segments: DataFrame, pairs: bool = True, keys
     q = quotes.select(*on, "quote_id", content(F.col("quote")).alias("want")).withColumn("n_words", F.size("want")).where(F.col("n_words") >= C.MIN_EVIDENCE_WORDS)
     s = segments.select(*on, "seg_idx", "text")
     asked = q.select(F.explode("want").alias("token")).distinct()
-    tokens_of = s.select(*on, "seg_idx", F.explode(F.array_distinct(content(F.col("text")))).alias("token")).join(asked, "token", "left_semi")
+    words = s.select(*on, "seg_idx", F.explode(F.split(normalize(F.col("text")), " ")).alias("token"))
+    words = words.where(~F.col("token").isin(*C.STOPWORDS) & (F.char_length("token") > 2))  # `content`, a row for each word
+    tokens_of = words.join(asked, "token", "left_semi").distinct()
     common = tokens_of.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     rare = q.select(*on, "quote_id", "n_words", F.posexplode("want").alias("pos", "token")).join(common, "token", "left")
     place = F.row_number().over(Window.partitionBy(*on, "quote_id").orderBy(F.coalesce("df", F.lit(0)), "token", "pos"))
-    rare = rare.withColumn("k", place).where(F.col("k") <= F.col("n_words") - F.ceil(F.col("n_words") * C.EVIDENCE_OVERLAP - 1e-9) + 1)
-    seen = rare.select(*on, "quote_id", "token").join(tokens_of, [*on, "token"]).select(*on, "quote_id", "seg_idx").distinct()
+    must = F.ceil(F.col("n_words") * C.EVIDENCE_OVERLAP - 1e-9)
+    rare = rare.withColumn("k", place).withColumn("m", F.least(F.lit(3), must)).where(F.col("k") <= F.col("n_words") - must + F.col("m"))
+    seen = rare.select(*on, "quote_id", "m", "pos", "token").join(tokens_of, [*on, "token"])
     spot = lambda at, pair: F.struct(at.alias("at"), F.lit(pair).alias("pair"))
     at = F.col("seg_idx")
-    spots = seen.select(*on, "quote_id", F.explode(F.array(spot(at, 0), spot(at, 1), spot(at - 1, 1)) if pairs else F.array(spot(at, 0))).alias("s")).distinct()
-    rows = spots.select(*on, "quote_id", "s.at", "s.pair").join(q, [*on, "quote_id"]).join(s.withColumnRenamed("seg_idx", "at"), [*on, "at"])
+    spots = seen.select(*on, "quote_id", "m", "pos", F.explode(F.array(spot(at, 0), spot(at, 1), spot(at - 1, 1)) if pairs else F.array(spot(at, 0))).alias("s"))
+    spots = spots.distinct() if pairs else spots  # a word in both segments is one
+    spots = spots.groupBy(*on, "quote_id", "m", "s").agg(F.count(F.lit(1)).alias("held")).where("held >= m")
+    spots = spots.select(*on, "quote_id", "s.at", "s.pair")
+    lines = s
+    if not on:  # against all segments there are: only candidates' words are listed
+        near = spots.select(F.col("at").alias("seg_idx"))
+        lines = s.join((near.union(near.select(F.col("seg_idx") + 1)) if pairs else near).distinct(), "seg_idx", "left_semi")
+    have = lines.select(*on, F.col("seg_idx").alias("at"), F.array_distinct(content(F.col("text"))).alias("have"))
+    rows = spots.join(q, [*on, "quote_id"]).join(have, [*on, "at"])
     if pairs:
-        after = s.select(*on, (F.col("seg_idx") - 1).alias("at"), F.col("text").alias("next_text"), F.lit(True).alias("followed"))
-        rows = rows.join(after, [*on, "at"], "left").where("pair = 0 or followed")
-        rows = rows.withColumn("next_have", F.when(F.col("followed"), F.array_distinct(content(F.col("next_text")))))
+        rows = rows.join(have.select(*on, (F.col("at") - 1).alias("at"), F.col("have").alias("next_have")), [*on, "at"], "left").where("pair = 0 or next_have is not null")
     else:
         rows = rows.withColumn("next_have", F.lit(None).cast("array<string>"))
-    rows = rows.withColumn("have", F.array_distinct(content(F.col("text"))))  # of candidates only
     count = lambda where: F.size(F.filter("want", lambda t: F.array_contains(where, t)))
     both = F.when(F.col("pair") == 1, F.concat("have", F.col("next_have"))).otherwise(F.col("have"))
     rows = rows.withColumn("hits", count(both)).withColumn("here", count(F.col("have"))).withColumn("next", F.when(F.col("pair") == 1, count(F.col("next_have"))).otherwise(0))
