@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parlance.llm.common import materialize
+from parlance.llm.common import discard, materialize
 from parlance.llm.components import connected_components
 
 BLOCK = 2_048
@@ -170,6 +170,7 @@ def near_embeddings(vectors: DataFrame, threshold: float = 0.93, block: int = BL
     opened = found.where("i is not null").select(*tile, "i", "j")
     whole = dealt_to_tiles("vectors").join(opened.select(*tile), tile, "left_semi").unionByName(opened, allowMissingColumns=True)
     found = found.unionByName(materialize(whole.groupBy(*tile).applyInArrow(decide, FOUND), "tiles"))
+    discard(blocks)
     component = connected_components(found.where("a is not null").select("a", "b"))
     counts = found.where("id is not null").groupBy("id").agg(F.sum("n").alias("n"))
     of_class = classes.select(*keys, "id", "copies").join(counts, "id", "left").join(component, "id", "left")

@@ -330,6 +330,8 @@ def edges_of(classes: DataFrame, percent: int, seed: int) -> tuple[DataFrame, in
     if wide is not None:
         found = found.unionByName(wide.where("low <> id").select(F.col("low").alias("a"), F.col("id").alias("b"), F.lit(1).alias("alike")))
     edges, (n,) = counted(found.groupBy("a", "b").agg(F.max("alike").alias("alike")), "edges", F.count(F.lit(1)))
+    for done in (rows, *((more, deep, wide) if large else ())):
+        discard(done)
     return edges, n
 
 
@@ -479,6 +481,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, seed:
         if component is not None:
             component = materialize(component, "component")
         discard(sets)
+    discard(edges)
+    discard(classes)
     label = first.select(*keys, "id")
     if component is None:
         label = label.withColumnRenamed("id", "component")

@@ -2,6 +2,8 @@
 
 from collections import Counter
 
+import pytest
+
 import corpus_pipeline
 from parlance.llm.queries import ORACLES, QUERIES
 
@@ -51,5 +53,56 @@ def test_stages_against_brute_force(spark, tmp_path):
     assert max(places.values()) <= 1024 and {r.doc_id for r in packed} == set(times)
 
 
+LONG = " ".join(f"word{k % 977}x{k % 31}" for k in range(30_000))
+ROWS = [
+    (1, "a plain text of some words " * 12, "s1", "one"), (1, "a plain text of some words " * 12, "s1", "one"), (2, "a plain text of some words " * 12, "s2", "two"),
+    (None, "a text that has no number of its own", "s1", "none"), (None, None, None, "none"), (3, None, "s2", "null"), (4, "", "s2", "empty"), (5, " \n\t ", None, "blank"), (6, LONG, "s3", "long"), (7, LONG + " end", "s3", "near"),
+]
+SCHEMA = "doc_id long, text string, source string, predicted string, score double, component_id string, lang string, n_chars long, size int, _slice string, sd__id2 int"
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Null ids and texts, repeated rows, a very long text, and columns named like those of results."""
+    return spark.createDataFrame([(i, t, s, note, 0.5, "c", "en", len(t or ""), 1, "0", 2) for i, t, s, note in ROWS], SCHEMA).repartition(3)
+
+
+def notes(rows):
+    return Counter(r.predicted for r in rows.collect())
+
+
+def test_classifier_stage_on_odd_rows(spark, odd):
+    out = corpus_pipeline.classify(spark, odd, SF)
+    assert out.schema.names == odd.schema.names and notes(out) <= notes(odd) and notes(out)["one"] in (0, 2)
+    assert corpus_pipeline.classify(spark, odd.where("false"), SF).count() == 0
+
+
+def test_near_dedup_stage_on_odd_rows(spark, odd):
+    out = corpus_pipeline.near_dedup(spark, odd, SF)
+    assert out.schema.names == odd.schema.names and notes(out) == notes(odd) - Counter(two=1, near=1)
+    assert corpus_pipeline.near_dedup(spark, odd.where("false"), SF).count() == 0
+
+
+def test_substring_stage_on_odd_rows(spark, odd):
+    out = corpus_pipeline.substring_dedup(spark, odd, SF)
+    texts = {(r.doc_id, r.predicted): r.text for r in out.collect()}
+    assert out.schema.names == odd.schema.names and notes(out) == notes(odd)
+    assert texts[2, "two"] == "" and texts[1, "one"] == ROWS[0][1] and texts[None, "none"] in (None, ROWS[3][1]) and texts[7, "near"] == "end" and texts[3, "null"] is None
+    assert corpus_pipeline.substring_dedup(spark, odd.where("false"), SF).count() == 0
+
+
+def test_mix_stage_on_odd_rows(spark, odd):
+    out = corpus_pipeline.mix(spark, odd, SF)
+    n = notes(out)
+    assert out.schema.names == odd.schema.names and not n["null"] + n["empty"] + n["blank"] and all(v <= 3 * notes(odd)[k] for k, v in n.items()) and n["none"] >= 1
+    assert corpus_pipeline.mix(spark, odd.where("false"), SF).count() == 0
+
+
+def test_pack_stage_on_odd_rows(spark, odd):
+    rows = corpus_pipeline.pack(spark, odd, SF).collect()
+    assert Counter(r.doc_id for r in rows if r.piece == 0) == Counter(i for i, *_ in ROWS) and max(r.offset + r.length for r in rows) <= 1024
+    assert corpus_pipeline.pack(spark, odd.where("false"), SF).count() == 0
+
+
 def test_registry():
     assert {"pipeline", *(f"op{n}" for n in range(1, 11))} == {n if n == "pipeline" else n.split("_")[0] for n in QUERIES} and set(ORACLES) <= set(QUERIES)
