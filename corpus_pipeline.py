@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from parlance.llm import minhash, mixing, packing, quality_classifier, substrings
-from parlance.llm.common import materialize
+from parlance.llm.common import discard, materialize
 from parlance.llm.queries import tokenizer_files
 
 WINDOW = 50  # words of a passage that another document has first
@@ -79,6 +79,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    for k, (name, stage) in enumerate(STAGES[:-1]):
+        after = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if k:
+            discard(docs)  # the stage before is read no more
+        docs = after
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -23,6 +23,12 @@ class Embedder(Protocol):
     def __call__(self, samples: np.ndarray) -> np.ndarray: ...
 
 
+class Transcriber(Protocol):
+    """Hears samples: dicts of start, end, text, avg_logprob and words (word, start, end, probability)."""
+
+    def __call__(self, samples: np.ndarray) -> list[dict]: ...
+
+
 class ChatModel(Protocol):
     """Answers a system and a user text with text that should be JSON."""
 
@@ -70,6 +76,40 @@ def embed_chunks(chunks: DataFrame, audio: DataFrame, embedder: Callable[[], Emb
     return chunks.join(made, [M, "chunk_idx"], "left")
 
 
+SPOKEN = "array<struct<segment_id:int,start:double,end:double,text:string,avg_logprob:double,words:array<struct<word:string,start:double,end:double,probability:double>>>>"
+
+
+def available(model: Callable[[], object]) -> bool:
+    """Whether a model can be made here: its packages and files are there."""
+    try:
+        model()
+    except Exception:  # noqa: BLE001 - whatever is missing, the answer is no
+        return False
+    return True
+
+
+def transcribe(audio: DataFrame, transcriber: Callable[[], Transcriber]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(segments, words, errors) of audio (meeting_id, pcm float32). `transcriber` makes the model, once for each worker's
+    stream; it takes samples and returns segments as dicts (start, end, text, avg_logprob, words). A recording that fails has a
+    row (meeting_id, error) and no segments."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = transcriber()
+        for pdf in batches:
+            for meeting, pcm in zip(pdf[M], pdf["pcm"], strict=True):
+                try:
+                    heard, error = [{"segment_id": k, **s} for k, s in enumerate(model(np.frombuffer(pcm, np.float32)))], None
+                except Exception as e:  # noqa: BLE001 - a recording that cannot be heard leaves the others alone
+                    heard, error = None, str(e) or type(e).__name__
+                yield pd.DataFrame({M: [meeting], "heard": [heard], "error": [error]})
+
+    kind = dict(audio.dtypes)[M]
+    rows = audio.select(M, "pcm").mapInPandas(run, f"{M} {kind}, heard {SPOKEN}, error string")
+    segments = rows.select(M, F.explode("heard").alias("s")).select(M, "s.*")
+    words = segments.select(M, "segment_id", F.posexplode("words").alias("word_idx", "w")).select(M, "segment_id", "word_idx", "w.*", F.lit(None).cast("string").alias("speaker"))
+    return segments.drop("words"), words, rows.where("error is not null").select(M, "error")
+
+
 def ask(prompts: DataFrame, model: Callable[[], ChatModel], fallback: Callable[[], ChatModel] | None = None) -> DataFrame:
     """prompts (meeting_id, system, user) with `reply`, `error` and `fell_back`. A failing model is tried again as `fallback`;
     what fails there too has an error and no reply."""

@@ -136,6 +136,24 @@ def test_embedding_of_chunks(spark, inputs):
     assert len(got) == 3 and all(len(r.embedding) == 16 for r in got)
 
 
+def loud_parts():
+    def hear(samples):
+        if not len(samples):
+            raise ValueError("nothing to hear")
+        return [{"start": 0.0, "end": len(samples) / 16_000, "text": "hello there", "avg_logprob": -0.2, "words": [{"word": "hello", "start": 0.0, "end": 0.4, "probability": 0.9}, {"word": "there", "start": 0.5, "end": 0.9, "probability": 0.4}]}]
+
+    return hear
+
+
+def test_transcriber(spark):
+    audio = spark.createDataFrame([("a", bytearray(np.ones(16_000, np.float32).tobytes())), ("b", bytearray())], "meeting_id string, pcm binary")
+    segments, words, errors = models.transcribe(audio, loud_parts)
+    assert [tuple(r) for r in segments.collect()] == [("a", 0, 0.0, 1.0, "hello there", -0.2)]
+    assert [(r.word_idx, r.word, r.probability) for r in words.orderBy("word_idx").collect()] == [(0, "hello", 0.9), (1, "there", 0.4)]
+    assert [tuple(r) for r in errors.collect()] == [("b", "nothing to hear")]
+    assert models.available(loud_parts) and not models.available(lambda: broken()("", ""))
+
+
 def test_long_meetings_in_windows(spark):
     rows = spark.createDataFrame([("m", i, 400.0 * i, str(i)) for i in range(5)], "meeting_id string, utt_idx int, start double, text string")
     got = meeting.windowed(rows).orderBy("start").collect()
