@@ -11,7 +11,7 @@ from parlance.functions import constants as C
 from parlance.operators.segmentation import fill_labels, first_appearance, merge_turns
 
 M = "meeting_id"
-MAX_CHUNKS = 4_000  # a distance matrix of 128 MB: larger meetings raise an error that names them
+MAX_CHUNKS = 4_000  # a distance matrix of 128 MB: larger groups are clustered by parts that no merge can join
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -34,6 +34,35 @@ def pairwise_distances(rows: DataFrame, keys: list[str], item: str, vector: str
     return left.join(right, keys).where("a < b").select(*keys, "a", "b", cosine_distance(F.col("va"), F.col("vb")).alias("distance"))
 
 
+def nearest_other(rows: DataFrame, keys: list[str], item: str, vector: str = "embedding", block: int = 1_024) -> DataFrame:
+    """(keys, item, nearest, n): distance to the nearest other row of the keys, and how many others there are.
+
+    No rows of pairs: a group is cut into blocks of about `block` rows, a task compares two blocks and gives each row's
+    minimum only. A group of n rows sends n * n / block vectors. Rows alone in their group, and null keys, give nothing.
+    """
+    kinds = dict(rows.dtypes)
+    counts = rows.where(F.col(vector).isNotNull()).groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / block).alias("no__blocks"))
+    dealt = rows.where(F.col(vector).isNotNull()).select(*keys, item, vector).join(counts, keys)
+    dealt = dealt.withColumn("no__own", F.pmod(F.xxhash64(item), F.col("no__blocks"))).withColumn("no__other", F.explode(F.expr("sequence(0, no__blocks - 1)")))
+    dealt = dealt.withColumn("no__i", F.least("no__own", "no__other")).withColumn("no__j", F.greatest("no__own", "no__other")).drop("no__blocks", "no__other")
+
+    def tile(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = np.stack(pdf[vector].to_numpy()).astype(np.float64)
+        x /= np.clip(np.linalg.norm(x, axis=1, keepdims=True), 1e-12, None)
+        own = pdf["no__own"].to_numpy()
+        first, second = np.flatnonzero(own == pdf["no__i"].iloc[0]), np.flatnonzero(own == pdf["no__j"].iloc[0])
+        d = 1.0 - x[first] @ x[second].T
+        if same := pdf["no__i"].iloc[0] == pdf["no__j"].iloc[0]:
+            np.fill_diagonal(d, np.inf)
+        sides = [(first, 1, len(second) - same)] + ([] if same else [(second, 0, len(first))])
+        out = [pdf[[*keys, item]].iloc[at].assign(nearest=d.min(axis=axis), n=n) for at, axis, n in sides if n > 0 and len(at)]
+        return pd.concat(out) if out else pdf[[*keys, item]].iloc[:0].assign(nearest=0.0, n=0)
+
+    schema = ", ".join(f"`{k}` {kinds[k]}" for k in [*keys, item]) + ", nearest double, n long"
+    found = dealt.groupBy(*keys, "no__i", "no__j").applyInPandas(tile, schema)
+    return found.groupBy(*keys, item).agg(F.min("nearest").alias("nearest"), F.sum("n").alias("n"))
+
+
 def centroids(rows: DataFrame, keys: list[str], vector: str = "embedding") -> DataFrame:
     """(keys, n, centroid): means of unit vectors, unit again. One row for each key and place is shuffled, not the vectors."""
     parts = rows.select(*keys, F.posexplode(unit(F.col(vector))).alias("pos", "x")).groupBy(*keys, "pos").agg(F.avg("x").alias("x"), F.count(F.lit(1)).alias("n"))
@@ -96,15 +125,50 @@ def average_linkage(vectors: np.ndarray, threshold: float | None = C.CLUSTER_DIS
     return np.argsort(np.argsort(first))[labels]
 
 
+def apart(vectors: np.ndarray, threshold: float) -> list[np.ndarray]:
+    """Places of rows, in parts between which every distance is above the threshold: clusters whose mean distance is at most
+    the threshold hold a pair that is, so no merge joins two parts. Memory grows with the rows, not with their square."""
+    x = np.asarray(vectors, dtype=np.float64)
+    x = x / np.clip(np.linalg.norm(x, axis=1, keepdims=True), 1e-12, None)
+    left, parts = np.arange(len(x)), []
+    while len(left):
+        part, front, left = [left[:1]], left[:1], left[1:]
+        while len(front) and len(left):
+            others, near, step = x[left].T, np.zeros(len(left), bool), max(1, 4_000_000 // len(left))
+            for k in range(0, len(front), step):
+                near |= (1.0 - x[front[k : k + step]] @ others).min(axis=0) <= threshold + 1e-9
+            front, left = left[near], left[~near]
+            part.append(front)
+        parts.append(np.sort(np.concatenate(part)))
+    return parts
+
+
+def linked(vectors: np.ndarray, threshold: float | None, n_clusters: int | None = None, limit: int = MAX_CHUNKS) -> np.ndarray:
+    """`average_linkage` of any number of rows, as floats: beyond `limit` part by part. Rows of a part that is itself beyond
+    it have no label (NaN), and all rows where the number of clusters is given, which parts cannot tell."""
+    if len(vectors) <= limit:
+        return average_linkage(vectors, threshold, n_clusters).astype(float)
+    out, n = np.full(len(vectors), np.nan), 0
+    for part in apart(vectors, threshold) if threshold is not None and n_clusters is None else []:
+        if len(part) <= limit:
+            labels = average_linkage(vectors[part], threshold)
+            out[part] = labels + n
+            n += int(labels.max()) + 1
+    known = ~np.isnan(out)
+    _, first, labels = np.unique(out[known], return_index=True, return_inverse=True)
+    out[known] = np.argsort(np.argsort(first))[labels]
+    return out
+
+
 def cluster(rows: DataFrame, keys: list[str], item: str, vector: str = "embedding", threshold: float | None = C.CLUSTER_DISTANCE, n_clusters: int | None = None) -> DataFrame:
-    """(keys, item, cluster) by average linkage within the keys; each group is one task's matrix, so its size is checked."""
+    """(keys, item, cluster) by average linkage within the keys. A group is one task's; its distance matrix is bounded by
+    MAX_CHUNKS rows, larger groups are clustered by parts, and rows of a part beyond that have a null cluster."""
     kinds = dict(rows.dtypes)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) > MAX_CHUNKS:
-            raise ValueError(f"{len(pdf)} vectors in {tuple(pdf[keys].iloc[0])}: more than {MAX_CHUNKS} are not clustered in one group")
         pdf = pdf.sort_values(item)
-        return pdf[[*keys, item]].assign(cluster=average_linkage(np.stack(pdf[vector].to_numpy()), threshold, n_clusters).astype("int32"))
+        labels = linked(np.stack(pdf[vector].to_numpy()), threshold, n_clusters)
+        return pdf[[*keys, item]].assign(cluster=pd.array(labels, dtype="Float64").astype("Int32"))
 
     schema = ", ".join(f"`{k}` {kinds[k]}" for k in [*keys, item]) + ", cluster int"
     return rows.select(*keys, item, vector).groupBy(*keys).applyInPandas(run, schema)
@@ -114,16 +178,19 @@ def label_chunks(chunks: DataFrame, threshold: float | None = C.CLUSTER_DISTANCE
     """chunks (meeting_id, chunk_idx, start, end, kind, embedding, ...) with `speaker` and `less_reliable`.
 
     Long chunks are clustered, short ones join the nearest centroid, tiny ones their neighbour; where no chunk is long the
-    short ones vote.
+    short ones vote. A meeting with chunks that could not be clustered (see `cluster`) takes neighbours' voices for them and
+    is less reliable.
     """
     some = chunks.groupBy(M).agg(F.bool_or(F.col("kind") == "long").alias("lc__long"))
     rows = chunks.join(some, M).withColumn("lc__votes", (F.col("kind") == "long") | (~F.col("lc__long") & (F.col("kind") == "short")))
     votes = rows.where("lc__votes")
     clusters = cluster(votes, [M], "chunk_idx", threshold=threshold, n_clusters=num_speakers)
-    cents = centroids(votes.join(clusters, [M, "chunk_idx"]), [M, "cluster"])
+    cents = centroids(votes.join(clusters.where("cluster is not null"), [M, "chunk_idx"]), [M, "cluster"])
     near = nearest_centroid(rows.where("not lc__votes and kind = 'short'"), cents, [M], "chunk_idx", "cluster")
     labels = clusters.unionByName(near.select(M, "chunk_idx", "cluster"))
     rows = rows.join(labels, [M, "chunk_idx"], "left")
+    open_ = F.bool_or(F.col("lc__votes") & F.col("cluster").isNull()).over(Window.partitionBy(M))
+    rows = rows.withColumn("lc__long", F.col("lc__long") & ~open_)
     rows = fill_labels(rows, [M], "cluster", ["chunk_idx"], 0)
     rows = first_appearance(rows, [M], "cluster", "chunk_idx")
     return rows.withColumn("less_reliable", ~F.col("lc__long")).drop("lc__long", "lc__votes")
@@ -141,14 +208,18 @@ def speaker_turns(labelled: DataFrame) -> DataFrame:
 
 def threshold_sweep(rows: DataFrame, keys: list[str], item: str, thresholds: list[float]) -> DataFrame:
     """(keys, threshold, n_clusters) from one linkage of each group: heights of average linkage never fall, so the clusters at
-    a threshold are those that merges up to it leave. Groups of more than MAX_CHUNKS have no number of clusters (null)."""
+    a threshold are those that merges up to it leave. Groups of more than MAX_CHUNKS are linked by parts at the largest
+    threshold; where a part is beyond it too, their number of clusters is null."""
     kinds = dict(rows.dtypes)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = np.stack(pdf.sort_values(item)["embedding"].to_numpy())
+        parts = [np.arange(len(x))] if len(x) <= MAX_CHUNKS else apart(x, max(thresholds))
         found: list[float] = []
-        if len(pdf) <= MAX_CHUNKS:
-            average_linkage(np.stack(pdf.sort_values(item)["embedding"].to_numpy()), None, None, found)
-        n = [len(pdf) - int(sum(h <= t for h in found)) if len(pdf) <= MAX_CHUNKS else None for t in thresholds]
+        known = all(len(part) <= MAX_CHUNKS for part in parts)
+        for part in parts if known else []:
+            average_linkage(x[part], None, None, found)
+        n = [len(pdf) - int(sum(h <= t for h in found)) if known else None for t in thresholds]
         out = pd.DataFrame({"threshold": thresholds, "n_clusters": pd.array(n, dtype="Int64")})
         return out.assign(**{k: pdf[k].iloc[0] for k in keys})[[*keys, "threshold", "n_clusters"]]
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from parlance.functions import constants as C
 from parlance.functions import text as T
 from parlance.operators import cluster, grounding, metrics, naming, refine, segmentation
-from parlance.plans.queries import _CHUNKS, _SPANS, _event_chunks, _in, _neighbours, _shifted_turns, query, s_content, s_norm, s_tokens, s_white
+from parlance.plans.queries import _CHUNKS, _FRAMES, _event_chunks, _in, _neighbours, _shifted_turns, query, s_content, s_norm, s_tokens, s_white
 from parlance.sinks import export
 from parlance.sources.tables import conversation_segments, conversation_words, table
 
@@ -145,11 +145,7 @@ def suspected_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("meeting_id").alias("conv_id"), F.col("segment_id").cast("long").alias("turn"), "speaker", "addressee", "reply")
 
 
-@query(f"""WITH {_SPANS.format(h='4.0')}, z AS (SELECT user_id, min(start) AS t0 FROM s GROUP BY user_id),
-r AS (SELECT s.user_id, idx, event_type AS who, CAST(floor(start - t0) AS BIGINT) AS f, CAST(ceil(fin - t0) AS BIGINT) AS l, CAST(floor(start - t0 + 2.0) AS BIGINT) AS f2, CAST(ceil(fin - t0 + 2.0) AS BIGINT) AS l2 FROM s JOIN z ON s.user_id = z.user_id),
-a AS (SELECT user_id, frame, arg_max(who, idx) AS r FROM (SELECT user_id, idx, who, unnest(range(f, l)) AS frame FROM r) GROUP BY ALL),
-b AS (SELECT user_id, frame, arg_max(who, idx) AS h FROM (SELECT user_id, idx, who, unnest(range(f2, l2)) AS frame FROM r) GROUP BY ALL)
-SELECT coalesce(a.user_id, b.user_id) AS user_id, r, h, CAST(count(*) AS BIGINT) AS n FROM a FULL JOIN b ON a.user_id = b.user_id AND a.frame = b.frame GROUP BY ALL""")
+@query(f"WITH {_FRAMES} SELECT user_id, r, h, n FROM k")
 def speaker_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hours in which two labellings name each pair of voices: what the diarization error is counted from."""
     ref, hyp = _shifted_turns(spark, sf_dir)

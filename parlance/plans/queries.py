@@ -460,16 +460,40 @@ def frame_error(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("user_id", "kind", F.round("seconds", 4).alias("seconds")).where("seconds > 0")
 
 
-@query()
+_CELL = """CASE WHEN k + 1 - i < 0 OR k + 1 - i > len(h) THEN NULL WHEN i = 0 THEN (k + 1) * 1000000000000 WHEN k + 1 - i = 0 THEN i * 1000000000001
+  WHEN r[i] = h[k + 1 - i] THEN two[i] WHEN two[i] // 1000000000000 <= least(one[i], one[i + 1]) // 1000000000000 THEN two[i] + 1000001000000
+  WHEN one[i] // 1000000000000 <= one[i + 1] // 1000000000000 THEN one[i] + 1000000000001 ELSE one[i + 1] + 1000000000000 END"""
+
+
+@query(f"""WITH RECURSIVE p AS (SELECT a.item_id, {s_tokens('a.text')} AS r, {s_tokens('b.text')} AS h {_PAIRS}),
+g AS (SELECT item_id, r, h, CAST(0 AS BIGINT) AS k, list_transform(range(0, len(r) + 1), lambda i: CASE WHEN i = 0 THEN CAST(0 AS BIGINT) END) AS one, list_transform(range(0, len(r) + 1), lambda i: CAST(NULL AS BIGINT)) AS two FROM p
+  UNION ALL SELECT item_id, r, h, k + 1, list_transform(range(0, len(r) + 1), lambda i: CAST({_CELL} AS BIGINT)), one FROM g WHERE k < len(r) + len(h)),
+e AS (SELECT item_id, len(r) AS m, one[len(r) + 1] AS v FROM g WHERE k = len(r) + len(h))
+SELECT item_id, CASE WHEN m > 0 THEN (v // 1000000000000) / m ELSE 0.0 END AS wer, CAST(v // 1000000 % 1000000 AS INTEGER) AS substitutions, CAST(v % 1000000 AS INTEGER) AS deletions,
+  CAST(v // 1000000000000 - v // 1000000 % 1000000 - v % 1000000 AS INTEGER) AS insertions, CAST(m AS INTEGER) AS reference_words FROM e""")
 def wer_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Alignment of each benchmark text with the next one: dynamic programming, no SQL."""
+    """Alignment of each benchmark text with the next one. The SQL fills the table by its diagonals, a cell being the cost, the
+    substitutions and the deletions in one number."""
     return metrics.wer(_neighbours(spark, sf_dir), "original", "replacement").drop("original", "replacement")
 
 
-@query()
+_FRAMES = f"""{_SPANS.format(h='4.0')}, z AS (SELECT user_id, min(start) AS t0 FROM s GROUP BY user_id),
+t AS (SELECT s.user_id, idx, event_type AS who, CAST(floor(start - t0) AS BIGINT) AS f, CAST(ceil(fin - t0) AS BIGINT) AS l, CAST(floor(start - t0 + 2.0) AS BIGINT) AS f2, CAST(ceil(fin - t0 + 2.0) AS BIGINT) AS l2 FROM s JOIN z ON s.user_id = z.user_id),
+a AS (SELECT user_id, frame, arg_max(who, idx) AS r FROM (SELECT user_id, idx, who, unnest(range(f, l)) AS frame FROM t) GROUP BY ALL),
+b AS (SELECT user_id, frame, arg_max(who, idx) AS h FROM (SELECT user_id, idx, who, unnest(range(f2, l2)) AS frame FROM t) GROUP BY ALL),
+k AS (SELECT coalesce(a.user_id, b.user_id) AS user_id, r, h, CAST(count(*) AS BIGINT) AS n FROM a FULL JOIN b ON a.user_id = b.user_id AND a.frame = b.frame GROUP BY ALL)"""
+
+
+@query(f"""WITH RECURSIVE {_FRAMES}, e AS (SELECT list_sort(list(DISTINCT event_type)) AS every FROM events),
+p AS (SELECT CAST([] AS VARCHAR[]) AS perm, every FROM e UNION ALL SELECT list_append(perm, x), every FROM (SELECT perm, every, unnest(list_filter(every, lambda v: NOT list_contains(perm, v))) AS x FROM p)),
+f AS (SELECT perm, unnest(perm) AS h, unnest(every) AS r FROM p WHERE len(perm) = len(every)),
+o AS (SELECT user_id, max(n) AS n FROM (SELECT user_id, perm, sum(n) AS n FROM k JOIN f ON k.r = f.r AND k.h = f.h GROUP BY ALL) GROUP BY user_id),
+c AS (SELECT user_id, coalesce(sum(n) FILTER (h IS NULL), 0) AS miss, coalesce(sum(n) FILTER (r IS NULL), 0) AS fals, coalesce(sum(n) FILTER (r IS NOT NULL), 0) AS total, coalesce(sum(n) FILTER (r IS NOT NULL AND h IS NOT NULL), 0) AS met FROM k GROUP BY user_id),
+w AS (SELECT c.*, met - coalesce(o.n, 0) AS wrong FROM c LEFT JOIN o ON c.user_id = o.user_id)
+SELECT user_id AS meeting_id, CASE WHEN total > 0 THEN CAST(miss + fals + wrong AS DOUBLE) / CAST(total AS DOUBLE) ELSE 0.0 END AS der, CAST(miss AS DOUBLE) AS missed, CAST(fals AS DOUBLE) AS false_alarm, CAST(wrong AS DOUBLE) AS confusion, CAST(total AS DOUBLE) AS total FROM w""")
 def diarization_error(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Error of users' event types as voices against the same two hours later; frames of an hour. The one-to-one mapping of
-    voices has no SQL; the counts that it reads have, as `speaker_frames`."""
+    """Error of users' event types as voices against the same two hours later; frames of an hour. The SQL tries every
+    one-to-one mapping of the types."""
     return metrics.der(*_shifted_turns(spark, sf_dir), collar=0.0, step=1.0)
 
 
@@ -503,9 +527,8 @@ _CENT = f"{_UNIT}, p AS (SELECT label, i, avg(v[i]) AS x, count(*) AS n FROM u,
 @query(f"WITH {_UNIT}, d AS (SELECT a.label, a.vec_id, b.vec_id AS other, 1 - list_inner_product(a.v, b.v) AS d FROM u a JOIN u b ON a.label = b.label AND a.vec_id <> b.vec_id) SELECT label, vec_id, round(min(d), 6) AS nearest, count(*) AS n FROM d GROUP BY ALL")
 def pairwise_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distances within each label, as the nearest other vector of every vector."""
-    d = cluster.pairwise_distances(table(spark, sf_dir, "embeddings"), ["label"], "vec_id")
-    both = d.select("label", F.col("a").alias("vec_id"), "distance").union(d.select("label", "b", "distance"))
-    return both.groupBy("label", "vec_id").agg(F.round(F.min("distance"), 6).alias("nearest"), F.count(F.lit(1)).alias("n"))
+    rows = cluster.nearest_other(table(spark, sf_dir, "embeddings"), ["label"], "vec_id")
+    return rows.select("label", "vec_id", F.round("nearest", 6).alias("nearest"), "n")
 
 
 @query(f"WITH {_CENT} SELECT label, n, round(v[1], 6) AS first, round(v[len(v)], 6) AS last, round(list_sum(v), 6) AS total FROM c")

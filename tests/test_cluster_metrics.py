@@ -28,6 +28,31 @@ def test_linkage_equals_brute_force(seed):
     assert len(set(cluster.average_linkage(x, None, 2).tolist())) == 2 and cluster.average_linkage(x[:1]).tolist() == [0]
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_large_groups_by_parts(seed):
+    rng = np.random.default_rng(seed)
+    x = np.concatenate([rng.normal(c, 0.2, (15, 16)) for c in rng.normal(0, 1, (5, 16))])
+    x = x[rng.permutation(len(x))]
+    for t in (0.05, 0.2, 0.4):
+        assert (cluster.linked(x, t, limit=40) == cluster.average_linkage(x, t)).all()
+        parts = cluster.apart(x, t)
+        assert sorted(np.concatenate(parts).tolist()) == list(range(len(x)))
+    assert np.isnan(cluster.linked(x, 2.0, limit=40)).all() and np.isnan(cluster.linked(x, None, 3, limit=40)).all()
+
+
+def test_nearest_other(spark):
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(60, 5))
+    label = [k % 3 if k < 57 else None if k == 57 else 7 if k == 58 else 0 for k in range(60)]
+    frame = spark.createDataFrame([(k, label[k], None if k == 59 else x[k].tolist()) for k in range(60)], "vec_id long, label int, embedding array<double>")
+    got = {r.vec_id: (r.label, r.nearest, r.n) for r in cluster.nearest_other(frame, ["label"], "vec_id", block=7).collect()}
+    assert set(got) == set(range(57))  # no label, no other of the label, no vector
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    for k, (own, nearest, n) in got.items():
+        others = [j for j in range(57) if label[j] == own and j != k]
+        assert n == len(others) and abs(nearest - min(1 - u[k] @ u[j] for j in others)) < 1e-12
+
+
 def test_labels_of_chunks(spark):
     a, b = [1.0, 0.0, 0.1], [0.0, 1.0, 0.1]
     rows = [("m", 0, 0.0, 1.0, "tiny", None), ("m", 1, 1.0, 2.0, "long", b), ("m", 2, 2.0, 3.0, "long", a), ("m", 3, 3.0, 3.4, "short", [0.9, 0.1, 0.0]), ("m", 4, 4.0, 4.1, "tiny", None), ("m", 5, 5.0, 6.0, "long", b), ("s", 0, 0.0, 0.3, "short", a)]
