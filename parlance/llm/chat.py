@@ -200,7 +200,7 @@ def format_chats(conversations: DataFrame) -> DataFrame:
     rows = conversations.select("conv_id", "turn", "role", "text").withColumn("_row", F.monotonically_increasing_id())
     rows = rows.repartitionByRange(n_parts, *order).sortWithinPartitions(*order)
     parts = materialize(rows.select("conv_id", "turn", "role", "text", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("_place")), "chats")
-    parts = parts.repartition(n_parts, "part").sortWithinPartitions("part", "_place")
+    parts = parts.repartitionByRange(n_parts, "part").sortWithinPartitions("part", "_place")  # a hash would heap up small integers
 
     def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, turns, first, last in _edges(batches):
