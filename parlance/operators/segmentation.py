@@ -38,10 +38,15 @@ def pause_chunks(words: DataFrame, segments: DataFrame, gap: float = C.PAUSE_S)
     return out.withColumn("kind", chunk_kind(F.col("end") - F.col("start"))).drop("run")
 
 
+def word_lists(words: DataFrame) -> DataFrame:
+    """(meeting_id, segment_id, ws): each segment's words in order, as structs (word_idx, w, p)."""
+    item = F.struct("word_idx", strip(F.col("word")).alias("w"), F.col("probability").alias("p"))
+    return words.groupBy("meeting_id", "segment_id").agg(F.array_sort(F.collect_list(item)).alias("ws"))
+
+
 def low_confidence_ngrams(words: DataFrame, longest: int = C.MAX_NGRAM, unsure: float = C.LOW_CONFIDENCE) -> DataFrame:
     """Phrases of 1 to `longest` words of a segment with an unsure word, none across a sentence's end, shorter ones first."""
-    item = F.struct("word_idx", strip(F.col("word")).alias("w"), F.col("probability").alias("p"))
-    rows = words.groupBy("meeting_id", "segment_id").agg(F.array_sort(F.collect_list(item)).alias("ws"))
+    rows = word_lists(words)
     rows = rows.withColumn("n", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.size("ws")))))
     rows = rows.withColumn("i", F.explode(F.sequence(F.lit(0), F.size("ws") - F.col("n"))))
     rows = rows.withColumn("part", F.slice("ws", F.col("i") + 1, F.col("n"))).drop("ws")

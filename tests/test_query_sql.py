@@ -1,11 +1,17 @@
 """Queries against their SQL, on turns that the driver's tables hardly have."""
 
+import re
+
 import duckdb
 import pyarrow as pa
 import pyarrow.parquet as pq
 
+from parlance.functions import constants as C
+from parlance.functions.phonetic import phrase_codes
+from parlance.operators import refine, segmentation
 from parlance.plans import evidence  # noqa: F401 - registers its queries
 from parlance.plans.queries import ORACLES, QUERIES
+from parlance.sources.tables import conversation_words, table
 
 
 def conversations(folder, turns):
@@ -28,3 +34,34 @@ def same_as_sql(spark, name, sf_dir):
 def test_speech_acts_of_words_that_decline_or_name_the_speaker(spark, tmp_path):
     words = ["No", "not", "I", "my", "skip it", "don't", "won't go", "hold off now", "later", "plain words here", "ñno una", "oké then", "noël", " ", None]
     same_as_sql(spark, "speech_acts", conversations(tmp_path, [[w] * 6 for w in words]))
+
+
+def sent_after_explosion(frame):
+    """Lines of the executed plan that are exploded below a broadcast."""
+    lines, depth, found = frame._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].split("\n"), None, []
+    for line in lines:
+        at = len(line) - len(line.lstrip(" :+-*"))
+        depth = None if depth is not None and at <= depth else depth
+        depth = at if depth is None and "BroadcastExchange" in line else depth
+        found += [line] if depth is not None and "Generate" in line and "_codes" not in line else []
+    return found
+
+
+TURNS = [["No no no.", "Cooper netties runs it, cooper netties is fine", "no no. it is the", "The sequel store"], ["Ünïted läb says no no no"] * 9, ["is it", "of the", None, " "]]
+
+
+def test_corrections_send_no_phrases(spark, tmp_path):
+    sf_dir = conversations(tmp_path, TURNS)
+    words = conversation_words(table(spark, sf_dir, "conversations"))
+    frame = refine.glossary_proposals(words, refine.glossary_of(spark))
+    got = {(r.meeting_id, r.segment_id, r.original, r.replacement) for r in frame.collect()}
+    codes = {c: t for t in reversed(C.DEFAULT_TERMS) for c in phrase_codes(t)}
+    want = set()
+    for r in segmentation.low_confidence_ngrams(words).collect():
+        core = r.phrase.strip(C.EDGE_MARKS)
+        term = next((codes[c] for c in phrase_codes(core) if c in codes), None)
+        if term and " ".join(re.findall(r"\w+", core.lower())) != term.lower() and not all(w in C.COMMON_WORDS for w in re.findall(r"\w+", core.lower())):
+            want.add((r.meeting_id, r.segment_id, core, term))
+    lower = lambda rows: {(m, s, o.lower(), t) for m, s, o, t in rows}  # noqa: E731 - of phrases that differ in case only the first is proposed
+    assert lower(got) == lower(want) and any(o.lower() == "cooper netties" for _, _, o, _ in got)
+    assert not sent_after_explosion(frame)

@@ -1,3 +1,6 @@
+import random
+
+from parlance.functions import phonetic
 from parlance.functions import text as T
 from parlance.functions.phonetic import double_metaphone, phrase_codes
 from pyspark.sql import functions as F
@@ -59,6 +62,20 @@ def test_double_metaphone_published_vectors():
     assert {w: double_metaphone(w) for w in vectors} == vectors
 
 
+def test_wanted_codes_lose_no_phrase():
+    rng, syllables = random.Random(5), ("spa", "rk", "se", "quel", "alle", "illo", "ch", "ía", "ña", "wr", "sql", "kna", "dg", "tion", "no.", "ó", "ucc", "x", "ph", "gh", "Red", "shift", "post", "gres", "é", "Ç", "w", "'s", "")
+    terms = ("Spark", "SQL", "Redshift", "Postgres", "Snowflake", "gallego", "write-ahead log", "Kubernetes")
+    wanted = phonetic.Wanted([c for t in terms for c in phonetic.phrase_codes(t)])
+    hits = 0
+    for _ in range(300):
+        words = ["".join(rng.choices(syllables, k=rng.randint(1, 3))) for _ in range(12)]
+        unsure, ends = [rng.random() < 0.5 for _ in words], [w.endswith(".") for w in words]
+        want = [(n, i, codes) for i in range(12) for n in range(1, 6) if i + n <= 12 and any(unsure[i : i + n]) and not any(ends[i : i + n - 1]) and not wanted.codes.isdisjoint(codes := phonetic.phrase_codes(" ".join(words[i : i + n])))]
+        assert [(x["n"], x["i"], x["codes"]) for x in wanted.spans(words, unsure, ends, 5)] == want
+        hits += len(want)
+    assert hits > 50
+
+
 def test_phrases_that_sound_alike():
     alike = lambda a, b: bool(set(phrase_codes(a)) & set(phrase_codes(b)))
     assert all(alike(a, b) for a, b in (("cooper netties", "Kubernetes"), ("post gres", "Postgres"), ("sequel", "SQL"), ("g r p c", "gRPC"), ("red is", "Redis")))
